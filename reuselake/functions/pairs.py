@@ -1,0 +1,38 @@
+"""Vectorised helpers for token sequences."""
+
+from __future__ import annotations
+
+from collections import Counter
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([
+        SequenceMatcher(None, list(x), list(y)).ratio() if len(x) and len(y) else 0.0 for x, y in zip(a, b)
+    ], dtype="float64")
+
+
+def _number(toks: pd.Series) -> pd.Series:
+    def one(row):
+        seen: Counter = Counter()
+        out = []
+        for t in row:
+            out.append(f"{t} {seen[t]}")
+            seen[t] += 1
+        return out
+
+    return toks.map(one)
+
+
+def sequence_ratio(a: str, b: str) -> Column:
+    """Twice the matched tokens over all tokens; zero where a side is empty."""
+    return F.pandas_udf(_ratios, "double")(a, b)
+
+
+def numbered(toks: str) -> Column:
+    """Tokens numbered by occurrence, so that a set of them stands for the bag of tokens."""
+    return F.pandas_udf(_number, "array<string>")(toks)

@@ -19,10 +19,9 @@ def register(spark: SparkSession, events: DataFrame, fx: DataFrame, commercial:
         CREATE OR REPLACE TEMPORARY FUNCTION normalize_currency(
             amount DECIMAL(18,2), source STRING, target STRING, conversion_date DATE)
         RETURNS TABLE (normalized_amount DECIMAL(18,2))
-        RETURN SELECT CAST(ROUND(amount * IF(source = target, CAST(1 AS DECIMAL(18,8)), rate), 2) AS DECIMAL(18,2))
-        FROM (SELECT max(exchange_rate) AS rate FROM rl_exchange_rates
-              WHERE from_currency = source AND to_currency = target AND rate_date = conversion_date)
-        WHERE source = target OR rate IS NOT NULL""")
+        RETURN SELECT CAST(amount AS DECIMAL(18,2)) WHERE source = target
+          UNION ALL SELECT CAST(ROUND(amount * exchange_rate, 2) AS DECIMAL(18,2)) FROM rl_exchange_rates
+          WHERE source <> target AND from_currency = source AND to_currency = target AND rate_date = conversion_date""")
     spark.sql("""
         CREATE OR REPLACE TEMPORARY FUNCTION recognize_revenue(first_day DATE, last_day DATE)
         RETURNS TABLE (customer_id BIGINT, billable_event_id STRING, recognition_date DATE, event_type STRING,

@@ -7,6 +7,8 @@ dialects spell differently are given per engine. ``Lake`` reads the views in Spa
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = "2001-01-31"
@@ -100,6 +102,17 @@ VIEWS: dict[str, str | dict[str, str]] = {
             ' AS ' || lower(p_type) || '_value FROM shared.fact_' || lower(p_type) ||
             CASE WHEN p_size % 2 = 0 THEN ' AS f JOIN finance.dim_rates AS r ON r.code = f.code' ELSE ' AS f' END ||
             ' WHERE f.status = ''S' || cast(p_size % 5 AS string) || ''' GROUP BY customer_id' AS body FROM part) x""",
+    "py_snippet": """
+        SELECT 1000000000 + p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '# owner ' || p_brand || chr(10) ELSE '' END ||
+          'def build_' || lower(p_type) || '(df, rates, start_date):' || chr(10) ||
+          CASE WHEN p_partkey % 2 = 0 THEN '    \"\"\"Value per customer. # of rows stays.\"\"\"' || chr(10) ELSE '' END ||
+          '    tag = "S#' || cast(p_size % 5 AS string) || '"  # filter tag' || chr(10) ||
+          '    return ' || CASE WHEN p_size % 2 = 0 THEN 'df.join(rates, "code")' ELSE 'df' END ||
+          '.groupBy("customer_id").agg(F.' || CASE p_size % 3 WHEN 0 THEN 'sum("amount")' WHEN 1 THEN 'count("invoice_id")' ELSE 'mean("price")' END ||
+          '.alias("' || lower(p_type) || '_value"))' AS text
+        FROM part""",
+    "code_snippet": """
+        SELECT id, text FROM sql_snippet UNION ALL SELECT id, text FROM py_snippet""",
     # a registered candidate is any artifact with at least one binding
     "candidate": """
         SELECT s.id, s.language, s.dialect, s.text, a.fqn, a.title, a.lifecycle, a.owner, a.reuse_intent
@@ -140,6 +153,10 @@ def _text(name: str, engine: str) -> str:
     return v if isinstance(v, str) else v[engine]
 
 
+def _words(sql: str) -> set[str]:
+    return set(re.findall(r"\w+", sql))
+
+
 def _closure(names, engine: str) -> list[str]:
     """Views needed for ``names`` in definition order."""
     need: set[str] = set()
@@ -149,8 +166,7 @@ def _closure(names, engine: str) -> list[str]:
         if n in need:
             continue
         need.add(n)
-        words = set(_text(n, engine).replace("(", " ").replace(")", " ").replace(",", " ").split())
-        stack += [m for m in VIEWS if m != n and m in words]
+        stack += [m for m in VIEWS if m != n and m in _words(_text(n, engine))]
     return [n for n in VIEWS if n in need]
 
 
@@ -181,6 +197,6 @@ class Lake:
         views = _closure([name], "spark")
         body = " ".join(_text(v, "spark") for v in views)
         parts = [
-            f"{t} AS (SELECT * FROM parquet.`{self.path}/{t}.parquet`)" for t in BASE if t in body.replace("(", " ").split()
+            f"{t} AS (SELECT * FROM parquet.`{self.path}/{t}.parquet`)" for t in BASE if t in _words(body)
         ] + [f"{v} AS ({_text(v, 'spark')})" for v in views]
         return self.spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}")

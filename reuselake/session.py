@@ -51,11 +51,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive a lost executor, the plan starts afresh."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage, survives a lost executor, computes an input that several branches share
+    only once, and gives the planner real sizes to choose joins by.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

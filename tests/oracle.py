@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import decimal
 import math
+import time
 
 import duckdb
 
 from reuselake.plans.fixtures import BASE
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(path: str):
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -43,10 +47,13 @@ _KIND = {
 
 def compare(df, con, sql) -> list[str]:
     """Differences as text; an empty list means equal."""
+    t0 = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
+    t1 = time.time()
     got = df.collect()
+    TIMES["sql"], TIMES["spark"] = t1 - t0, time.time() - t1
     out = []
     if sorted(names) != sorted(df.columns):
         return [f"columns {sorted(df.columns)} != {sorted(names)}"]

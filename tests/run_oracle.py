@@ -7,7 +7,7 @@ sys.path.insert(0, ".")
 
 from reuselake.plans import all_oracles, all_queries  # noqa: E402
 from reuselake.session import local_session  # noqa: E402
-from tests.oracle import compare, connect  # noqa: E402
+from tests.oracle import TIMES, compare, connect  # noqa: E402
 
 sf, wanted = sys.argv[1], sys.argv[2:]
 path = f"/root/testdata/sf{sf}"
@@ -21,7 +21,7 @@ for name, fn in all_queries().items():
         df = fn(spark, path)
         if name in all_oracles():
             diff = compare(df, con, all_oracles()[name])
-            n = ""
+            n = f"sql {TIMES.get('sql', 0):.2f}s collect {TIMES.get('spark', 0):.2f}s"
         else:
             diff, n = [], f"rows={df.count()} (no SQL)"
     except Exception as e:  # noqa: BLE001

@@ -183,7 +183,7 @@ def compare(
     pairs = found.groupBy("left_id", "right_id").agg(F.max("ast").alias("ast"), F.max("embedding").alias("embedding"))
 
     scored = salted_join(
-        salted_join(pairs, q.select(F.col("content").alias("left_id"), F.col("bag").alias("_lb")), "left_id", "right_id"),
+        pairs.join(q.select(F.col("content").alias("left_id"), F.col("bag").alias("_lb")), "left_id"),
         c.select(F.col("content").alias("right_id"), F.col("bag").alias("_rb"), "first_logical"), "right_id", "left_id",
     )
     common = F.size(F.array_intersect("_lb", "_rb"))

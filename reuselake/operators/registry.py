@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.operators.search import search
+from reuselake.operators.search import hits as search_hits
 from reuselake.operators.skew import salted_join
 from reuselake.session import stored
 
@@ -68,29 +68,35 @@ def bindings_with_source(artifact: DataFrame, binding: DataFrame, source: str =
 
 
 def artifact_detail(artifact: DataFrame, binding: DataFrame, edge: DataFrame) -> DataFrame:
-    """Each artifact with bindings, dependencies, consumers (edges that point at it) and governance.
+    """Each artifact with governance, its bindings, and how many artifacts it reads and serves.
 
-    The three child lists are collected per artifact; an artifact that very many others read has
-    a long consumer list because that is its answer.
-    """
+    The linked artifacts themselves are rows of :func:`artifact_links`: an artifact may be read
+    by any number of others, so they are never gathered into one value."""
     b = binding.groupBy("fqn").agg(F.array_sort(F.collect_list(F.struct(
         "ordinal", "physical_ref", "system", "env", "runtime", "dialect", "object_type"))).alias("bindings"))
-    d = edge.groupBy(F.col("from_fqn").alias("fqn")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("to_fqn").alias("fqn"), "relationship"))).alias("dependencies"))
-    c = edge.groupBy(F.col("to_fqn").alias("fqn")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("from_fqn").alias("fqn"), "relationship"))).alias("consumers"))
+    n = artifact_links(edge).groupBy("fqn").agg(
+        F.count_if(F.col("direction") == "dependency").alias("dependencies"),
+        F.count_if(F.col("direction") == "consumer").alias("consumers"),
+    )
     known = lambda x: F.coalesce(F.when(F.col(x) != "", F.col(x)), F.lit("UNKNOWN"))
     gov = F.struct(
         F.lit("REGISTERED_CANONICAL").alias("authority"), known("lifecycle_state").alias("lifecycle"),
         known("owner_team").alias("owner"), known("reuse_intent").alias("reuse_intent"),
     )
-    return (
-        artifact.join(b, "fqn", "left").join(d, "fqn", "left").join(c, "fqn", "left")
-        .select("fqn", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"),
-                "interface_types", gov.alias("governance"), "bindings", "dependencies", "consumers")
+    return artifact.join(b, "fqn", "left").join(n, "fqn", "left").select(
+        "fqn", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("description", F.lit("")).alias("description"),
+        "interface_types", gov.alias("governance"), "bindings",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("dependencies", "consumers")],
     )
 
 
+def artifact_links(edge: DataFrame) -> DataFrame:
+    """Both directions of every edge: what an artifact reads, and who reads it."""
+    out = edge.select(F.col("from_fqn").alias("fqn"), F.lit("dependency").alias("direction"), F.col("to_fqn").alias("other"), "relationship")
+    back = edge.select(F.col("to_fqn").alias("fqn"), F.lit("consumer").alias("direction"), F.col("from_fqn").alias("other"), "relationship")
+    return out.unionByName(back)
+
+
 def resolve_bindings(requests: DataFrame, artifact: DataFrame, binding: DataFrame) -> DataFrame:
     """Recommended binding per request (request_id, fqn, runtime, dialect), the rest as alternatives.
 
@@ -138,7 +144,8 @@ def select_canonical(hits: DataFrame, artifact: DataFrame, enterprise_only: bool
         rank = F.when(F.col("reuse_intent") == intent, r).otherwise(rank)
     if enterprise_only:
         live = live.filter(F.col("reuse_intent") == "enterprise_canonical")
-    order = F.struct(rank, F.col("rank"))
+    # relevance order without ranking: the higher score, then the smaller name; substring hits have no score
+    order = F.struct(rank, -F.coalesce("score", F.lit(0.0)), F.col("fqn"))
     return live.groupBy("query").agg(
         F.min_by(F.struct("fqn", "title", "lifecycle_state", "reuse_intent"), order).alias("c")
     ).select("query", "c.*")
@@ -146,8 +153,8 @@ def select_canonical(hits: DataFrame, artifact: DataFrame, enterprise_only: bool
 
 def resolve_concepts(concepts: DataFrame, index: dict[str, DataFrame], artifact: DataFrame, enterprise_only: bool = True) -> DataFrame:
     """Each concept (column query) with its canonical artifact, null where there is none."""
-    hits = search(concepts, index)
-    return concepts.select("query").distinct().join(select_canonical(hits, artifact, enterprise_only), "query", "left")
+    found = select_canonical(search_hits(concepts, index), artifact, enterprise_only)
+    return concepts.select("query").distinct().join(found, "query", "left")
 
 
 def identity_match(query: Column, fqn: Column, title: Column) -> Column:

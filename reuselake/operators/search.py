@@ -53,8 +53,15 @@ def _term_tokens(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return spelled.join(terms, "term")
 
 
-def search(queries: DataFrame, index: dict[str, DataFrame], k: int | None = None) -> DataFrame:
-    """Artifacts per query (column query) in order of relevance: query, fqn, score, rank, matched_by.
+def search(queries: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:
+    """The ``k`` most relevant artifacts per query: query, fqn, score, rank, matched_by."""
+    w = Window.partitionBy("query").orderBy(F.desc_nulls_last("score"), "fqn")
+    ranked = hits(queries, index).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select("query", "fqn", "score", "rank", "matched_by")
+
+
+def hits(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """All artifacts that match a query (column query), unordered: query, fqn, score, matched_by.
 
     Words are OR-ed prefixes ranked by BM25 over weighted columns. A query without any ranked hit,
     or with a word that is not a plain word, falls back to a substring match. Scores are compared
@@ -86,15 +93,15 @@ def search(queries: DataFrame, index: dict[str, DataFrame], k: int | None = None
         .agg(F.count_distinct("i").alias("got")).filter("got = n")
         .groupBy("word", "fqn").agg(F.sum("weight").alias("f"))
     )
-    hits = stored(hit1.unionByName(hit2), "term-hits")
+    found = stored(hit1.unionByName(hit2), "term-hits")
 
     total = index["docs"].agg(F.count("*").alias("n"), F.avg("length").alias("avg"))
     n, avg = total.select("n").scalar(), total.select("avg").scalar()
-    df = hits.groupBy("word").agg(F.count("*").alias("_df"))
+    df = found.groupBy("word").agg(F.count("*").alias("_df"))
     raw_idf = F.log((n - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     idf = df.select("word", F.when(raw_idf > 0, raw_idf).otherwise(IDF_FLOOR).alias("idf"))
     norm = K1 * (1 - B + B * F.col("length") / avg)
-    weighted = salted_join(hits, idf, "word", "fqn").join(index["docs"], "fqn").select(
+    weighted = salted_join(found, idf, "word", "fqn").join(index["docs"], "fqn").select(
         "word", "fqn", (F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm)).alias("s")
     )
     scored = (
@@ -104,10 +111,9 @@ def search(queries: DataFrame, index: dict[str, DataFrame], k: int | None = None
     )
     scored = stored(scored, "ranked")
     unanswered = asked.join(scored.select("query").distinct(), "query", "left_anti")
-    every = scored.unionByName(substring_hits(unanswered, index["text"]), allowMissingColumns=True)
-    w = Window.partitionBy("query").orderBy(F.desc_nulls_last("score"), "fqn")
-    ranked = every.withColumn("rank", F.row_number().over(w))
-    return (ranked if k is None else ranked.filter(F.col("rank") <= k)).select("query", "fqn", "score", "rank", "matched_by")
+    return scored.unionByName(substring_hits(unanswered, index["text"]), allowMissingColumns=True).select(
+        "query", "fqn", "score", "matched_by"
+    )
 
 
 def substring_hits(queries: DataFrame, text: DataFrame) -> DataFrame:

@@ -62,6 +62,16 @@ def _need(n, num: int, den: int):
     return F.expr(f"cast(({n} * {num} + {den} - 1) div {den} as int)")
 
 
+def _beside(pairs: DataFrame, left: DataFrame, right: DataFrame, id: str, col: str, lname: str, rname: str) -> DataFrame:
+    """Pairs with the column of both sides. Only right rows that have a partner are repeated for
+    the salted join; left rows, the bulk, are never repeated."""
+    ls = left.select(F.col(id).alias("left_id"), F.col(col).alias(lname))
+    rs = right.select(F.col(id).alias("right_id"), F.col(col).alias(rname)).join(
+        pairs.select("right_id").distinct(), "right_id", "left_semi"
+    )
+    return salted_join(pairs.join(ls, "left_id"), rs, "right_id", "left_id")
+
+
 def similar_pairs(
     left: DataFrame, right: DataFrame, threshold: tuple[int, int], id: str = "id", elements: str = "elements", by=()
 ) -> DataFrame:
@@ -88,7 +98,7 @@ def similar_pairs(
     def prefixes(sets: DataFrame, known_all: bool) -> DataFrame:
         items = sets.select("_id", *by, F.size("_set").alias("_n"), F.explode("_set").alias("_h"))
         ranked = (
-            items.join(freq, [*by, "_h"])
+            salted_join(items, freq, [*by, "_h"], "_id")
             .groupBy("_id", *by, "_n")
             .agg(F.sort_array(F.collect_list(F.struct("_f", "_h"))).alias("_known"))
         )
@@ -109,14 +119,9 @@ def similar_pairs(
         (F.col("_ln") * num <= F.col("_rn") * den) & (F.col("_rn") * num <= F.col("_ln") * den)
     )
     pairs = met.select("left_id", "right_id").distinct()
-    ls = left.select(F.col(id).alias("left_id"), F.col(elements).alias("_le"))
-    rs = right.select(F.col(id).alias("right_id"), F.col(elements).alias("_re"))
-    scored = (
-        salted_join(salted_join(pairs, ls, "left_id", "right_id"), rs, "right_id", "left_id")
-        .select(
-            "left_id", "right_id", F.size(F.array_intersect("_le", "_re")).alias("overlap"),
-            F.size("_le").alias("left_size"), F.size("_re").alias("right_size"),
-        )
+    scored = _beside(pairs, left, right, id, elements, "_le", "_re").select(
+        "left_id", "right_id", F.size(F.array_intersect("_le", "_re")).alias("overlap"),
+        F.size("_le").alias("left_size"), F.size("_re").alias("right_size"),
     )
     return scored.filter(
         F.col("overlap") * den >= (F.col("left_size") + F.col("right_size") - F.col("overlap")) * num
@@ -165,9 +170,7 @@ def sequence_pairs(left: DataFrame, right: DataFrame, threshold: tuple[int, int]
     p, q = threshold
     bags = [df.withColumn("elements", numbered("tokens")) for df in (left, right)]
     met = similar_pairs(*bags, (p, 2 * q - p), id=id, by=by).select("left_id", "right_id")
-    ls = left.select(F.col(id).alias("left_id"), F.col("tokens").alias("_lt"))
-    rs = right.select(F.col(id).alias("right_id"), F.col("tokens").alias("_rt"))
-    both = salted_join(salted_join(met, ls, "left_id", "right_id"), rs, "right_id", "left_id")
+    both = _beside(met, left, right, id, "tokens", "_lt", "_rt")
     return (
         both.select("left_id", "right_id", sequence_ratio("_lt", "_rt").alias("ratio"))
         .filter(F.col("ratio") * q >= p)
@@ -187,26 +190,27 @@ def near_duplicates_lsh(
     by = list(by)
     sets = stored(df.select(F.col(id).alias("_id"), *by, F.col(elements).alias("_set")), "sets").filter(F.size("_set") > 0)
 
-    def least_hash(seed: int):
-        return F.array_min(F.transform("_set", lambda e: F.xxhash64(e, F.lit(seed))))
-
+    # all rows of a text are in one task, so these minima are complete before anything is shuffled
+    hashed = sets.select("_id", *by, F.explode("_set").alias("_e")).select("_id", *by, F.xxhash64("_e").alias("_h"))
+    least = [F.min(F.xxhash64("_h", F.lit(i))).alias(f"m{i}") for i in range(bands * rows)]
+    mins = hashed.groupBy("_id", *by).agg(*least)
     band = [
-        F.struct(F.lit(b).alias("band"), F.xxhash64(*[least_hash(b * rows + r) for r in range(rows)]).alias("bucket"))
+        F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)]).alias("bucket"))
         for b in range(bands)
     ]
-    keys = sets.select("_id", *by, F.inline(F.array(*band)))
+    keys = mins.select("_id", *by, F.inline(F.array(*band)))
     firsts = keys.groupBy(*by, "band", "bucket").agg(F.min("_id").alias("first_id"), F.count("*").alias("_n")).filter("_n > 1")
     pairs = (
         salted_join(keys, firsts.drop("_n"), [*by, "band", "bucket"], "_id")
         .filter("_id <> first_id").select("_id", "first_id").distinct()
     )
     num, den = threshold
-    own = sets.select("_id", F.col("_set").alias("_le"))
-    other = sets.select(F.col("_id").alias("first_id"), F.col("_set").alias("_re"))
-    scored = salted_join(pairs.join(own, "_id"), other, "first_id", "_id").select(
-        F.col("first_id").alias("left_id"), F.col("_id").alias("right_id"),
+    # the member is the left side here: a first member may stand for a third of all texts
+    met = pairs.select(F.col("_id").alias("left_id"), F.col("first_id").alias("right_id"))
+    scored = _beside(met, sets, sets, "_id", "_set", "_le", "_re").select(
+        F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"),
         F.size(F.array_intersect("_le", "_re")).alias("overlap"),
-        F.size("_le").alias("left_size"), F.size("_re").alias("right_size"),
+        F.size("_re").alias("left_size"), F.size("_le").alias("right_size"),
     )
     return scored.filter(F.col("overlap") * den >= (F.col("left_size") + F.col("right_size") - F.col("overlap")) * num)
 
@@ -222,7 +226,7 @@ def _blocks(df: DataFrame, id: str, vec: str, side: str) -> DataFrame:
     chunk = F.pmod(F.xxhash64(F.col(id)), F.ceil((n + 1) / F.lit(BLOCK)))
     return df.withColumn("_chunk", chunk).groupBy("_chunk").agg(
         F.collect_list(F.col(id).cast("bigint")).alias(f"{side}_ids"),
-        F.collect_list(F.col(vec).cast("array<double>")).alias(f"{side}_vecs"),
+        F.collect_list(F.col(vec)).alias(f"{side}_vecs"),
     ).withColumnRenamed("_chunk", f"{side}_chunk")
 
 

@@ -65,12 +65,13 @@ def dense_status(customers: DataFrame, calendar: DataFrame, pairs: DataFrame, ou
     """
     active = pairs.groupBy(KEY).agg(F.collect_list(DAY).alias("_active"))
     dates = calendar_days(calendar).agg(F.sort_array(F.collect_list(DAY)).alias("_dates")).scalar()
+    flagged = lambda days, value: F.transform(days, lambda d: F.struct(d.alias(DAY), F.lit(value).alias(out)))
     return (
         customers.select(KEY).distinct()
         .join(active, KEY, "left")
-        .withColumn("_dates", dates)
-        .select(KEY, "_active", F.explode("_dates").alias(DAY))
-        .select(KEY, DAY, flag(F.array_contains("_active", F.col(DAY))).alias(out))
+        .withColumn("_active", F.coalesce("_active", F.array().cast("array<date>")))
+        .withColumn("_idle", F.array_except(dates, F.col("_active")))
+        .select(KEY, F.inline(F.concat(flagged(F.col("_active"), True), flagged(F.col("_idle"), False))))
     )
 
 

@@ -341,6 +341,12 @@ def _(lake):
     return S.embedding_pairs(lake.embeddings, lake.embeddings, 0.88)
 
 
+@query("embedding_close_pairs", f"""SELECT a, b, score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS score
+    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= 0.4""")
+def _(lake):
+    return S.embedding_pairs(lake.embeddings, lake.embeddings, 0.4)
+
+
 def _duplicates(lake: Lake) -> dict[str, DataFrame]:
     """Copies point at the first member of their group; distinct contents at similar ones."""
     feats = stored(T.featurize(lake.sql_snippet).select("id", "language", "dialect", "fingerprint", "tokens"), "features")

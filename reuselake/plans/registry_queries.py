@@ -65,26 +65,31 @@ def _(lake):
 @query("search_like_fallback", """WITH q AS (SELECT DISTINCT 'BRAND#' || p_size % 10 AS query FROM part), h AS (SELECT query, fqn FROM q JOIN artifact
     ON contains(lower(fqn), lower(query)) OR contains(lower(title), lower(query)) OR contains(lower(description), lower(query)))
   SELECT query, fqn, cast(NULL AS double) AS score, cast(row_number() OVER (PARTITION BY query ORDER BY fqn) AS int) AS rank,
-    'substring' AS matched_by FROM h""", "artifact")
+    'substring' AS matched_by FROM h QUALIFY row_number() OVER (PARTITION BY query ORDER BY fqn) <= 20""", "artifact")
 def _(lake):
     q = lake.part.select(F.concat(F.lit("BRAND#"), (F.col("p_size") % 10).cast("string")).alias("query")).distinct()
-    return X.search(q, X.build_index(registry(lake)["artifact"]))
+    return X.search(q, X.build_index(registry(lake)["artifact"]), 20)
 
 
 @query("artifact_detail", f"""WITH {BIND}, b AS (SELECT fqn, string_agg(physical_ref || '/' || runtime, ',' ORDER BY ordinal) AS bindings FROM bnd GROUP BY 1),
-  d AS (SELECT from_fqn AS fqn, string_agg(to_fqn || '/' || relationship, ',' ORDER BY to_fqn, relationship) AS dependencies FROM dependency_edge GROUP BY 1),
-  c AS (SELECT to_fqn AS fqn, string_agg(from_fqn || '/' || relationship, ',' ORDER BY from_fqn, relationship) AS consumers FROM dependency_edge GROUP BY 1)
-  SELECT a.fqn, title, lifecycle, coalesce(owner, 'UNKNOWN') AS owner, bindings, dependencies, consumers
+  d AS (SELECT from_fqn AS fqn, count(*) AS n FROM dependency_edge GROUP BY 1), c AS (SELECT to_fqn AS fqn, count(*) AS n FROM dependency_edge GROUP BY 1)
+  SELECT a.fqn, title, lifecycle, coalesce(owner, 'UNKNOWN') AS owner, bindings, coalesce(d.n, 0) AS dependencies, coalesce(c.n, 0) AS consumers
   FROM artifact a LEFT JOIN b ON b.fqn = a.fqn LEFT JOIN d ON d.fqn = a.fqn LEFT JOIN c ON c.fqn = a.fqn""", ART)
 def _(lake):
     t = registry(lake)
-    flat = lambda c, *f: F.array_join(F.transform(c, lambda s: F.concat_ws("/", *[s[x] for x in f])), ",").alias(c)
+    refs = F.transform("bindings", lambda b: F.concat_ws("/", b["physical_ref"], b["runtime"]))
     return R.artifact_detail(t["artifact"], t["binding"], t["edge"]).select(
-        "fqn", "title", "governance.lifecycle", "governance.owner", flat("bindings", "physical_ref", "runtime"),
-        flat("dependencies", "fqn", "relationship"), flat("consumers", "fqn", "relationship"),
+        "fqn", "title", "governance.lifecycle", "governance.owner", F.array_join(refs, ",").alias("bindings"),
+        "dependencies", "consumers",
     )
 
 
+@query("artifact_links", """SELECT from_fqn AS fqn, 'dependency' AS direction, to_fqn AS other, relationship FROM dependency_edge
+  UNION ALL SELECT to_fqn, 'consumer', from_fqn, relationship FROM dependency_edge""", ART)
+def _(lake):
+    return R.artifact_links(registry(lake)["edge"])
+
+
 _CANON = """cn AS (SELECT query, arg_min(fqn, rank) AS fqn FROM (SELECT query, r.fqn, rank FROM rk r JOIN artifact a ON a.fqn = r.fqn
     WHERE lifecycle <> 'retired' AND reuse_intent = 'enterprise_canonical') GROUP BY query)"""
 

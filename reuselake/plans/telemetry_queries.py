@@ -145,12 +145,13 @@ def _(lake):
 
 
 @query("propagation_gap", """SELECT a.fqn, count(DISTINCT from_fqn) AS dependents FROM artifact a JOIN dependency_edge e ON e.to_fqn = a.fqn
-  WHERE lifecycle = 'certified' AND interface_type = 'queryable_dataset' AND a.fqn NOT IN (
-    SELECT to_fqn FROM dependency_edge x JOIN artifact s ON s.fqn = x.from_fqn WHERE s.interface_type = 'semantic_contract') GROUP BY 1""",
+  WHERE lifecycle = 'certified' AND interface_type = 'queryable_dataset' AND relationship = 'transformation_dependency' AND a.fqn NOT IN (
+    SELECT to_fqn FROM dependency_edge x JOIN artifact s ON s.fqn = x.from_fqn WHERE s.interface_type = 'semantic_contract'
+      AND x.relationship = 'transformation_dependency') GROUP BY 1""",
        "artifact dependency_edge")
 def _(lake):
     t = registry(lake)
-    return T.propagation_gap(t["artifact"], t["edge"])
+    return T.propagation_gap(t["artifact"], t["edge"].filter("relationship = 'transformation_dependency'"))
 
 
 @query("promotion_candidates", f"""WITH {EV} SELECT ref, count(DISTINCT consumer_key) AS consumers, count(*) AS events FROM us

@@ -53,6 +53,7 @@ def compare(df, con, sql) -> list[str]:
     want = cur.fetchall()
     t1 = time.time()
     got = df.collect()
+    TIMES["rows"] = len(got)
     TIMES["sql"], TIMES["spark"] = t1 - t0, time.time() - t1
     out = []
     if sorted(names) != sorted(df.columns):

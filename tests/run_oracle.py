@@ -21,7 +21,7 @@ for name, fn in all_queries().items():
         df = fn(spark, path)
         if name in all_oracles():
             diff = compare(df, con, all_oracles()[name])
-            n = f"sql {TIMES.get('sql', 0):.2f}s collect {TIMES.get('spark', 0):.2f}s"
+            n = f"rows {TIMES.get('rows', 0)} sql {TIMES.get('sql', 0):.2f}s collect {TIMES.get('spark', 0):.2f}s"
         else:
             diff, n = [], f"rows={df.count()} (no SQL)"
     except Exception as e:  # noqa: BLE001

@@ -68,7 +68,7 @@ def test_stream_ends_where_batch_ends(spark, feed):
     assert A.read_edges(spark, f"{base}/edges").agg(F.sum("events")).first()[0] == df.count()
     merged = A.compact_edges(spark, f"{base}/edges", f"{base}/merged")
     assert merged.exceptAll(A.read_edges(spark, f"{base}/edges")).count() == 0
-    roll = T.rolling_30d(got.select(*T.EDGE, "day", "events"))
+    roll = T.rolling_30d(A.read_edges(spark, f"{base}/edges").select(*T.EDGE, "day", "events"))
     full = T.rolling_30d(want.select(*T.EDGE, "day", "events"))
     assert roll.exceptAll(full).count() == 0
 

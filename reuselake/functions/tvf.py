@@ -46,6 +46,5 @@ def register(spark: SparkSession, events: DataFrame, fx: DataFrame, commercial:
             SELECT recognized_revenue_usd AS net, 0 AS head FROM recognize_revenue(date_sub(as_of, 90), as_of)
             WHERE customer_id IN (SELECT customer_id FROM active)
             UNION ALL SELECT 0, 1 FROM active)
-        SELECT as_of, CAST(coalesce(sum(net), 0) AS DECIMAL(38,2)), coalesce(sum(head), 0),
-               CAST(sum(net) AS DOUBLE) / nullif(sum(head), 0)
-        FROM parts""")
+        SELECT as_of, net, head, CAST(net AS DOUBLE) / nullif(head, 0) FROM (
+          SELECT CAST(coalesce(sum(net), 0) AS DECIMAL(38,2)) AS net, coalesce(sum(head), 0) AS head FROM parts)""")

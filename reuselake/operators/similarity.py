@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reuselake.functions.pairs import numbered, sequence_ratio
 from reuselake.operators.skew import salted_join
-from reuselake.session import stored
+from reuselake.session import spread, stored
 
 # -- exact duplicates -----------------------------------------------------------------------------
 
@@ -191,7 +191,7 @@ def near_duplicates_lsh(
     sets = stored(df.select(F.col(id).alias("_id"), *by, F.col(elements).alias("_set")), "sets").filter(F.size("_set") > 0)
 
     # all rows of a text are in one task, so these minima are complete before anything is shuffled
-    hashed = sets.select("_id", *by, F.explode("_set").alias("_e")).select("_id", *by, F.xxhash64("_e").alias("_h"))
+    hashed = spread(sets).select("_id", *by, F.explode("_set").alias("_e")).select("_id", *by, F.xxhash64("_e").alias("_h"))
     least = [F.min(F.xxhash64("_h", F.lit(i))).alias(f"m{i}") for i in range(bands * rows)]
     mins = hashed.groupBy("_id", *by).agg(*least)
     band = [

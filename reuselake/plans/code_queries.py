@@ -11,7 +11,7 @@ from reuselake.operators import graph as G
 from reuselake.operators import similarity as S
 from reuselake.plans.catalog import query
 from reuselake.plans.fixtures import Lake
-from reuselake.session import stored
+from reuselake.session import spread, stored
 
 # -- the same text rules as SQL -------------------------------------------------------------------
 
@@ -202,7 +202,7 @@ _PROSE = r"regexp_extract_all(lower(text), '[a-z0-9_]+')"
 def _(lake):
     def sets(df, id):
         toks = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
-        return df.select(F.col(id).alias("id"), T.shingles(toks).alias("elements"))
+        return spread(df).select(F.col(id).alias("id"), T.shingles(toks).alias("elements"))
 
     return S.similar_rows(sets(lake.documents, "doc_id"), sets(lake.benchmark, "item_id"), (1, 20)).select(
         F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.col("overlap").alias("shared"),
@@ -318,7 +318,7 @@ def _(lake):
 @query("near_duplicates_lsh")
 def _(lake):
     toks = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
-    docs = lake.documents.select("doc_id", T.shingles(toks).alias("elements"))
+    docs = spread(lake.documents).select("doc_id", T.shingles(toks).alias("elements"))
     return S.near_duplicates_lsh(docs, id="doc_id").select("left_id", "right_id", S.jaccard().alias("score"))
 
 

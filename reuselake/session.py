@@ -65,3 +65,18 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+SPLIT = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before costly expressions.
+
+    A file below one split per core arrives in too few tasks. Inputs with at least a split's worth
+    of bytes per core are left as they are: at that size a shuffle would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * SPLIT else df

@@ -60,13 +60,15 @@ def fqn_collisions(artifact: DataFrame) -> DataFrame:
     return artifact.groupBy("fqn").agg(F.count("*").alias("entries")).filter("entries > 1")
 
 
-def schema_diff(contract: DataFrame, old: int, new: int) -> DataFrame:
+def schema_diff(contract: DataFrame, old: int, new: int, renames: DataFrame | None = None) -> DataFrame:
     """Column changes between two versions of every dataset, by meeting both on the column name.
 
-    A removed column next to an added one of the same type reads as a rename only if ``renames``
-    is declared by the owner, so renames show as a removal and an addition."""
-    side = lambda v, p: contract.filter(F.col("version") == v).select(
-        "dataset", "column_name", F.lower("type").alias(f"{p}_type"), F.col("nullable").alias(f"{p}_null"))
+    ``renames`` (dataset, old_name, new_name) declares renamed columns; without it a rename reads
+    as a removal and an addition. Either way it breaks."""
+    def side(v: int, prefix: str) -> DataFrame:
+        return contract.filter(F.col("version") == v).select(
+            "dataset", "column_name", F.lower("type").alias(f"{prefix}_type"), F.col("nullable").alias(f"{prefix}_null"))
+
     both = side(old, "old").join(side(new, "new"), ["dataset", "column_name"], "full_outer")
     change = (
         F.when(F.col("new_type").isNull(), "removed")
@@ -75,9 +77,18 @@ def schema_diff(contract: DataFrame, old: int, new: int) -> DataFrame:
         .when(F.col("old_type") != F.col("new_type"), "retyped")
         .when((F.col("old_null") == 1) & (F.col("new_null") == 0), "tightened")
     )
-    return both.withColumn("change", change).filter("change IS NOT NULL").withColumn(
-        "breaking", F.col("change").isin("removed", "added_required", "retyped")
-    ).select("dataset", "column_name", "change", "breaking")
+    diff = both.withColumn("change", change).filter("change IS NOT NULL").select("dataset", "column_name", "change")
+    if renames is not None:
+        before = renames.select("dataset", F.col("old_name").alias("column_name"), F.lit(True).alias("_from"))
+        after = renames.select("dataset", F.col("new_name").alias("column_name"))
+        diff = (
+            diff.join(before, ["dataset", "column_name"], "left")
+            .withColumn("change", F.when((F.col("change") == "removed") & F.col("_from"), "renamed").otherwise(F.col("change")))
+            .drop("_from")
+        )
+        added = diff.filter(F.col("change").startswith("added")).join(after, ["dataset", "column_name"], "left_anti")
+        diff = diff.filter(~F.col("change").startswith("added")).unionByName(added)
+    return diff.withColumn("breaking", F.col("change").isin("removed", "renamed", "added_required", "retyped"))
 
 
 def grain_changes(grain: DataFrame, old: int, new: int) -> DataFrame:

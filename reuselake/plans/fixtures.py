@@ -43,7 +43,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
         SELECT ccy AS from_currency, 'USD' AS to_currency, rate_date,
           cast(cast(base * 1000 + datediff(rate_date, date'1995-01-01') % 100 AS decimal(18,8)) / 1000 AS decimal(18,8)) AS exchange_rate
         FROM VALUES ('EUR',1),('GBP',1),('JPY',0) c(ccy, base)
-        CROSS JOIN (SELECT explode(sequence(date'1995-01-01', date'2001-12-31')) AS rate_date)
+        LATERAL VIEW explode(sequence(date'1995-01-01', date'2001-12-31')) d AS rate_date
         WHERE NOT (ccy = 'GBP' AND day(rate_date) = 13)""",
         "duckdb": """
         SELECT ccy AS from_currency, 'USD' AS to_currency, rate_date,
@@ -81,18 +81,27 @@ VIEWS: dict[str, str | dict[str, str]] = {
           CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE 'team-' || p_brand END AS owner,
           CASE p_partkey % 4 WHEN 0 THEN 'enterprise_canonical' WHEN 1 THEN 'domain_canonical' ELSE 'shared_utility' END AS reuse_intent
         FROM part""",
-    "binding": """
+    # an artifact nobody owns has no binding; the others have one to three
+    "binding": {
+        "spark": """
         SELECT fqn, ord, n AS ordinal, CASE n WHEN 0 THEN 'warehouse' WHEN 1 THEN 'databricks' ELSE 'dbt' END AS system,
           CASE WHEN (ord + n) % 3 = 0 THEN 'uat' ELSE 'prod' END AS env, CASE n WHEN 2 THEN 'macro' ELSE 'view' END AS object_type,
           'ref.' || cast(ord AS string) || '.' || cast(n AS string) AS physical_ref
-        FROM artifact JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) t ON n <= ord % 4
-        WHERE ord % 10 <> 9""",
+        FROM artifact LATERAL VIEW explode(array(0, 1, 2)) t AS n
+        WHERE owner IS NOT NULL AND n <= ord % 4""",
+        "duckdb": """
+        SELECT fqn, ord, n AS ordinal, CASE n WHEN 0 THEN 'warehouse' WHEN 1 THEN 'databricks' ELSE 'dbt' END AS system,
+          CASE WHEN (ord + n) % 3 = 0 THEN 'uat' ELSE 'prod' END AS env, CASE n WHEN 2 THEN 'macro' ELSE 'view' END AS object_type,
+          'ref.' || cast(ord AS string) || '.' || cast(n AS string) AS physical_ref
+        FROM artifact CROSS JOIN (SELECT cast(unnest([0, 1, 2]) AS int) AS n) t
+        WHERE owner IS NOT NULL AND n <= ord % 4""",
+    },
     "dependency_edge": """
         SELECT a.fqn AS from_fqn, b.fqn AS to_fqn, 'source_input' AS relationship
         FROM artifact a JOIN artifact b ON b.ord = cast(floor(a.ord / 2.0) AS bigint) WHERE a.ord > 0
         UNION ALL
         SELECT a.fqn, b.fqn, 'transformation_dependency'
-        FROM artifact a JOIN artifact b ON b.ord = cast(floor(a.ord / 3.0) AS bigint) WHERE a.ord > 2 AND a.ord % 2 = 0""",
+        FROM artifact a JOIN artifact b ON b.ord = cast(floor(a.ord / 3.0) AS bigint) WHERE a.ord > 2 AND a.lifecycle NOT IN ('local', 'retired')""",
     "sql_snippet": """
         SELECT p_partkey AS id, 'sql' AS language, CASE WHEN p_partkey % 2 = 0 THEN 'snowflake' ELSE 'spark' END AS dialect,
           CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '-- copy of revenue rule' || chr(10) ELSE '/* owner ' || p_brand || ' */ ' END ||
@@ -118,13 +127,25 @@ VIEWS: dict[str, str | dict[str, str]] = {
         SELECT s.id, s.language, s.dialect, s.text, a.fqn, a.title, a.lifecycle, a.owner, a.reuse_intent
         FROM sql_snippet s JOIN artifact a ON a.ord = s.id
         WHERE a.fqn IN (SELECT fqn FROM binding)""",
-    "contract": """
+    # two versions of every dataset; some columns exist in one of them only
+    "contract": {
+        "spark": """
         SELECT 'ds.' || p_brand AS dataset, v AS version, column_name,
           CASE WHEN v = 2 AND k % 13 = 0 THEN 'string' WHEN k % 3 = 0 THEN 'date' ELSE 'decimal(18,2)' END AS type,
           CASE WHEN (k + v) % 4 = 0 THEN 0 ELSE 1 END AS nullable
         FROM (SELECT p_brand, lower(p_type) || '_' || cast(p_size % 4 AS string) AS column_name, min(p_partkey) AS k
               FROM part GROUP BY p_brand, lower(p_type) || '_' || cast(p_size % 4 AS string)) c
-        JOIN (SELECT 1 AS v UNION ALL SELECT 2) t ON NOT (v = 2 AND k % 7 = 0) AND NOT (v = 1 AND k % 11 = 0)""",
+        LATERAL VIEW explode(array(1, 2)) t AS v
+        WHERE NOT (v = 2 AND k % 7 = 0) AND NOT (v = 1 AND k % 11 = 0)""",
+        "duckdb": """
+        SELECT 'ds.' || p_brand AS dataset, v AS version, column_name,
+          CASE WHEN v = 2 AND k % 13 = 0 THEN 'string' WHEN k % 3 = 0 THEN 'date' ELSE 'decimal(18,2)' END AS type,
+          CASE WHEN (k + v) % 4 = 0 THEN 0 ELSE 1 END AS nullable
+        FROM (SELECT p_brand, lower(p_type) || '_' || cast(p_size % 4 AS string) AS column_name, min(p_partkey) AS k
+              FROM part GROUP BY p_brand, lower(p_type) || '_' || cast(p_size % 4 AS string)) c
+        CROSS JOIN (SELECT cast(unnest([1, 2]) AS int) AS v) t
+        WHERE NOT (v = 2 AND k % 7 = 0) AND NOT (v = 1 AND k % 11 = 0)""",
+    },
     "intent": """
         SELECT DISTINCT lower(p_type) || ' ' || split_part(p_name, ' ', 1) AS query FROM part""",
     "landed_page": """

@@ -39,16 +39,15 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to the
     machine's own temporary folder, because there every executor is this machine.
     """
-    sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if named:
+        return named
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = os.path.join(tempfile.gettempdir(), f"reuselake-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
+        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"reuselake-{os.getpid()}"))
+    return sc.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

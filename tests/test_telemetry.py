@@ -135,3 +135,23 @@ def test_contract_on_data(spark):
     df = spark.createDataFrame([("a", None), ("a", 1), ("b", 2)], "k string, v int")
     got = sorted(tuple(r) for r in G.contract_check(df, [("k", "string", False), ("v", "int", False), ("w", "date", True)], ["k"]).collect())
     assert got == [("duplicate_grain", "k", 1), ("missing_column", "w", 1), ("null_value", "v", 1)]
+
+
+def test_schema_changes_and_renames(spark):
+    c = spark.createDataFrame([
+        ("d", 1, "a", "date", 1), ("d", 1, "b", "date", 1), ("d", 1, "c", "date", 1), ("d", 1, "e", "date", 1),
+        ("d", 2, "a", "string", 1), ("d", 2, "b2", "date", 1), ("d", 2, "c", "date", 0), ("d", 2, "n", "date", 0), ("d", 2, "o", "date", 1),
+    ], "dataset string, version int, column_name string, type string, nullable int")
+    plain = {r.column_name: (r.change, r.breaking) for r in G.schema_diff(c, 1, 2).collect()}
+    assert plain == {"a": ("retyped", True), "b": ("removed", True), "b2": ("added_nullable", False), "c": ("tightened", False),
+                     "e": ("removed", True), "n": ("added_required", True), "o": ("added_nullable", False)}
+    ren = spark.createDataFrame([("d", "b", "b2")], "dataset string, old_name string, new_name string")
+    named = {r.column_name: r.change for r in G.schema_diff(c, 1, 2, ren).collect()}
+    assert named["b"] == "renamed" and "b2" not in named and named["e"] == "removed"
+
+
+def test_shared_folder_without_setting(spark):
+    from reuselake.session import shared_dir
+
+    old = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_dir(spark) == old if old else shared_dir(spark).startswith("file:/tmp/reuselake-")

@@ -35,21 +35,24 @@ def recognized_window(events: DataFrame, fx: DataFrame, as_of, n: int, bounds: s
 
 
 def arpac_components(
-    pairs: DataFrame, events: DataFrame, fx: DataFrame, n: int = 90, bounds: str = "closed", by_customer: bool = False
+    pairs: DataFrame, events: DataFrame, fx: DataFrame, n: int = 90, bounds: str = "closed", by_customer: bool = False,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Net revenue of the active customers and their number, per reporting date.
 
     ``pairs`` holds the active (customer, reporting date) rows. The sum over a trailing window is
     the difference of two running totals, so each pair adds two probe rows to its customer's
     daily revenue, one running sum answers them all, and no row is copied per window day.
-    Customers without revenue count in the denominator.
+    Customers without revenue count in the denominator. ``calendar`` (the reporting dates) only
+    spares revenue that no window can reach; the result is the same without it.
     """
     lo, hi = reach(n, bounds)
-    span = pairs.agg(F.min(DAY).alias("lo"), F.max(DAY).alias("hi"))
-    first = F.date_sub(span.select("lo").scalar(), hi)
-    last = span.select("hi").scalar()
+    reachable = ("0001-01-01", "9999-12-31")
+    if calendar is not None:
+        span = calendar.agg(F.struct(F.min(DAY).alias("lo"), F.max(DAY).alias("hi"))).scalar()
+        reachable = (F.date_sub(span["lo"], hi), F.date_sub(span["hi"], lo))
     revenue = (
-        recognize_revenue(events, fx, first, last)
+        recognize_revenue(events, fx, *reachable)
         .groupBy(KEY, F.col("recognition_date").alias("_day"))
         .agg(F.sum("recognized_revenue_usd").cast(TOTAL).alias("_amount"))
     )

@@ -168,7 +168,7 @@ def sequence_pairs(left: DataFrame, right: DataFrame, threshold: tuple[int, int]
     therefore loses nothing, and only its survivors are aligned. Needs a ``tokens`` column.
     """
     p, q = threshold
-    bags = [df.withColumn("elements", numbered("tokens")) for df in (left, right)]
+    bags = [stored(df.select(id, *by, numbered("tokens").alias("elements")), "bags") for df in (left, right)]
     met = similar_pairs(*bags, (p, 2 * q - p), id=id, by=by).select("left_id", "right_id")
     both = _beside(met, left, right, id, "tokens", "_lt", "_rt")
     return (
@@ -220,14 +220,16 @@ def near_duplicates_lsh(
 BLOCK = 1024
 
 
+def _chunks(df: DataFrame):
+    """Number of blocks for a table, as a one-value query."""
+    return F.ceil((df.agg(F.count("*").alias("n")).scalar() + 1) / F.lit(BLOCK))
+
+
 def _blocks(df: DataFrame, id: str, vec: str, side: str) -> DataFrame:
     """Vectors packed into blocks of about ``BLOCK`` rows, one row per block."""
-    n = df.agg(F.count("*").alias("n")).scalar()
-    chunk = F.pmod(F.xxhash64(F.col(id)), F.ceil((n + 1) / F.lit(BLOCK)))
-    return df.withColumn("_chunk", chunk).groupBy("_chunk").agg(
-        F.collect_list(F.col(id).cast("bigint")).alias(f"{side}_ids"),
-        F.collect_list(F.col(vec)).alias(f"{side}_vecs"),
-    ).withColumnRenamed("_chunk", f"{side}_chunk")
+    return df.groupBy(F.pmod(F.xxhash64(F.col(id)), _chunks(df)).alias(f"{side}_chunk")).agg(
+        F.collect_list(F.col(id).cast("bigint")).alias(f"{side}_ids"), F.collect_list(F.col(vec)).alias(f"{side}_vecs")
+    )
 
 
 def _matrix(rows) -> np.ndarray:
@@ -240,11 +242,10 @@ def _block_pairs(queries: DataFrame, candidates: DataFrame, id: str, vec: str) -
     """Every query block next to every candidate block: an equality join on the block number."""
     q = _blocks(queries, id, vec, "q")
     c = _blocks(candidates, id, vec, "c")
-    nblocks = c.agg(F.coalesce(F.max("c_chunk"), F.lit(-1)).alias("n")).scalar()
-    spread = q.withColumn("_last", nblocks).filter("_last >= 0").withColumn(
+    everywhere = q.withColumn("_last", _chunks(candidates) - 1).withColumn(
         "c_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))
     ).drop("_last")
-    return spread.join(c, "c_chunk")
+    return everywhere.join(c, "c_chunk")
 
 
 def embedding_topk(

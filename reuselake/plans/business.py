@@ -254,23 +254,23 @@ def _pairs(lake: Lake) -> DataFrame:
 
 @query("arpac_components", _SERIES.format(lo=90) + " SELECT * FROM c", _SERIES_VIEWS)
 def _(lake):
-    return A.arpac_components(_pairs(lake), events(lake), lake.dim_exchange_rates)
+    return A.arpac_components(_pairs(lake), events(lake), lake.dim_exchange_rates, calendar=lake.reporting_calendar)
 
 
 @query("arpac_components_days", _SERIES.format(lo=89) + " SELECT * FROM c", _SERIES_VIEWS)
 def _(lake):
-    return A.arpac_components(_pairs(lake), events(lake), lake.dim_exchange_rates, bounds="days")
+    return A.arpac_components(_pairs(lake), events(lake), lake.dim_exchange_rates, calendar=lake.reporting_calendar, bounds="days")
 
 
 @query("arpac_components_by_customer",
        _SERIES.format(lo=90) + " SELECT customer_id, reporting_date, cast(net AS decimal(38,2)) AS net_revenue_usd FROM per", _SERIES_VIEWS)
 def _(lake):
-    return A.arpac_components(_pairs(lake), events(lake), lake.dim_exchange_rates, by_customer=True)
+    return A.arpac_components(_pairs(lake), events(lake), lake.dim_exchange_rates, calendar=lake.reporting_calendar, by_customer=True)
 
 
 @query("arpac_series", _SERIES.format(lo=90) + f" SELECT *, {_RATIO} FROM c", _SERIES_VIEWS)
 def _(lake):
-    return A.arpac(A.arpac_components(_pairs(lake), events(lake), lake.dim_exchange_rates))
+    return A.arpac(A.arpac_components(_pairs(lake), events(lake), lake.dim_exchange_rates, calendar=lake.reporting_calendar))
 
 
 @query("arpac_by_customer", f"""WITH {RECOGNIZED}, {ACTIVE} SELECT a.customer_id,
@@ -369,7 +369,7 @@ def _(lake):
        .replace(BILLABLE.replace("event_date", "invoice_date"), BILLABLE) + " SELECT * FROM c", f"{REV} reporting_calendar")
 def _(lake):
     pairs = S.billed_pairs(lake.fact_invoices, lake.reporting_calendar)
-    return A.arpac_components(pairs, events(lake), lake.dim_exchange_rates)
+    return A.arpac_components(pairs, events(lake), lake.dim_exchange_rates, calendar=lake.reporting_calendar)
 
 
 _OVER = f"""WITH {RECOGNIZED}, {ACTIVE}, {_BILLED}, lo AS (SELECT DISTINCT customer_id FROM customer_logins

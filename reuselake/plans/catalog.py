@@ -16,7 +16,12 @@ def query(name: str, sql: str | None = None, views: str = "", recursive: bool =
     """Register ``fn(lake)`` under ``name`` with its check SQL over the given fixture views."""
 
     def register(fn: Callable[[Lake], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Lake(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # the test tables and their SQL know no zone; days must start at the same moment
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(Lake(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             if views:
                 ORACLES[name] = with_views(sql, *views.split(), recursive=recursive)

@@ -28,16 +28,19 @@ VIEWS: dict[str, str | dict[str, str]] = {
           CASE c_nationkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'GBP' ELSE 'JPY' END AS currency_code,
           'ERP' AS source_system
         FROM orders JOIN customer ON c_custkey = o_custkey""",
+    # customer, contract, product and currency follow from the order, so they join the key; only
+    # numbers, dates and booleans are aggregated, which keeps Spark on hash aggregation
     "fact_refunds": """
-        SELECT l_orderkey * 10 + l_linenumber AS refund_id, l_orderkey AS invoice_id, max(customer_id) AS customer_id,
-          max(contract_id) AS contract_id, max(product_id) AS product_id, max(cast(l_shipdate AS date)) AS refund_date,
+        SELECT l_orderkey * 10 + l_linenumber AS refund_id, l_orderkey AS invoice_id, customer_id, contract_id, product_id,
+          max(cast(l_shipdate AS date)) AS refund_date,
           max(CASE WHEN l_linestatus = 'F' THEN cast(l_shipdate AS date) END) AS approved_date,
-          max(CASE l_linestatus WHEN 'F' THEN 'APPROVED' ELSE 'PENDING' END) AS refund_status,
+          CASE WHEN bool_and(coalesce(l_linestatus = 'F', false)) THEN 'APPROVED' ELSE 'PENDING' END AS refund_status,
           cast(round(sum(cast(l_extendedprice AS decimal(18,2)) * cast(l_discount AS decimal(4,2))), 2) AS decimal(18,2)) AS refund_amount,
-          max(currency_code) AS currency_code,
-          max(CASE l_returnflag WHEN 'R' THEN 'REFUND' ELSE 'CREDIT_NOTE' END) AS refund_type, 'ERP' AS source_system
+          currency_code,
+          CASE WHEN bool_or(l_returnflag = 'R') THEN 'REFUND' ELSE 'CREDIT_NOTE' END AS refund_type, 'ERP' AS source_system
         FROM lineitem JOIN fact_invoices ON invoice_id = l_orderkey
-        WHERE l_returnflag IN ('R','A') GROUP BY l_orderkey, l_linenumber""",
+        WHERE l_returnflag IN ('R','A')
+        GROUP BY l_orderkey, l_linenumber, customer_id, contract_id, product_id, currency_code""",
     "dim_exchange_rates": {
         "spark": """
         SELECT ccy AS from_currency, 'USD' AS to_currency, rate_date,

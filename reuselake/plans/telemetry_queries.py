@@ -177,6 +177,10 @@ def _activity_stream(lake: Lake) -> DataFrame:
     )
 
 
+def _zoneless(df: DataFrame) -> DataFrame:
+    return df.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
 def _attributed(lake: Lake) -> DataFrame:
     return A.attributed(A.deduplicated(_activity_stream(lake)), lake.binding, NAMES)
 
@@ -186,7 +190,7 @@ def _(lake):
     path = new_path(lake.spark, "stream-buckets")
     q = A.run_buckets(A.daily_buckets(A.attributed(_activity_stream(lake), lake.binding, NAMES)), f"{path}/out", f"{path}/checkpoint")
     q.awaitTermination()
-    return A.read_buckets(lake.spark, f"{path}/out")
+    return _zoneless(A.read_buckets(lake.spark, f"{path}/out"))
 
 
 @query("stream_usage_edges", f"""WITH {EV} SELECT * EXCLUDE (first_seen), cast(sum(events) OVER (PARTITION BY consumer_key, artifact_fqn, usage_type
@@ -194,7 +198,7 @@ def _(lake):
 def _(lake):
     path = new_path(lake.spark, "stream-edges")
     A.run_edges(_attributed(lake), f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return T.rolling_30d(A.read_edges(lake.spark, f"{path}/out")).drop("first_seen")
+    return _zoneless(T.rolling_30d(A.read_edges(lake.spark, f"{path}/out")).drop("first_seen"))
 
 
 @query("stream_billable_events", BILLABLE, FACTS)

@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reuselake.llm import quality, rules, sharding
+from reuselake.llm import bpe, dartminhash, langid, quality, rules, sharding
 from reuselake.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
+def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -23,6 +35,6 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_stratified_shards, op9_quality_rules, op10_quality_trees)
+    f.__name__: f for f in (op1_language_id, op4_dart_minhash, op7_word_table_bpe, op8_stratified_shards, op9_quality_rules, op10_quality_trees)
 }
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reuselake.llm import bpe, dartminhash, langid, quality, rules, sharding
+from reuselake.llm import bpe, dartminhash, decontam, langid, quality, rules, sharding
 from reuselake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,6 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op4_dart_minhash, op7_word_table_bpe, op8_stratified_shards, op9_quality_rules, op10_quality_trees)
+    f.__name__: f for f in (op1_language_id, op2_cgk_decontamination, op4_dart_minhash, op7_word_table_bpe, op8_stratified_shards, op9_quality_rules, op10_quality_trees)
 }
 ORACLES: dict[str, str] = {}

@@ -239,20 +239,22 @@ def item_blocks(items: DataFrame, block: int = BLOCK_ITEMS) -> Iterator[list[tup
         yield held
 
 
+def _searcher(index: Index):
+    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = []
+            for k in range(0, len(texts), 1000):
+                found += find(index, [t or "" for t in texts.iloc[k : k + 1000]])
+            yield pd.Series(found, dtype=object)
+
+    return search
+
+
 def with_leaks(docs: DataFrame, items: DataFrame, into: str = "_leaks") -> DataFrame:
     """Add the array ``into`` of (item_id, edits). A null, empty or short text leaks nothing; so do items of fewer than LEAST_WORDS words."""
     out = docs.withColumn(into, F.array().cast(RESULT))
     for block in item_blocks(items):
-        index = fit_search(block)
-
-        def search(batches: Iterator[pd.Series], index: Index = index) -> Iterator[pd.Series]:
-            for texts in batches:
-                found = []
-                for k in range(0, len(texts), 1000):
-                    found += find(index, [t or "" for t in texts.iloc[k : k + 1000]])
-                yield pd.Series(found, dtype=object)
-
-        out = out.withColumn(into, F.concat(into, F.pandas_udf(search, RESULT)("text")))
+        out = out.withColumn(into, F.concat(into, F.pandas_udf(_searcher(fit_search(block)), RESULT)("text")))
     return out
 
 

@@ -31,7 +31,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 5
 SIMILARITY = 0.8
 #: Texts of about so many bytes are worked on together (a longer text alone).
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 
 
 def dart_signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, owners: int, k: int) -> np.ndarray:

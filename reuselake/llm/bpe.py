@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from reuselake.llm.hashing import Rolling
 
-CHUNK_CHARS = 12_000_000
+#: A chunk is what has a table of words of its own; a part is what numpy works on at once.
+CHUNK_CHARS, PART_CHARS = 12_000_000, 1_000_000
 #: Texts of lower code points are in composed form, lower-case letter by letter (but for U+0130) and need no normaliser.
 SAFE_BELOW = 0x300
 ENCODED = "doc_id long, ids array<int>, decoded string"
@@ -113,10 +114,20 @@ class Cutter:
     def chunk(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
         """Distinct pieces, most frequent first, and each text as numbers of them."""
         hard = [bool(self.unsafe.search(t)) or any(s in t for s in self.special) for t in texts]
-        easy = [t for t, h in zip(texts, hard, strict=True) if not h]
-        joined, code, begin, end, starts = self.fast(easy)
-        _, one, number, count = np.unique(Rolling(code).spans(begin, end), return_index=True, return_inverse=True, return_counts=True)
-        pieces = [joined[b:e] for b, e in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
+        hashes, pieces, numbers, ends, cuts = [], [], [], [0], np.zeros(1, np.int64)
+        for part in _parts([t for t, h in zip(texts, hard, strict=True) if not h]):
+            joined, code, begin, end, starts = self.fast(part)
+            found, one, number = np.unique(Rolling(code).spans(begin, end), return_index=True, return_inverse=True)
+            hashes.append(found)
+            pieces += [joined[b:e] for b, e in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
+            numbers.append(number + ends[-1])
+            ends.append(ends[-1] + len(found))
+            cuts = np.append(cuts, cuts[-1] + starts[1:])
+        # the parts' tables become one
+        _, one, merged = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_index=True, return_inverse=True)
+        pieces = [pieces[i] for i in one.tolist()]
+        number = merged[np.concatenate([np.zeros(0, np.int64), *numbers])]
+        count = np.bincount(number, minlength=len(pieces))
         if any(hard):
             known = {p: i for i, p in enumerate(pieces)}
             own = [np.array([known.setdefault(p, len(known)) for p in self.slow(t)], np.int64) for t, h in zip(texts, hard, strict=True) if h]
@@ -125,13 +136,13 @@ class Cutter:
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        number = rank[number] if len(easy) else np.zeros(0, np.uint32)
+        number = rank[number]
         out, slow, k = [], iter(own if any(hard) else ()), 0
         for h in hard:
             if h:
                 out.append(rank[next(slow)])
             else:
-                out.append(number[starts[k] : starts[k + 1]])
+                out.append(number[cuts[k] : cuts[k + 1]])
                 k += 1
         return [pieces[i] for i in order], out
 
@@ -160,6 +171,20 @@ def _cutter(path: str) -> Cutter:
     return Cutter(path)
 
 
+def _parts(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in order, of about PART_CHARS together."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= PART_CHARS:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Byte planes (low bytes together), compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reuselake.llm import bpe, dartminhash, decontam, langid, linededup, pii, quality, rules, sharding
+from reuselake.llm import bpe, dartminhash, decontam, langid, linededup, pii, quality, rules, sharding, suffix
 from reuselake.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.digest(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,6 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_cgk_decontamination, op4_dart_minhash, op5_line_edit_join, op6_feistel_pseudonyms, op7_word_table_bpe, op8_stratified_shards, op9_quality_rules, op10_quality_trees)
+    f.__name__: f for f in (op1_language_id, op2_cgk_decontamination, op3_run_length_index, op4_dart_minhash, op5_line_edit_join, op6_feistel_pseudonyms, op7_word_table_bpe, op8_stratified_shards, op9_quality_rules, op10_quality_trees)
 }
 ORACLES: dict[str, str] = {}

@@ -47,8 +47,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(x) - width + 1], low[width - span :][: len(x) - width + 1])
 
 
-def passages(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: (text number, start, windows, key, content hash) of their passages; shorter texts have none."""
+def passages(texts: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> Iterator[tuple[np.ndarray, ...]]:
+    """For runs of texts: (text number, start, windows, key, content hash, twice) of their passages; shorter texts have none.
+
+    ``twice``: the key's substring stands at two places of the passage, so that the passage may repeat a window by itself.
+    """
     step = PIECE_BYTES
     cuts = [(i, at) for i, t in enumerate(texts) for at in range(0, max(len(t) - length + 1, 0), step)]
     group: list[tuple[int, int]] = []
@@ -67,7 +70,8 @@ def _cut(texts, group, length, anchor):
     sizes = np.array([len(p) for p in parts])
     begin = np.cumsum(sizes) - sizes
     rolling = Rolling(np.frombuffer(b"".join(parts), np.uint8))
-    key = _sliding_min(rolling.windows(anchor), length - anchor + 1)
+    hashes = rolling.windows(anchor)
+    key = _sliding_min(hashes, length - anchor + 1)
     windows = sizes - length + 1
     first = np.zeros(len(key) + 1, bool)
     first[1:-1] = key[1:] != key[:-1]
@@ -87,7 +91,21 @@ def _cut(texts, group, length, anchor):
     which = np.array([i for i, _ in group])[own]
     offset = start - begin[own] + np.array([at for _, at in group])[own]
     content = salted(rolling.spans(start, start + count + length - 1), 5)
-    return which, offset, count, key[start], content
+    return which, offset, count, key[start], content, _places(hashes, key[start], start, start + count + length - anchor) > 1
+
+
+def _places(hashes: np.ndarray, value: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How often each ``value`` stands among the hashes from ``begin`` to before ``end``."""
+    known, number = np.unique(value, return_inverse=True)
+    low = np.uint64((1 << 20) - 1)
+    maybe = np.zeros(1 << 20, bool)
+    maybe[known & low] = True
+    place = np.nonzero(maybe[hashes & low])[0]
+    k = np.minimum(np.searchsorted(known, hashes[place]), max(len(known) - 1, 0))
+    real = known[k] == hashes[place] if len(known) else np.zeros(0, bool)
+    n = len(hashes) + 1
+    at = np.sort(k[real] * n + place[real])
+    return np.searchsorted(at, number * n + end) - np.searchsorted(at, number * n + begin)
 
 
 @dataclass
@@ -220,7 +238,7 @@ def covered(texts: list[bytes], more: list[bool], length: int = LENGTH) -> list[
 
 # --- Spark ---
 
-_OCCURRENCES = "d long, t long, start int, windows int, v long, c long"
+_OCCURRENCES = "d long, t long, start int, windows int, v long, c long, twice boolean"
 _SPANS = "v long, c long, spans array<int>"
 
 
@@ -228,9 +246,9 @@ def _occurrences(length: int, anchor: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d, t = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for which, start, count, key, content in passages(b.column(2).to_pylist(), length, anchor):
+            for which, start, count, key, content, twice in passages(b.column(2).to_pylist(), length, anchor):
                 yield pa.record_batch({
-                    "d": d[which], "t": t[which], "start": start.astype(np.int32), "windows": count.astype(np.int32), "v": key.view(np.int64), "c": content.view(np.int64),
+                    "d": d[which], "t": t[which], "start": start.astype(np.int32), "windows": count.astype(np.int32), "v": key.view(np.int64), "c": content.view(np.int64), "twice": twice,
                 })
     return cut
 
@@ -283,7 +301,7 @@ def repeat_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, k
     """(d, t, spans): runs of repeated bytes per text, from rows (d, t, bytes). Runs of one text may overlap."""
     long_enough = texts.where(F.octet_length("bytes") >= length)
     found = stored(long_enough.select("d", "t", "bytes").mapInArrow(_occurrences(length, anchor), _OCCURRENCES), "passages")
-    again = found.groupBy("v").agg(F.count("*").alias("_n"), F.max("windows").alias("_w")).where((F.col("_n") > 1) | (F.col("_w") > length - anchor + 1)).select("v")
+    again = found.groupBy("v").agg(F.count("*").alias("_n"), F.max("twice").alias("_twice")).where((F.col("_n") > 1) | F.col("_twice")).select("v")
     candidates = found.join(again, "v")
     distinct = stored(candidates.groupBy("v", "c").agg(F.count("*").alias("times"), F.max("windows").alias("windows"), F.min(F.struct("d", "t", "start")).alias("_at")), "distinct-passages")
     large = distinct.groupBy("v").agg(F.sum(F.col("windows") + (length - 1)).alias("_b")).where(F.col("_b") > key_bytes).select("v", F.lit(True).alias("large"))

@@ -5,22 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reuselake.llm import rules
+from reuselake.llm import bpe, dartminhash, decontam, linededup, rules
 from reuselake.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned decision list keep."""
+    """Documents that the base rule and the learned decision list keep. Null and empty texts have too few words and go."""
     judged = rules.apply_rules(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
     return judged.where("_kept").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand, equal or nearly so, earlier in the corpus; what has no line of its own left goes."""
+    left = linededup.without_repeated_lines(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies (the smallest doc_id). Texts without words are in no class and stay."""
+    return dartminhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, token ids, their number, and digests of ids and decoded text. Null and empty texts have no ids."""
+    encoded = bpe.encode(docs)
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("bpe_encoding", bpe_encoding),
 ]
 
-#: Learned rules, hashing and tokenizing are beyond SQL; tests hold the stages against brute force.
+#: Learned rules, seeded signatures and tokenizing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -3,7 +3,7 @@
 Tokens never cross the pieces that the tokenizer's own pattern cuts (here called words), so each distinct word is encoded once:
 
 1. documents are cut into words in chunks; a document becomes numbers of its chunk's distinct words (recomputed, not stored);
-2. the distinct words of all chunks are dealt by word and sorted, so that all rows of a word meet, and it is encoded once;
+2. the distinct words of all chunks are dealt by word in packed rows, so that all uses of a word meet, and it is encoded once;
 3. each chunk's table of word ids is joined back to its documents by number; ids are laid out by position.
 
 Decoding looks each id up in the id-to-piece table, which is as large as the vocabulary, and joins pieces by one blank: that is
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from reuselake.llm.hashing import Rolling
 
 #: A chunk is what has a table of words of its own; a part is what numpy works on at once.
-CHUNK_CHARS, PART_CHARS = 12_000_000, 1_000_000
+CHUNK_CHARS, PART_CHARS = 16_000_000, 1_000_000
 #: Texts of lower code points are in composed form, lower-case letter by letter (but for U+0130) and need no normaliser.
 SAFE_BELOW = 0x300
 ENCODED = "doc_id long, ids array<int>, decoded string"
@@ -185,14 +186,22 @@ def _parts(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def _zip(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unzip(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """Byte planes (low bytes together), compressed."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _zip(planes.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_unzip(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
 
 
@@ -212,13 +221,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list,
         yield made()
 
 
-def _cut_words(path: str):
+def _cut_words(path: str, buckets: int):
+    """A chunk's distinct words, dealt by word; the words of one bucket are one packed row."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, check, _, texts in _chunks(batches):
             words, _ = _cutter(path).chunk(texts)
+            dealt: dict[int, list[tuple[str, int]]] = defaultdict(list)
+            for no, w in enumerate(words):
+                dealt[zlib.crc32(w.encode()) % buckets].append((w, no))
+            del words, texts
+            rows = [(k, *zip(*sorted(v), strict=True)) for k, v in dealt.items()]
             yield pa.record_batch({
-                "chunk": pa.array(np.full(len(words), chunk)), "check": pa.array(np.full(len(words), check, np.int64)),
-                "no": pa.array(np.arange(len(words), dtype=np.int32)), "word": pa.array(words, pa.string()),
+                "bucket": pa.array([r[0] for r in rows], pa.int32()),
+                "chunk": pa.array([chunk] * len(rows), pa.int64()), "check": pa.array([check] * len(rows), pa.int64()),
+                "words": pa.array([_zip("\n".join(r[1]).encode()) for r in rows], pa.binary()),
+                "nos": pa.array([_pack(np.array(r[2])) for r in rows], pa.binary()),
             })
     return cut
 
@@ -234,42 +251,50 @@ def _cut_documents(path: str):
     return cut
 
 
-def _encode_sorted(path: str):
-    """Rows sorted by word: each new word is encoded once, its other rows take the ids over."""
+def _encode_buckets(path: str):
+    """Rows sorted by bucket: a bucket's words meet here, and each distinct word is encoded once."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run, last, ids = _cutter(path).encoder(), None, b""
+        run, last, table = _cutter(path).encoder(), None, {}
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            fresh = [w for w, before in zip(words, [last, *words], strict=False) if w != before]
-            coded, out = iter(run(fresh) if fresh else ()), []
-            for w in words:
-                if w != last:
-                    last, ids = w, np.array(next(coded), "<i4").tobytes()
-                out.append(ids)
-            yield pa.record_batch({"chunk": batch.column("chunk"), "check": batch.column("check"), "no": batch.column("no"), "ids": pa.array(out, pa.binary())})
+            sizes, ids = [], []
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if bucket != last:
+                    last, table = bucket, {}
+                words = _unzip(packed).decode().split("\n")
+                fresh = [w for w in words if w not in table]
+                table.update(zip(fresh, run(fresh), strict=True))
+                coded = [table[w] for w in words]
+                sizes.append(_pack(np.array([len(x) for x in coded])))
+                ids.append(_pack(np.array([i for x in coded for i in x])))
+            yield pa.record_batch({
+                "chunk": batch.column("chunk"), "check": batch.column("check"), "nos": batch.column("nos"), "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary()),
+            })
     return encode
 
 
 def _lay_out(path: str):
     def lay(docs: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.sort_by("no")
         if len({*docs.column("check").to_pylist(), *words.column("check").to_pylist()}) > 1:
             raise RuntimeError("the input was read in another order the second time; pass stored(docs)")
-        table = words.column("ids").to_pylist()
+        joined = lambda name: np.concatenate([np.zeros(0, np.uint32), *(_unpack(x) for x in words.column(name).to_pylist())]).astype(np.int64)
+        nos, flat = joined("nos"), joined("ids").astype(np.int32)
+        length, offset = np.zeros(len(nos), np.int64), np.zeros(len(nos), np.int64)
+        length[nos] = joined("sizes")
+        offset[nos] = np.cumsum(length[nos]) - length[nos]
         piece = _cutter(path).pieces()
-        spelled = [" ".join([piece[i] for i in np.frombuffer(w, "<i4")]) for w in table]
-        flat = np.frombuffer(b"".join(table), "<i4")
-        length = np.fromiter((len(w) // 4 for w in table), np.int64, len(table))
-        offset = np.cumsum(length) - length
-        ids, decoded = [], []
+        pieces = [piece[i] for i in flat.tolist()]
+        spelled = [" ".join(pieces[a : a + n]) for a, n in zip(offset.tolist(), length.tolist(), strict=True)]
+        del pieces
+        out_ids, out_text, sizes = [np.zeros(0, np.int32)], [], [0]
         for packed in docs.column("numbers").to_pylist():
             n = _unpack(packed)
             size = length[n]
             at = np.repeat(offset[n] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            ids.append(flat[at])
-            decoded.append(" ".join([spelled[i] for i in n.tolist() if length[i]]))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
-        return pa.table({"doc_id": docs.column("doc_id"), "ids": lists, "decoded": pa.array(decoded, pa.string())})
+            out_ids.append(flat[at])
+            sizes.append(len(at))
+            out_text.append(" ".join([spelled[i] for i in n.tolist() if length[i]]))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(out_ids)))
+        return pa.table({"doc_id": docs.column("doc_id"), "ids": lists, "decoded": pa.array(out_text, pa.string())})
     return lay
 
 
@@ -280,9 +305,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or vocabulary()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = rows.mapInArrow(_cut_words(path), "chunk long, check long, no int, word string")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    encoded = words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(_encode_sorted(path), "chunk long, check long, no int, ids binary")
+    words = rows.mapInArrow(_cut_words(path, 4 * parts), "bucket int, chunk long, check long, words binary, nos binary")
+    encoded = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(path), "chunk long, check long, nos binary, sizes binary, ids binary")
     numbered = rows.mapInArrow(_cut_documents(path), "chunk long, check long, doc_id long, numbers binary")
     return numbered.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_lay_out(path), ENCODED)
 

@@ -59,16 +59,25 @@ def probe_keys(threshold: int = THRESHOLD) -> list[Column]:
     return out
 
 
-def near_lines(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (short, long) of distinct lines within the threshold, from rows (line, place): with both places."""
-    long_enough = lines.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, threshold + 1)).withColumn("id", F.xxhash64("line"))
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """Distinct lines (id, line, place of the first) from rows (line, place), grouped by a 64-bit id.
+
+    All uses name the same columns, so that Spark shuffles the lines once. Should two lines ever have one id, both are left out and stay in the corpus.
+    """
+    rows = lines.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("proof"), "line", "place")
+    groups = rows.groupBy("id").agg(F.min("line").alias("line"), F.min("place").alias("place"), F.min("proof").alias("_p"), F.max("proof").alias("_q"))
+    return groups.where("_p = _q and place is not null and line is not null").select("id", "line", "place")
+
+
+def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Pairs of distinct lines within the threshold: (id, place, other, other_place)."""
+    long_enough = distinct.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, threshold + 1))
     put = long_enough.select("id", F.explode(F.array(*index_keys(threshold))).alias("key"))
     ask = long_enough.select(F.col("id").alias("other"), F.explode(F.array(*probe_keys(threshold))).alias("key")).where("key is not null")
     pairs = put.join(ask, "key").where("id <> other").select("id", "other").distinct()
-    text = long_enough.select("id", "line", "place")
-    one = pairs.join(text.withColumnsRenamed({"line": "short", "place": "short_place"}), "id")
-    both = one.join(text.select(F.col("id").alias("other"), F.col("line").alias("long"), F.col("place").alias("long_place")), "other")
-    return both.where(F.levenshtein("short", "long", threshold).between(0, threshold)).select("short", "short_place", "long", "long_place")
+    one = pairs.join(distinct, "id")
+    two = distinct.select(F.col("id").alias("other"), F.col("line").alias("_line"), F.col("place").alias("other_place"))
+    return one.join(two, "other").where(F.levenshtein("line", "_line", threshold).between(0, threshold)).select("id", "place", "other", "other_place")
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, *keep: str) -> DataFrame:
@@ -77,14 +86,15 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     Of equal lines the one at the smallest (doc_id, pos) is first; rows of one doc_id are one document, a null doc_id is last.
     """
     lines = lines_of(docs, *keep)
-    distinct = lines.groupBy("line").agg(F.min("place").alias("place"))
-    pairs = near_lines(distinct, threshold, min_chars)
-    later = F.when(F.col("short_place") < F.col("long_place"), F.col("long")).otherwise(F.col("short"))
-    near = pairs.where("short_place <> long_place").select(F.unhex(F.md5(later)).alias("key")).distinct().withColumn("near", F.lit(True))
-    first = distinct.select(F.unhex(F.md5("line")).alias("key"), F.col("place").alias("first")).join(near, "key", "left")
-    every = lines.select("doc_id", *keep, "pos", "place", F.unhex(F.md5("line")).alias("key"))
-    # a line with one occurrence and no near line stays; the rest is few rows to look up
-    return every.join(first, "key").select("doc_id", *keep, "pos", (F.coalesce("near", F.lit(False)) | (F.col("place") > F.col("first"))).alias("gone"))
+    distinct = distinct_lines(lines)
+    pairs = near_lines(distinct, threshold, min_chars).where("place <> other_place")
+    later = F.when(F.col("place") < F.col("other_place"), F.col("other")).otherwise(F.col("id"))
+    near = pairs.select(later.alias("id")).distinct().withColumn("near", F.lit(True))
+    every = lines.select("doc_id", *keep, "pos", "place", F.xxhash64("line").alias("id"))
+    first = distinct.select("id", F.col("place").alias("first")).join(near, "id", "left")
+    return every.join(first, "id", "left").select(
+        "doc_id", *keep, "pos", (F.coalesce("near", F.lit(False)) | F.coalesce(F.col("place") > F.col("first"), F.lit(False))).alias("gone"),
+    )
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -76,7 +76,7 @@ def learn_rules(
     left = np.ones(len(x), bool)
     cuts = []
     for j in range(len(names)):
-        v = np.unique(np.quantile(x[:, j], np.linspace(0, 1, 33))) if len(x) else np.array([])
+        v = np.unique(np.quantile(x[:, j], np.linspace(0, 1, 65))) if len(x) else np.array([])
         cuts.append((v[1:] + v[:-1]) / 2)
     while len(rules) < most_rules:
         g, q = left & (fold != 2), left & (fold == 2)

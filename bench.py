@@ -21,8 +21,7 @@ RUNS = int(os.environ.get("BENCH_RUNS", "2"))
 HEADLINE = [
     "billable_events", "recognize_revenue", "commercial_status", "billed_status", "arpac_asof", "arpac_components",
     "variant_domain_code", "divergence", "metric_ratio_quarter", "metric_extended_model", "fingerprint_groups",
-    "feature_jaccard", "structural_pairs", "structural_pairs_prose", "compare_top5", "compare_sequence_top5",
-    "near_duplicates_lsh", "embedding_top5", "clusters", "search_top5", "resolve_concepts", "composition_plan",
+    "feature_jaccard", "structural_pairs", "structural_pairs_prose", "compare_top5", "near_duplicates_lsh", "embedding_top5", "clusters", "search_top5", "resolve_concepts", "composition_plan",
     "resolve_bindings", "impact_closure", "usage_edges_30d", "adoption_rate", "stream_usage_edges", "gate_breaking",
     "gate_duplication", "contract_check",
 ]

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.session import spread
 
 # fixed values: business vocabulary looked for in the raw text, aggregate names, parameters that
 # are not sources
@@ -217,7 +216,6 @@ def profile_document(p: Column) -> Column:
 
 def featurize(df: DataFrame, text: str = "text", hint: str | None = "language", mode: str = "lex") -> DataFrame:
     """Snippet table with language, tokens, fingerprint, shingles, profile and feature bag."""
-    df = spread(df)
     t = F.col(text)
     lang = detect_lang(t, F.col(hint) if hint and hint in df.columns else None)
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reuselake.functions import text as T
-from reuselake.operators.similarity import embedding_topk, sequence_pairs, similar_pairs
+from reuselake.operators.similarity import embedding_topk, similar_pairs
 from reuselake.operators.skew import salted_join
 from reuselake.session import stored
 
@@ -31,10 +31,7 @@ WORKSPACE_WARNINGS = (
     "Package versions not installed locally were not searched.",
     "No governance signal: lifecycle, ownership and reuse intent are UNKNOWN.",
 )
-NO_VECTORS_WARNING = (
-    "Embeddings unavailable (optional 'vector' extra not installed); "
-    "used the deterministic feature-profile signal instead."
-)
+NO_VECTORS_WARNING = "No embeddings were given; the feature profiles stand in for them."
 UNREGISTERED_ACTION = (
     "Workspace-only match with no governance signal. Verify against the registry "
     "before assuming this is canonical."
@@ -121,33 +118,45 @@ def _distinct_contents(rows: DataFrame, extra=()) -> DataFrame:
     return stored(one.withColumn("shingles", T.shingles(F.col("tokens"))), "contents")
 
 
-def _structural(q: DataFrame, c: DataFrame, how: str, floor: tuple[int, int]) -> DataFrame:
-    if how == "sequence":
-        pairs = sequence_pairs(q, c, floor, id="content", by=["language"])
-        return pairs.select("left_id", "right_id", F.col("ratio").alias("ast"))
+def _structural(q: DataFrame, c: DataFrame, floor: tuple[int, int]) -> DataFrame:
     pairs = similar_pairs(q, c, floor, id="content", elements="shingles", by=["language"])
     union = F.col("left_size") + F.col("right_size") - F.col("overlap")
     return pairs.select("left_id", "right_id", (F.col("overlap") / union).alias("ast"))
 
 
-def _cosines(q: DataFrame, c: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Best ``k`` candidate contents by cosine per query content and candidate language."""
+def _nearest(q: DataFrame, c: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Candidates by cosine alone: a pair that shares nothing else ranks by its cosine within a language.
+
+    Contents with one profile document share a vector, so documents are compared, and of a document's contents the first ``k`` count.
+    """
     vec = vectors.select("document", F.col("embedding").alias("_v"))
-    qv = q.join(vec, "document").select("content", "_v", F.xxhash64("content").alias("_n"))
-    cv = c.join(vec, "document").select("content", "language", "_v", F.xxhash64("content").alias("_n"))
+    qv = q.select("document").distinct().join(vec, "document").withColumn("_n", F.xxhash64("document"))
     best = None
     for lang in LANGUAGES:
-        top = embedding_topk(qv, cv.filter(F.col("language") == lang), k, "_n", "_v", skip_self=False)
-        best = top if best is None else best.unionByName(top)
-    return (
-        best.join(qv.select(F.col("content").alias("left_id"), F.col("_n").alias("query_id")), "query_id")
-        .join(cv.select(F.col("content").alias("right_id"), F.col("_n").alias("candidate_id")), "candidate_id")
-        .select("left_id", "right_id", F.col("cosine").alias("embedding"))
-    )
+        own = c.filter(F.col("language") == lang)
+        cv = own.select("document").distinct().join(vec, "document").withColumn("_n", F.xxhash64("document"))
+        few = own.withColumn("_m", F.row_number().over(Window.partitionBy("document").orderBy("first_logical"))).filter(F.col("_m") <= k)
+        top = embedding_topk(qv, cv, k, "_n", "_v", skip_self=False)
+        met = (
+            top.join(q.select(F.col("content").alias("left_id"), F.xxhash64("document").alias("query_id")), "query_id")
+            .join(few.select(F.col("content").alias("right_id"), F.xxhash64("document").alias("candidate_id")), "candidate_id")
+            .select("left_id", "right_id")
+        )
+        best = met if best is None else best.unionByName(met)
+    return best
+
+
+def _cosine(a: str, b: str) -> Column:
+    """Cosine rounded to 4; zero for a zero vector, null where a side has no vector."""
+    def dot(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda i, j: i.cast("double") * j.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.round(F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm), 4)
 
 
 def compare(
-    queries: DataFrame, candidates: DataFrame, k: int = 5, scope: str = "registry", structural: str = "sequence",
+    queries: DataFrame, candidates: DataFrame, k: int = 5, scope: str = "registry",
     min_combined: tuple[int, int] = (0, 1), vectors: DataFrame | None = None, thresholds: Thresholds = Thresholds(),
     id: str = "id", mode: str = "ws",
 ) -> DataFrame:
@@ -162,8 +171,6 @@ def compare(
     """
     if scope not in COVERAGE:
         raise ValueError("scope must be 'registry' or 'workspace'")
-    if structural not in ("sequence", "shingle"):
-        raise ValueError("structural must be 'sequence' or 'shingle'")
     p, q_ = min_combined
     governed = scope == "registry"
     qrows = _contents(queries, id, mode)
@@ -172,25 +179,29 @@ def compare(
     c = _distinct_contents(crows, extra=[F.min("_id").alias("first_logical")])
 
     floor = (max(5 * p - q_, 0), 4 * q_ if 5 * p > q_ else 1)
-    found = _structural(q, c, structural, floor).withColumn("embedding", F.lit(None).cast("double"))
+    found = _structural(q, c, floor)
     by_feature = similar_pairs(q, c, (p, q_) if p else (0, 1), id="content", elements="bag")
     none = F.lit(None).cast("double")
-    found = found.unionByName(by_feature.select("left_id", "right_id", none.alias("ast"), none.alias("embedding")))
+    found = found.unionByName(by_feature.select("left_id", "right_id", none.alias("ast")))
     if vectors is not None:
-        found = found.unionByName(
-            _cosines(q, c, vectors, k).select("left_id", "right_id", none.alias("ast"), "embedding")
-        )
-    pairs = found.groupBy("left_id", "right_id").agg(F.max("ast").alias("ast"), F.max("embedding").alias("embedding"))
+        found = found.unionByName(_nearest(q, c, vectors, k).withColumn("ast", none))
+    pairs = found.groupBy("left_id", "right_id").agg(F.max("ast").alias("ast"))
+    if vectors is None:
+        q, c = (df.withColumn("_v", F.lit(None).cast("array<double>")) for df in (q, c))
+    else:  # every pair that is scored at all gets its cosine
+        vec = vectors.select("document", F.col("embedding").alias("_v"))
+        q, c = q.join(vec, "document", "left"), c.join(vec, "document", "left")
 
     scored = salted_join(
-        pairs.join(q.select(F.col("content").alias("left_id"), F.col("bag").alias("_lb")), "left_id"),
-        c.select(F.col("content").alias("right_id"), F.col("bag").alias("_rb"), "first_logical"), "right_id", "left_id",
+        pairs.join(q.select(F.col("content").alias("left_id"), F.col("bag").alias("_lb"), F.col("_v").alias("_lv")), "left_id"),
+        c.select(F.col("content").alias("right_id"), F.col("bag").alias("_rb"), F.col("_v").alias("_rv"), "first_logical"), "right_id", "left_id",
     )
     common = F.size(F.array_intersect("_lb", "_rb"))
     scored = (
         scored.withColumn("_same", F.substring_index("left_id", ":", 1) == F.substring_index("right_id", ":", 1))
         .withColumn("ast", F.when(F.col("_same"), F.coalesce("ast", F.lit(0.0))))
         .withColumn("feature", F.round(common / F.greatest(F.size(F.array_union("_lb", "_rb")), F.lit(1)), 4))
+        .withColumn("embedding", _cosine("_lv", "_rv"))
         .withColumn("combined", combined(F.col("ast"), F.col("feature"), F.col("embedding")))
         .withColumn("_shared", F.array_sort(F.array_intersect("_lb", "_rb")))
         .filter((F.col("combined") > 0) if not p else (F.col("combined") * q_ >= p))

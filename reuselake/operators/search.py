@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reuselake.operators.skew import salted_join
-from reuselake.session import spread, stored
+from reuselake.session import stored
 
 # fixed values: column weights and the ranking's constants
 WEIGHTS = {"fqn": 4.0, "title": 8.0, "description": 1.0, "body": 0.5}
@@ -132,7 +132,7 @@ def substring_hits(queries: DataFrame, text: DataFrame) -> DataFrame:
         starts = F.sequence(F.lit(1), F.length(t))
         return F.flatten(F.array(*[F.transform(starts, lambda i: F.substring(t, i, F.lit(n))) for n in (1, 2, 3)]))
 
-    spelled = spread(text.select(*fields)).select(
+    spelled = text.select(*fields).select(
         *fields, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.when(F.length(joined) > 0, grams(joined)).otherwise(F.array())))).alias("gram")
     )
     pattern = F.concat(F.lit("%"), F.replace(low, F.lit("\\"), F.lit("\\\\")), F.lit("%"))

@@ -11,7 +11,7 @@ from reuselake.operators import graph as G
 from reuselake.operators import similarity as S
 from reuselake.plans.catalog import query
 from reuselake.plans.fixtures import Lake
-from reuselake.session import spread, stored
+from reuselake.session import stored
 
 # -- the same text rules as SQL -------------------------------------------------------------------
 
@@ -202,7 +202,7 @@ _PROSE = r"regexp_extract_all(lower(text), '[a-z0-9_]+')"
 def _(lake):
     def sets(df, id):
         toks = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
-        return spread(df).select(F.col(id).alias("id"), T.shingles(toks).alias("elements"))
+        return df.select(F.col(id).alias("id"), T.shingles(toks).alias("elements"))
 
     return S.similar_rows(sets(lake.documents, "doc_id"), sets(lake.benchmark, "item_id"), (1, 20)).select(
         F.col("left_id").alias("doc_id"), F.col("right_id").alias("item_id"), F.col("overlap").alias("shared"),
@@ -252,7 +252,7 @@ _COLS = ["id", "rank", "logical_id", "lifecycle", "feature", "combined", "relati
 @query("compare_top5", f"""WITH {COMPARE} SELECT id, cast(rank AS int) AS rank, logical_id, lifecycle, round(ast, 4) AS ast, feature, combined,
     relationship, {_ACTION} AS recommended_action FROM top""", f"{CODE} candidate")
 def _(lake):
-    return _compare(lake, structural="shingle").select(*_COLS, F.round("ast", 4).alias("ast"))
+    return _compare(lake).select(*_COLS, F.round("ast", 4).alias("ast"))
 
 
 @query("compare_summary", f"""WITH {COMPARE} SELECT id, max(CASE WHEN rank = 1 THEN logical_id END) AS closest,
@@ -262,7 +262,7 @@ def _(lake):
       ELSE 'Closest match: ' || logical_id || ' [' || relationship || '] — ' || {_ACTION} END END) AS summary
   FROM top GROUP BY id""", f"{CODE} candidate")
 def _(lake):
-    return C.summarize(lake.code_snippet, _compare(lake, structural="shingle"))
+    return C.summarize(lake.code_snippet, _compare(lake))
 
 
 @query("compare_evidence", f"""WITH {COMPARE}, e AS (SELECT t.id, t.rank, a.bag AS lb, b.bag AS rb FROM top t
@@ -270,7 +270,7 @@ def _(lake):
   SELECT id, cast(rank AS int) AS rank, {_kind_sql('src')} AS shared_sources, {_kind_sql('agg', 'grp', 'joins')} AS shared_operations,
     {_kind_sql('concept')} AS shared_concepts FROM e""", f"{CODE} candidate")
 def _(lake):
-    m = _compare(lake, structural="shingle")
+    m = _compare(lake)
     return m.select("id", "rank", *[
         F.array_join(c, ",").alias(c) for c in ("shared_sources", "shared_operations", "shared_concepts")
     ])
@@ -281,7 +281,7 @@ def _(lake):
       WHEN feature >= 0.30 THEN 'PARTIAL_REIMPLEMENTATION' ELSE 'INSUFFICIENT_EVIDENCE' END AS relationship,
     '{C.UNREGISTERED_ACTION}' AS recommended_action, 6 AS warnings FROM top""", f"{CODE} candidate")
 def _(lake):
-    m = _compare(lake, structural="shingle", scope="workspace")
+    m = _compare(lake, scope="workspace")
     return m.select(
         "id", "rank", "logical_id", "lifecycle", "owner", "coverage", "combined", "relationship", "recommended_action",
         F.size("warnings").alias("warnings"),
@@ -291,34 +291,76 @@ def _(lake):
 @query("compare_at_floor", f"""WITH {COMPARE} SELECT id, cast(rank AS int) AS rank, logical_id, combined FROM top WHERE combined >= 0.5""",
        f"{CODE} candidate")
 def _(lake):
-    return _compare(lake, structural="shingle", min_combined=(1, 2)).select("id", "rank", "logical_id", "combined")
+    return _compare(lake, min_combined=(1, 2)).select("id", "rank", "logical_id", "combined")
 
 
-@query("compare_sequence_top5")
-def _(lake):
-    return C.compare(lake.code_snippet, _candidates(lake), structural="sequence").select(*_COLS, "ast")
+_VECTORS = """vs AS (SELECT document, (SELECT e.embedding FROM embeddings e WHERE e.vec_id = d.vec_id) AS v FROM (
+      SELECT document, cast('0x' || substr(md5(document), 1, 6) AS bigint) % (SELECT count(*) FROM embeddings) AS vec_id FROM docs GROUP BY ALL) d)"""
+_DOCUMENT = f"""trim(concat_ws('. ', 'transformation in ' || plang,
+    'reads ' || {_LEAVES.format('src')}, CASE WHEN joins > 0 THEN 'joins ' || cast(joins AS varchar) || ' sources' ELSE 'no joins' END,
+    CASE WHEN len(aggs) > 0 THEN 'aggregates ' || array_to_string(aggs, ', ') END,
+    CASE WHEN len(grp) > 0 THEN 'grouped by ' || {_LEAVES.format('grp')} END,
+    CASE WHEN len(outs) > 0 THEN 'outputs ' || {_LEAVES.format('outs')} END,
+    CASE WHEN len(concepts) > 0 THEN 'business concepts ' || array_to_string(concepts, ', ') END))"""
 
 
-@query("compare_payload")
+def _with_vectors(k: int) -> str:
+    return f"""WITH {PROFILES}, docs AS (SELECT id, {_DOCUMENT} AS document FROM feat), {_VECTORS},
+  tk AS (SELECT *, {LEX.format("CASE WHEN plang = 'sql' THEN norm_s ELSE norm_p END")} AS toks
+    FROM (SELECT *, {NORM_SQL} AS norm_s, {NORM_PY} AS norm_p FROM feat)),
+  sh AS (SELECT id, plang, bag, {SHINGLES} AS sh, document FROM tk JOIN docs USING (id)),
+  q AS (SELECT plang, bag, sh, document, list(id) AS ids FROM sh GROUP BY ALL),
+  cc AS (SELECT c.fqn, s.plang, s.bag, s.sh, s.document FROM candidate c JOIN sh s ON s.id = c.id),
+  cu AS (SELECT plang, bag, sh, document, row_number() OVER () AS cid FROM cc GROUP BY ALL),
+  pr AS (SELECT q.ids, cu.cid, q.plang = cu.plang AS same, CASE WHEN q.plang = cu.plang THEN len(list_intersect(q.sh, cu.sh)) /
+      (len(q.sh) + len(cu.sh) - len(list_intersect(q.sh, cu.sh))) END AS ast,
+    round(len(list_intersect(q.bag, cu.bag)) / (len(q.bag) + len(cu.bag) - len(list_intersect(q.bag, cu.bag))), 4) AS feature,
+    round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 4) AS embedding
+    FROM q, cu, vs a, vs b WHERE a.document = q.document AND b.document = cu.document),
+  sc AS (SELECT *, greatest(feature, embedding, 0.0) AS n FROM pr),
+  al AS (SELECT ids, fqn AS logical_id, embedding, round(CASE WHEN ast IS NOT NULL THEN 0.8 * ast + 0.2 * n ELSE n END, 4) AS combined
+    FROM sc JOIN cu USING (cid) JOIN cc ON cc.plang = cu.plang AND cc.bag = cu.bag AND cc.sh = cu.sh AND cc.document = cu.document)
+  SELECT id, rank, logical_id, embedding, combined FROM (SELECT unnest(ids) AS id, cast(row_number() OVER (PARTITION BY ids ORDER BY combined DESC, logical_id) AS int) AS rank,
+    logical_id, embedding, combined FROM al) WHERE rank <= {k}"""
+
+
+def _vectors(lake: Lake) -> DataFrame:
+    """A stand-in vector for every profile document, chosen by its hash."""
+    docs = T.featurize(lake.code_snippet).select(T.profile_document(F.col("profile")).alias("document")).distinct()
+    n = F.lit(lake.embeddings.count())
+    at = F.conv(F.substring(F.md5("document"), 1, 6), 16, 10).cast("long") % n
+    return docs.withColumn("vec_id", at).join(lake.embeddings, "vec_id").select("document", "embedding")
+
+
+@query("compare_with_vectors", _with_vectors(5), f"{CODE} candidate")
 def _(lake):
-    from reuselake.sources.sinks import to_payload
+    return _compare(lake, vectors=_vectors(lake)).select("id", "rank", "logical_id", "embedding", "combined")
 
-    return to_payload(C.compare(lake.code_snippet, _candidates(lake), structural="sequence", min_combined=(1, 2)))
+
+@query("compare_with_vectors_top1", _with_vectors(1), f"{CODE} candidate")
+def _(lake):
+    return _compare(lake, vectors=_vectors(lake), k=1).select("id", "rank", "logical_id", "embedding", "combined")
 
 
-@query("sequence_ratio")
+@query("compare_payload", f"""WITH {COMPARE} SELECT id, cast(rank AS int) AS rank, logical_id, relationship, combined FROM top WHERE combined >= 0.5""",
+       f"{CODE} candidate")
 def _(lake):
-    def contents(df):
-        one = T.featurize(df, mode="ws").groupBy("language", F.col("fingerprint").alias("id"))
-        return stored(one.agg(F.any_value("tokens").alias("tokens")), "tokens")
+    from reuselake.sources.sinks import to_payload
 
-    return S.sequence_pairs(contents(lake.sql_snippet), contents(lake.candidate), (17, 20), by=["language"])
+    rows = to_payload(_compare(lake, min_combined=(1, 2)))
+    read = F.from_json("payload", "id bigint, rank int, logical_id string, relationship string, combined double")
+    return rows.select(read.alias("p")).select("p.*")
 
 
-@query("near_duplicates_lsh")
+@query("near_duplicates_lsh", f"""WITH d AS (SELECT doc_id, list_sort({SHINGLES}) AS sh FROM (SELECT doc_id, {_PROSE} AS toks FROM documents)),
+  g AS (SELECT *, min(doc_id) OVER (PARTITION BY sh) AS first FROM d WHERE len(sh) > 0), u AS (SELECT first AS id, any_value(sh) AS sh FROM g GROUP BY 1),
+  e AS (SELECT id, len(sh) AS n, unnest(sh) AS x FROM u),
+  o AS (SELECT a.id AS l, b.id AS r, a.n AS ln, b.n AS rn, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
+  SELECT l AS left_id, r AS right_id, round(o / (ln + rn - o), 4) AS score FROM o WHERE 5 * o >= 4 * (ln + rn - o)
+  UNION ALL SELECT first, doc_id, cast(1 AS double) FROM g WHERE doc_id <> first""")
 def _(lake):
     toks = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
-    docs = spread(lake.documents).select("doc_id", T.shingles(toks).alias("elements"))
+    docs = lake.documents.select("doc_id", T.shingles(toks).alias("elements"))
     return S.near_duplicates_lsh(docs, id="doc_id").select("left_id", "right_id", S.jaccard().alias("score"))
 
 

@@ -36,8 +36,8 @@ def local_session(cores: int | str = "*", app: str = "reuselake", **extra: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may fall back to the
-    machine's own temporary folder, because there every executor is this machine.
+    The cluster names it in ``spark.checkpoint.dir``; anything but a local master must. A local session
+    that sets none gets a folder of its own, because there every executor is this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -65,17 +65,3 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-SPLIT = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before costly expressions.
-
-    A file below one split per core arrives in too few tasks. Inputs with at least a split's worth
-    of bytes per core are left as they are: at that size a shuffle would cost more than it gains.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * SPLIT else df

@@ -3,7 +3,7 @@
 Every byte that lies in a string of ``length`` bytes which also starts anywhere else goes. The corpus is far too large for one index, so equal
 strings are first brought together: consecutive windows of ``length`` bytes with the same smallest hash of their ``anchor``-byte substrings
 form a passage, and equal windows have the same smallest hash, so their passages have the same key. Only keys that occur again are
-followed up, and each distinct passage is indexed once (twice if it occurs more often: copies cost nothing more).
+followed up, and each distinct passage is indexed once with its count: copies cost nothing.
 
 A block of passages gets a suffix array and from it the run-length index: symbols and heads of the runs of the Burrows-Wheeler
 transform, and the text places of each run's first and last suffix. A suffix inside a run agrees with its neighbour in the
@@ -136,23 +136,39 @@ class RunIndex:
         padded = np.concatenate([[-1], order, [-1]])
         return cls(symbols, previous[head], head, order[head], order[tail], padded[head], padded[tail + 2])
 
-    def matches(self) -> np.ndarray:
-        """For every place the longest match with another place."""
+    def matches(self, least: int) -> np.ndarray:
+        """For every place the longest match with another place, exact from ``least`` on and otherwise anything below it.
+
+        A sample whose match is shorter stays below ``least`` as it is streamed on, so only the others are measured.
+        """
         rolling = Rolling(self.symbols, seed=3)
         out = np.zeros(len(self.symbols), np.int64)
         places = np.arange(len(out))
         for sample, neighbour in ((self.first, self.before), (self.last, self.after)):
             known = np.full(len(out), -1)
-            known[sample] = np.where(neighbour >= 0, common_prefix(rolling, sample, np.maximum(neighbour, 0)), 0)
+            known[sample] = 0
+            long = np.nonzero((neighbour >= 0) & (np.maximum(sample, neighbour) + least <= len(out)))[0]
+            x, y = sample[long], neighbour[long]
+            long = long[rolling.spans(x, x + least) == rolling.spans(y, y + least)]
+            known[sample[long]] = common_prefix(rolling, sample[long], neighbour[long], least)
             base = np.maximum.accumulate(np.where(known >= 0, places, 0))
             out = np.maximum(out, known[base] - (places - base))
         return out
 
 
-def common_prefix(rolling: Rolling, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Longest common prefix of the suffixes at ``a`` and ``b`` by binary search on hashes."""
-    room = len(rolling.sums) - 1 - np.maximum(a, b)
-    low, high = np.zeros(len(a), np.int64), np.minimum(room, WINDOWS + LENGTH * 4)
+def common_prefix(rolling: Rolling, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Longest common prefix, known to be ``least`` or more, of the suffixes at ``a`` and ``b`` by doubling and halving on hashes."""
+    low, room = np.full(len(a), least, np.int64), len(rolling.sums) - 1 - np.maximum(a, b)
+    high, step = low.copy(), 1
+    grow = np.arange(len(a))
+    while len(grow):
+        high[grow] = np.minimum(low[grow] + step, room[grow])
+        x, y, n = a[grow], b[grow], high[grow]
+        same = (rolling.spans(x, x + n) == rolling.spans(y, y + n)) & (n > low[grow])
+        low[grow[same]] = n[same]
+        grow = grow[same]
+        step *= 2
+    high = np.maximum(high - 1, low)
     while True:
         open_ = np.nonzero(low < high)[0]
         if not len(open_):
@@ -218,15 +234,17 @@ def covered(texts: list[bytes], more: list[bool], length: int = LENGTH) -> list[
 
     ``more``: the text itself occurs more than once.
     """
-    both = [*texts, *(t for t, m in zip(texts, more, strict=True) if m)]
-    if not both:
+    if not texts:
         return []
-    hit = np.nonzero(RunIndex.build(both).matches() >= length)[0]
-    sizes = np.array([len(t) + 1 for t in both])
+    sizes = np.array([len(t) + 1 for t in texts])
     begin = np.cumsum(sizes) - sizes
     change = np.zeros(int(sizes.sum()) + 1, np.int64)
+    hit = np.nonzero(RunIndex.build(texts).matches(length) >= length)[0]
     np.add.at(change, hit, 1)
     np.add.at(change, hit + length, -1)
+    whole = np.nonzero(np.array(more, bool) & (sizes > length))[0]  # every window of a copied text starts in its copy too
+    np.add.at(change, begin[whole], 1)
+    np.add.at(change, begin[whole] + sizes[whole] - 1, -1)
     inside = np.cumsum(change) > 0
     edge = np.diff(inside.astype(np.int8), prepend=0)
     start, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]

@@ -8,6 +8,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -35,7 +36,8 @@ def run(spark, fn) -> float:
 
 def main() -> None:
     wanted = sys.argv[1:] or HEADLINE
-    spark = local_session(CPUS, app="bench")
+    shared = tempfile.mkdtemp(prefix="bench-")
+    spark = local_session(CPUS, app="bench", **{"spark.checkpoint.dir": f"file://{shared}"})
     queries, seconds = all_queries(), {}
     for name in wanted:
         times = [run(spark, queries[name]) for _ in range(1 + RUNS)]

@@ -100,6 +100,15 @@ def billed_status(customers: DataFrame, invoices: DataFrame, n: int = 90, calend
     return dense_status(customers, calendar, billed_pairs(invoices, calendar, n), "is_active_90d")
 
 
+def active_counts(customers: DataFrame, calendar: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Active customers and all customers per reporting date, without the dense grid of both."""
+    known = pairs.join(customers.select(KEY).distinct(), KEY, "left_semi").groupBy(DAY).agg(F.count("*").alias("active"))
+    everyone = customers.agg(F.count("*").alias("n")).scalar()
+    return calendar.select(DAY).distinct().join(known, DAY, "left").select(
+        DAY, F.coalesce("active", F.lit(0)).alias("active"), everyone.alias("customers")
+    )
+
+
 def login_active(
     logins: DataFrame, as_of, n: int = 90, cast_date: bool = False, application: str = "Marketing Portal"
 ) -> DataFrame:

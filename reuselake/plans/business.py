@@ -135,10 +135,8 @@ def _(lake):
     AND i.customer_id IN (SELECT customer_id FROM dim_customers)
   GROUP BY r.reporting_date""", "dim_customers fact_invoices")
 def _(lake):
-    status = S.billed_status(lake.dim_customers, lake.fact_invoices)
-    return status.groupBy("reporting_date").agg(
-        F.count_if("is_active_90d").alias("active"), F.count("*").alias("customers")
-    )
+    calendar = S.invoice_calendar(lake.fact_invoices)
+    return S.active_counts(lake.dim_customers, calendar, S.billed_pairs(lake.fact_invoices, calendar))
 
 
 _LOGIN = """SELECT DISTINCT customer_id FROM customer_logins WHERE application_name = 'Marketing Portal'

@@ -115,7 +115,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
             CASE WHEN p_size % 2 = 0 THEN ' AS f JOIN finance.dim_rates AS r ON r.code = f.code' ELSE ' AS f' END ||
             ' WHERE f.status = ''S' || cast(p_size % 5 AS string) || ''' GROUP BY customer_id' AS body FROM part) x""",
     "py_snippet": """
-        SELECT 1000000000 + p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '# owner ' || p_brand || chr(10) ELSE '' END ||
+        SELECT -1 - p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN '# owner ' || p_brand || chr(10) ELSE '' END ||
           'def build_' || lower(p_type) || '(df, rates, start_date):' || chr(10) ||
           CASE WHEN p_partkey % 2 = 0 THEN '    \"\"\"Value per customer. # of rows stays.\"\"\"' || chr(10) ELSE '' END ||
           '    tag = "S#' || cast(p_size % 5 AS string) || '"  # filter tag' || chr(10) ||
@@ -152,9 +152,9 @@ VIEWS: dict[str, str | dict[str, str]] = {
     "intent": """
         SELECT DISTINCT lower(p_type) || ' ' || split_part(p_name, ' ', 1) AS query FROM part""",
     "landed_page": """
-        SELECT c_mktsegment AS source, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS page,
-          '{"accounts":[{"id":' || cast(c_custkey AS string) || '},{"id":' || cast(c_custkey + 100000 AS string) || '}],"next_page":' ||
-          CASE WHEN c_custkey % 37 = 36 THEN 'null' ELSE '1' END || '}' AS body FROM customer""",
+        SELECT 'feed' || cast(c_custkey % 3 AS string) AS source, 1 + cast(floor(c_custkey / 3.0) AS int) AS page,
+          '{"accounts":[{"id":' || cast(c_custkey AS string) || '},{"id":' || cast(-1 - c_custkey AS string) || '}],"next_page":' ||
+          CASE WHEN c_custkey % 997 = 996 THEN 'null' ELSE '1' END || '}' AS body FROM customer WHERE c_custkey % 1201 <> 1200""",
     "activity": """
         SELECT event_id, ts AS event_ts,
           CASE user_id % 4 WHEN 0 THEN 'tableau' WHEN 1 THEN 'databricks' WHEN 2 THEN 'snowflake' ELSE 'semantic' END AS source_system,

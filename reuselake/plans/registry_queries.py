@@ -257,9 +257,10 @@ def _(lake):
     return R.pick_binding(b, "python").select("fqn", "physical_ref")
 
 
-@query("flatten_pages", """WITH l AS (SELECT source, min(page) AS last FROM landed_page WHERE page <= 100 AND contains(body, '"next_page":null') GROUP BY 1),
-  p AS (SELECT d.source, page, unnest(from_json(json_extract(body, '$.accounts'), '[{"id":"BIGINT"}]')) AS r FROM landed_page d LEFT JOIN l ON l.source = d.source
-    WHERE page <= least(coalesce(last, 100), 100))
+@query("flatten_pages", """WITH n AS (SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY page) AS k, contains(body, '"next_page":null') AS ends FROM landed_page),
+  l AS (SELECT source, least(coalesce(min(page) FILTER (ends), max(page)), coalesce(min(k) FILTER (page <> k) - 1, max(page))) AS last FROM n GROUP BY 1),
+  p AS (SELECT source, page, unnest(from_json(json_extract(body, '$.accounts'), '[{"id":"BIGINT"}]')) AS r FROM landed_page JOIN l USING (source)
+    WHERE page <= last)
   SELECT source, cast(page AS int) AS page, r.id AS account_id FROM p""", "landed_page")
 def _(lake):
     more = F.get_json_object("body", "$.next_page").isNotNull()

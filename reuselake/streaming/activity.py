@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from reuselake.operators.telemetry import EDGE, attribute, resolve
 
@@ -12,7 +14,11 @@ LATE = "2 days"
 
 
 def deduplicated(events: DataFrame, late: str = LATE, id: str = "event_id") -> DataFrame:
-    """Each event once although feeds deliver at least once; state is kept for ``late``."""
+    """Each event once although feeds deliver at least once.
+
+    State is kept for ``late``: an event older than the newest one by more than that is turned away, because
+    nothing remembers any more whether it was seen.
+    """
     return events.withColumn("event_ts", F.col("event_ts").cast("timestamp")).withWatermark(
         "event_ts", late
     ).dropDuplicatesWithinWatermark([id])
@@ -61,7 +67,8 @@ def run_edges(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Add up usage edges: every micro-batch stores its own daily counts and sightings.
 
     The stored rows are partial sums, never a shared total, and a retried batch replaces its own
-    folder: running it twice changes nothing. Late events are counted whenever they arrive.
+    folder: running it twice changes nothing. An event is added to its own day however late it arrives; only
+    behind :func:`deduplicated` are events left out that are older than its watermark (count them with :class:`DroppedRows`).
     """
 
     def add(df: DataFrame, batch_id: int) -> None:
@@ -88,8 +95,23 @@ def compact_edges(spark: SparkSession, path: str, target: str) -> DataFrame:
     return read_edges(spark, target)
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows the watermark turned away, to be reported and not lost silently."""
-    return sum(
-        int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators
-    )
+class DroppedRows(StreamingQueryListener):
+    """Counts, per query id, the rows that watermarks turned away, so that they are reported and not lost silently.
+
+    Add it with ``spark.streams.addListener`` before a query starts; it sees every batch, however many there are.
+    """
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = defaultdict(int)
+        self.batches: dict[str, int] = defaultdict(int)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.batches[str(p.id)] += 1
+        self.rows[str(p.id)] += sum(int(op.numRowsDroppedByWatermark) for op in p.stateOperators)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass

@@ -11,5 +11,6 @@ from reuselake.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, app="tests", **{"spark.driver.memory": "8g"})
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared").as_uri()
+    return local_session(8, app="tests", **{"spark.driver.memory": "8g", "spark.checkpoint.dir": shared})

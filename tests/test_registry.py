@@ -161,6 +161,14 @@ def test_pages_stop_at_the_end_or_a_gap(spark):
     assert sorted((r.source, r.record.id) for r in out.collect()) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 7), ("b", 8)]
 
 
+def test_pages_beyond_any_round_number(spark):
+    body = F.concat(F.lit('{"accounts":[{"id":'), F.col("page").cast("string"), F.lit('}],"next_page":"x"}'))
+    df = spark.range(1, 301).select(F.lit("a").alias("source"), F.col("id").cast("int").alias("page")).where("page <> 251").withColumn("body", body)
+    more = F.get_json_object("body", "$.next_page").isNotNull()
+    assert flatten_pages(df, "accounts", "struct<id: bigint>", more).count() == 250
+    assert flatten_pages(df, "accounts", "struct<id: bigint>", more, max_pages=40).count() == 40
+
+
 def test_payload_drops_nulls(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert to_payload(df).first().payload == '{"a":1}'

@@ -53,12 +53,17 @@ def test_stream_ends_where_batch_ends(spark, feed):
     base = new_path(spark, "s")
     stream = lambda: A.attributed(A.deduplicated(read_activity(
         spark, path, streaming=True, maxFilesPerTrigger=1)), b, ("k",))
+    dropped = A.DroppedRows()
+    spark.streams.addListener(dropped)
     q = A.run_edges(stream(), f"{base}/edges", f"{base}/c1")
     q.awaitTermination()
     want = T.daily_buckets(T.attribute(df, ("k",)), b)
     got = A.read_edges(spark, f"{base}/edges")
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == want.count()
-    assert len(q.recentProgress) >= 4 and A.dropped_rows(q) == 0
+    assert len(q.recentProgress) >= 4
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert dropped.batches[str(q.id)] >= 4 and dropped.rows[str(q.id)] == 0
+    spark.streams.removeListener(dropped)
     # the same feed again from the same checkpoint adds nothing
     A.run_edges(stream(), f"{base}/edges", f"{base}/c1").awaitTermination()
     assert A.read_edges(spark, f"{base}/edges").agg(F.sum("events")).first()[0] == df.count()

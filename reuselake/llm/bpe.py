@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from reuselake.llm.hashing import Rolling
 
 #: A chunk is what has a table of words of its own; a part is what numpy works on at once.
-CHUNK_CHARS, PART_CHARS = 16_000_000, 1_000_000
+CHUNK_CHARS, PART_CHARS = 8_000_000, 1_000_000
 #: Texts of lower code points are in composed form, lower-case letter by letter (but for U+0130) and need no normaliser.
 SAFE_BELOW = 0x300
 ENCODED = "doc_id long, ids array<int>, decoded string"

@@ -6,7 +6,8 @@ number). Lines without a word always stay; lines shorter than ``min_chars`` are
 Distinct lines are joined, so copies cost nothing. A line is cut into threshold + 1 segments of near-equal length; of
 two lines within the threshold one shares a segment with the other at a place that the lengths and the segment's number narrow down
 to a few (multi-match-aware selection), so each line probes a short list of substrings. Keys are (length, segment number,
-substring) hashes. Candidates are verified by the banded edit distance on the lines themselves.
+substring) hashes. A small sketch of letter counts, which an edit changes by two at most, keeps lines that merely share a long
+segment from becoming pairs. Candidates are verified by the banded edit distance on the lines themselves.
 """
 
 from __future__ import annotations
@@ -59,6 +60,28 @@ def probe_keys(threshold: int = THRESHOLD) -> list[Column]:
     return out
 
 
+#: Groups of characters whose counts (modulo 16) make the sketch of a line.
+GROUPS = ("etb", "aofj", "ingq", "srp", "hlvx", "duwz", "cmyk", " .")
+
+
+def _sketch() -> Column:
+    counts = [F.pmod(F.length("line") - F.length(F.translate("line", g, "")), F.lit(16)) for g in GROUPS]
+    out = counts[0]
+    for k, c in enumerate(counts[1:], 1):
+        out = out.bitwiseOR(F.shiftleft(c, 4 * k))
+    return out.cast("int")
+
+
+def _sketches_near(a: str, b: str, threshold: int) -> Column:
+    """Could the lines be within the threshold? An edit moves one count, or two of them, by one."""
+    moved = F.lit(0)
+    for k in range(len(GROUPS)):
+        part = lambda x, k=k: F.shiftrightunsigned(F.col(x), 4 * k).bitwiseAND(F.lit(15))
+        apart = F.abs(part(a) - part(b))
+        moved = moved + F.least(apart, 16 - apart)
+    return moved <= 2 * threshold
+
+
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """Distinct lines (id, line, place of the first) from rows (line, place), grouped by a 64-bit id.
 
@@ -72,9 +95,11 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
 def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs of distinct lines within the threshold: (id, place, other, other_place)."""
     long_enough = distinct.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, threshold + 1))
-    put = long_enough.select("id", F.explode(F.array(*index_keys(threshold))).alias("key"))
-    ask = long_enough.select(F.col("id").alias("other"), F.explode(F.array(*probe_keys(threshold))).alias("key")).where("key is not null")
-    pairs = put.join(ask, "key").where("id <> other").select("id", "other").distinct()
+    long_enough = long_enough.withColumn("sketch", _sketch())
+    put = long_enough.select("id", "sketch", F.explode(F.array(*index_keys(threshold))).alias("key"))
+    ask = long_enough.select(F.col("id").alias("other"), F.col("sketch").alias("_sketch"), F.explode(F.array(*probe_keys(threshold))).alias("key")).where("key is not null")
+    near = _sketches_near("sketch", "_sketch", threshold)
+    pairs = put.join(ask, "key").where((F.col("id") != F.col("other")) & near).select("id", "other").distinct()
     one = pairs.join(distinct, "id")
     two = distinct.select(F.col("id").alias("other"), F.col("line").alias("_line"), F.col("place").alias("other_place"))
     return one.join(two, "other").where(F.levenshtein("line", "_line", threshold).between(0, threshold)).select("id", "place", "other", "other_place")

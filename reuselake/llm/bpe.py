@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reuselake.llm.common import small_batches
 from reuselake.llm.hashing import Rolling
 
 #: A chunk is what has a table of words of its own; a part is what numpy works on at once.
@@ -304,7 +305,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     Null and empty texts give no ids and an empty decoded text. Other columns are ignored; repeated rows come out as often.
     """
     path = path or vocabulary()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     words = rows.mapInArrow(_cut_words(path, 4 * parts), "bucket int, chunk long, check long, words binary, nos binary")
     encoded = words.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode_buckets(path), "chunk long, check long, nos binary, sizes binary, ids binary")

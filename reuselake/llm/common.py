@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from reuselake.session import stored
 
-__all__ = ["empty_if_null", "fraction_rule", "let", "stored", "table", "text_key"]
+__all__ = ["empty_if_null", "fraction_rule", "let", "small_batches", "stored", "table", "text_key"]
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with batches to Python of few bytes from here on: workers hold several copies of one, and long texts make batches large."""
+    for key, most in (("maxBytesPerBatch", 4_000_000), ("maxRecordsPerBatch", 2_000)):
+        docs.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    return docs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.llm.common import stored
+from reuselake.llm.common import small_batches, stored
 from reuselake.llm.hashing import mix, salted, words_of
 from reuselake.operators.graph import connected_components
 
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     class). Texts of the same words are one node. Texts without words (null, empty, blank) are in no class: node null, class_id their own doc_id.
     Documents of fewer than five words have one shingle. A null doc_id is larger than all others.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = stored(rows.withColumn("_s", F.pandas_udf(_sign, "node binary, bands array<bigint>")("text")).select("doc_id", "_s.node", "_s.bands"), "darts")
     nodes = members.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     banded = stored(nodes.select("node", F.explode("bands").alias("band")), "bands")

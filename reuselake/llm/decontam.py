@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reuselake.llm.common import small_batches
 from reuselake.llm.hashing import mix, salted
 
 EDITS = 0.2
@@ -252,7 +253,7 @@ def _searcher(index: Index):
 
 def with_leaks(docs: DataFrame, items: DataFrame, into: str = "_leaks") -> DataFrame:
     """Add the array ``into`` of (item_id, edits). A null, empty or short text leaks nothing; so do items of fewer than LEAST_WORDS words."""
-    out = docs.withColumn(into, F.array().cast(RESULT))
+    out = small_batches(docs).withColumn(into, F.array().cast(RESULT))
     for block in item_blocks(items):
         out = out.withColumn(into, F.concat(into, F.pandas_udf(_searcher(fit_search(block)), RESULT)("text")))
     return out

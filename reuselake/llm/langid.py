@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.llm.common import fraction_rule
+from reuselake.llm.common import fraction_rule, small_batches
 
 FIT_DOCS = 4_000
 MAX_WORDS = 50_000
@@ -127,7 +127,7 @@ def with_language(docs: DataFrame, model: Model, into: str = "_lang") -> DataFra
     def tell(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from predict(model, texts)
 
-    return docs.withColumn(into, tell("text"))
+    return small_batches(docs).withColumn(into, tell("text"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts become sequences of lower-case words. A document leaks an item if some window of it is within ``EDITS`` of the item's length in word edits.
+Texts become sequences of lower-case words; in scripts without blanks every character, with its marks, is a word.
+A document leaks an item if some window of it is within ``EDITS`` of the item's length in word edits. Items of fewer than ``LEAST_WORDS``
+words are allowed no edit and are found exactly, as phrases; the others as follows.
 The CGK walk reads a sequence with a pointer that a shared random bit of (step, word) moves or leaves, and writes the word under
 it at every step; few edits change few of the written symbols, because walks meet again. Each repetition has its own random bits and
 samples some of the steps; a window and an item that agree in all sampled steps of a repetition are a candidate pair, and the pair is verified
@@ -15,6 +17,7 @@ of n words has n - k of the words of such items in its first n words.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,9 +35,16 @@ SAMPLED = 3
 MOST_REPETITIONS = 400
 #: Items that are searched together; more items make more passes.
 BLOCK_ITEMS = 20_000
-#: Items of fewer words are compared whole but not called leaks: chance alone repeats them.
+#: Items of fewer words are allowed no edit and need no search by sampling.
 LEAST_WORDS = 5
-WORD = re.compile(r"[^\W_]+")
+#: Scripts without blanks: Thai to Myanmar, Khmer, Tai scripts, Balinese, kana and bopomofo, Han, Yi, Javanese.
+NO_BLANKS = (
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF),
+)
+_ALONE = "".join(f"{chr(a)}-{chr(b)}" for a, b in NO_BLANKS)
+_MARKS = "".join(chr(c) for a, b in NO_BLANKS if b < 0x10000 for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == "M")
+WORD = re.compile(rf"[^\W_{_ALONE}]+|(?![\W_])[{_ALONE}][{_MARKS}]*")
 RESULT = "array<struct<item_id:bigint,edits:int>>"
 
 
@@ -102,12 +112,52 @@ class Search:
         return out
 
 
+class Phrases:
+    """Exact search for short sequences: a tree whose nodes at each depth are the sorted numbers parent * base + code."""
+
+    def __init__(self, index: Index, items: list[int]):
+        self.base = len(index.vocabulary) + 1
+        self.levels: list[np.ndarray] = []
+        self.owners: list[dict[int, list[int]]] = []  # per depth: items that end at a node
+        node, depth = {i: 0 for i in items}, 0
+        while node:
+            value = {i: at * self.base + int(index.sequences[i][depth]) for i, at in node.items()}
+            level = np.array(sorted(set(value.values())), np.int64)
+            node = {i: int(np.searchsorted(level, v)) for i, v in value.items()}
+            depth += 1
+            owners: dict[int, list[int]] = {}
+            for i, at in node.items():
+                if len(index.sequences[i]) == depth:
+                    owners.setdefault(at, []).append(i)
+            self.levels.append(level)
+            self.owners.append(owners)
+            node = {i: at for i, at in node.items() if len(index.sequences[i]) > depth}
+
+    def found(self, code: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item); unknown words between documents keep phrases within them."""
+        out: set[tuple[int, int]] = set()
+        at, node = np.arange(len(code)), np.zeros(len(code), np.int64)
+        for depth, (level, owners) in enumerate(zip(self.levels, self.owners, strict=True)):
+            inside = at + depth < len(code)
+            at, node = at[inside], node[inside]
+            value = node * self.base + code[at + depth]
+            place = np.minimum(np.searchsorted(level, value), len(level) - 1)
+            same = level[place] == value
+            at, node = at[same], place[same]
+            doc = np.searchsorted(starts, at, "right") - 1
+            ends = np.isin(node, np.fromiter(owners, np.int64, len(owners)))
+            for d, k in np.unique(np.stack([doc[ends], node[ends]]), axis=1).T.tolist():
+                out.update((d, i) for i in owners[k])
+        return out
+
+
 @dataclass
 class Index:
     ids: list[int]
     sequences: list[np.ndarray]
     vocabulary: dict[str, int]
     classes: list[Search]
+    phrases: Phrases | None = None
 
     def codes(self, text: str) -> np.ndarray:
         return np.fromiter((self.vocabulary.get(w, 0) for w in WORD.findall(text.lower())), np.int64)
@@ -132,10 +182,11 @@ def fit_search(items: list[tuple[int, str]], recall: float = RECALL) -> Index:
     index = Index([], [], {}, [])
     for item_id, text in items:
         words = WORD.findall((text or "").lower())
-        if len(words) >= LEAST_WORDS:
+        if words:
             index.ids.append(item_id)
             index.sequences.append(np.array([index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in words], np.int64))
-    order = sorted(range(len(index.ids)), key=lambda i: len(index.sequences[i]))
+    index.phrases = Phrases(index, [i for i, s in enumerate(index.sequences) if len(s) < LEAST_WORDS])
+    order = sorted((i for i, s in enumerate(index.sequences) if len(s) >= LEAST_WORDS), key=lambda i: len(index.sequences[i]))
     for i in order:
         n = len(index.sequences[i])
         if not index.classes or n > 1.1 * index.classes[-1].length:
@@ -183,7 +234,7 @@ def _keys(sequences: list[np.ndarray], group: Search, steps: np.ndarray, seed: i
 def find(index: Index, texts: list[str]) -> list[list[dict]]:
     """For each text the items it leaks, with the fewest word edits, in order of item_id."""
     codes = [index.codes(t) for t in texts]
-    gap = max((g.length for g in index.classes), default=0)
+    gap = max((g.length for g in index.classes), default=1)
     pad = np.zeros(gap, np.int64)
     code = np.concatenate([x for c in codes for x in (c, pad)]) if codes else pad
     starts = np.zeros(len(codes) + 1, np.int64)
@@ -208,7 +259,7 @@ def find(index: Index, texts: list[str]) -> list[list[dict]]:
                 at = int(window[k])
                 doc = int(np.searchsorted(starts, at, "right")) - 1
                 pairs.update((doc, int(i), at) for i in owner[low[k] : high[k]])
-    best: dict[tuple[int, int], int] = {}
+    best = dict.fromkeys(index.phrases.found(code, starts), 0)
     for doc, i, at in sorted(pairs):
         item = index.sequences[i]
         k = allowed(len(item))
@@ -252,7 +303,7 @@ def _searcher(index: Index):
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, into: str = "_leaks") -> DataFrame:
-    """Add the array ``into`` of (item_id, edits). A null, empty or short text leaks nothing; so do items of fewer than LEAST_WORDS words."""
+    """Add the array ``into`` of (item_id, edits). A null or empty text leaks nothing; an item without a word (letter or digit) is in no text."""
     out = small_batches(docs).withColumn(into, F.array().cast(RESULT))
     for block in item_blocks(items):
         out = out.withColumn(into, F.concat(into, F.pandas_udf(_searcher(fit_search(block)), RESULT)("text")))

@@ -373,3 +373,18 @@ def test_decontamination(spark):
     assert all(out[k] == want[k] for k in out if want[k] == 0)
     clean = {r["doc_id"] for r in decontam.without_leaks(frame(spark, texts), items(spark, bench)).collect()}
     assert clean == set(range(len(texts))) - {d for d, _ in out}
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    bench = [
+        (1, "Solve x^2 = 4"), (2, "四加五等于多少"), (3, "ประเทศไทยมีกี่จังหวัด"), (4, "東京"), (5, "Paris"), (6, "?!"), (7, "solve X 2, 4"), (8, "x 2"),
+    ]
+    texts = [
+        "Please solve: X^2 = 4 now", "solve x 2", "请问四加六等于多少呢", "ข้อสอบ ประเทศไทยมีกี่จังหวัด ตอบ", "私は東京都にいる", "東 and 京都", "comparison of parish", "in PARIS.", "4", "Solve x", "2 = 4",
+        "四加六等於几何",
+    ]
+    out = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.digest(frame(spark, texts), items(spark, bench)).collect()}
+    assert out == {(0, 1): 0, (0, 7): 0, (0, 8): 0, (1, 8): 0, (2, 2): 1, (3, 3): 0, (4, 4): 0, (7, 5): 0}
+    assert decontam.WORD.findall("naïve_x2 日本ที่ ไป가나") == ["naïve", "x2", "日", "本", "ที่", "ไ", "ป", "가나"]
+    left = {r["doc_id"] for r in decontam.without_leaks(frame(spark, texts), items(spark, bench)).collect()}
+    assert left == {5, 6, 8, 9, 10, 11}

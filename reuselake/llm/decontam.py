@@ -10,7 +10,8 @@ by the exact edit distance of the item to the best window near it.
 
 Items are a stated query set, taken in blocks of bounded size; documents are never shuffled: each batch is searched where it is
 read. The number of repetitions is not guessed: ``fit_search`` edits every item at the allowed limit and adds repetitions until the target share of
-those variants is found. Windows that cannot match are left out beforehand without loss: a match within k edits of an item
+those variants is found; where they are not enough, every window that can match is compared. Items longer than ``LONGEST_PART`` are searched by
+their parts: of k edits over an item, some part has no more than its share. The whole item is verified. Windows that cannot match are left out beforehand without loss: a match within k edits of an item
 of n words has n - k of the words of such items in its first n words.
 """
 
@@ -33,6 +34,8 @@ EDITS = 0.2
 RECALL = 0.98
 SAMPLED = 3
 MOST_REPETITIONS = 400
+#: Longer walks drift apart too often; longer items are cut.
+LONGEST_PART = 64
 #: Items that are searched together; more items make more passes.
 BLOCK_ITEMS = 20_000
 #: Items of fewer words are allowed no edit and need no search by sampling.
@@ -92,12 +95,13 @@ def edit_distance_near(item: np.ndarray, text: np.ndarray) -> int:
 
 @dataclass
 class Search:
-    """Items of one length class: code sequences, and for each repetition the sampled steps and the items' keys."""
+    """Parts of one length class: code sequences, and for each repetition the sampled steps and the parts' keys."""
 
     length: int
-    fewest: int  # words of the items that a window of ``length`` must hold
-    items: list[int]
+    fewest: int  # words of the parts that a window of ``length`` must hold
+    items: list[int]  # places in the index's parts
     words: int = 0
+    exact: bool = False  # too many edited parts are missed: windows are compared without sampling
     seeds: list[int] = field(default_factory=list)
     steps: list[np.ndarray] = field(default_factory=list)
     keys: list[np.ndarray] = field(default_factory=list)  # sorted
@@ -105,7 +109,7 @@ class Search:
 
     def local(self, index: Index) -> np.ndarray:
         """From word codes to codes of the words that items of this class hold; 0 for all others."""
-        held = np.unique(np.concatenate([index.sequences[i] for i in self.items]))
+        held = np.unique(np.concatenate([index.parts[i].sequence for i in self.items]))
         out = np.zeros(len(index.vocabulary) + 1, np.int64)
         out[held] = np.arange(1, len(held) + 1)
         self.words = len(held)
@@ -151,6 +155,13 @@ class Phrases:
         return out
 
 
+@dataclass
+class Part:
+    item: int
+    offset: int
+    sequence: np.ndarray
+
+
 @dataclass
 class Index:
     ids: list[int]
@@ -158,6 +169,7 @@ class Index:
     vocabulary: dict[str, int]
     classes: list[Search]
     phrases: Phrases | None = None
+    parts: list[Part] = field(default_factory=list)
 
     def codes(self, text: str) -> np.ndarray:
         return np.fromiter((self.vocabulary.get(w, 0) for w in WORD.findall(text.lower())), np.int64)
@@ -186,9 +198,15 @@ def fit_search(items: list[tuple[int, str]], recall: float = RECALL) -> Index:
             index.ids.append(item_id)
             index.sequences.append(np.array([index.vocabulary.setdefault(w, len(index.vocabulary) + 1) for w in words], np.int64))
     index.phrases = Phrases(index, [i for i, s in enumerate(index.sequences) if len(s) < LEAST_WORDS])
-    order = sorted((i for i, s in enumerate(index.sequences) if len(s) >= LEAST_WORDS), key=lambda i: len(index.sequences[i]))
+    for i, s in enumerate(index.sequences):
+        if len(s) >= LEAST_WORDS:
+            at = 0
+            for part in np.array_split(s, -(-len(s) // LONGEST_PART)):
+                index.parts.append(Part(i, at, part))
+                at += len(part)
+    order = sorted(range(len(index.parts)), key=lambda i: len(index.parts[i].sequence))
     for i in order:
-        n = len(index.sequences[i])
+        n = len(index.parts[i].sequence)
         if not index.classes or n > 1.1 * index.classes[-1].length:
             index.classes.append(Search(n, n - allowed(n), []))
         own = index.classes[-1]
@@ -204,15 +222,16 @@ def _calibrate(group: Search, index: Index, recall: float) -> None:
     rng, local = np.random.default_rng(1000 + group.length), group.local(index)
     variants, whose = [], []
     for i in group.items:
+        part = index.parts[i].sequence
         for _ in range(max(2, 200 // len(group.items))):
-            variants.append(_edited(index.sequences[i], allowed(len(index.sequences[i])), len(index.vocabulary), rng))
+            variants.append(_edited(part, allowed(len(part)), len(index.vocabulary), rng))
             whose.append(i)
     whose = np.array(whose)
     missed = np.ones(len(variants), bool)
     while missed.mean() > 1 - recall and len(group.seeds) < MOST_REPETITIONS:
         seed = len(group.seeds) + 1
         steps = np.sort(rng.choice(group.length, SAMPLED, replace=False))
-        keys = _keys([local[index.sequences[i]] for i in group.items], group, steps, seed)
+        keys = _keys([local[index.parts[i].sequence] for i in group.items], group, steps, seed)
         mine = dict(zip(group.items, keys.tolist(), strict=True))
         got = _keys([local[v] for v in variants], group, steps, seed)
         missed &= got != np.array([mine[i] for i in whose.tolist()], np.uint64)
@@ -221,6 +240,7 @@ def _calibrate(group: Search, index: Index, recall: float) -> None:
         group.steps.append(steps)
         group.keys.append(keys[order])
         group.owner.append(np.array(group.items)[order])
+    group.exact = bool(missed.mean() > 1 - recall)
 
 
 def _keys(sequences: list[np.ndarray], group: Search, steps: np.ndarray, seed: int) -> np.ndarray:
@@ -239,7 +259,16 @@ def find(index: Index, texts: list[str]) -> list[list[dict]]:
     code = np.concatenate([x for c in codes for x in (c, pad)]) if codes else pad
     starts = np.zeros(len(codes) + 1, np.int64)
     np.cumsum([len(c) + gap for c in codes], out=starts[1:])
-    pairs: set[tuple[int, int, int]] = set()
+    spans: dict[tuple[int, int], set[tuple[int, int]]] = {}
+
+    def near(doc: int, part: Part, first: int, last: int) -> None:
+        """The item may be around windows ``first`` to ``last``."""
+        n = len(index.sequences[part.item])
+        slack = allowed(n) * (2 if n > LONGEST_PART else 1)  # a part drifts as well
+        low, high = max(int(starts[doc]), first - part.offset - slack), min(int(starts[doc + 1]) - gap, last - part.offset + n + 2 * allowed(n))
+        if low < high:
+            spans.setdefault((doc, part.item), set()).add((low, high))
+
     for group in index.classes:
         if len(code) < group.length:
             continue
@@ -250,28 +279,38 @@ def find(index: Index, texts: list[str]) -> list[list[dict]]:
         known = np.append(known, False)
         # a match may begin with a strange word; what is strange before that makes no better window
         window = np.nonzero((full >= group.fewest) & (known[:-1] | known[1:])[: len(full)])[0]
+        if group.exact and len(window):
+            doc = np.searchsorted(starts, window, "right") - 1
+            for run in np.split(window, np.nonzero((np.diff(window) > group.length) | (np.diff(doc) > 0))[0] + 1):
+                d = int(np.searchsorted(starts, run[0], "right")) - 1
+                for i in group.items:
+                    near(d, index.parts[i], int(run[0]), int(run[-1]))
+            continue
+        pairs: set[tuple[int, int]] = set()
         for seed, steps, keys, owner in zip(group.seeds, group.steps, group.keys, group.owner, strict=True):
             if not len(window):
                 break
             got = _walk(own, window, group.length, steps, _bits(group.words, int(steps[-1]) + 1, seed))
             low, high = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
             for k in np.nonzero(high > low)[0]:
-                at = int(window[k])
-                doc = int(np.searchsorted(starts, at, "right")) - 1
-                pairs.update((doc, int(i), at) for i in owner[low[k] : high[k]])
+                pairs.update((int(i), int(window[k])) for i in owner[low[k] : high[k]])
+        for i, at in pairs:
+            near(int(np.searchsorted(starts, at, "right")) - 1, index.parts[i], at, at)
     best = dict.fromkeys(index.phrases.found(code, starts), 0)
-    for doc, i, at in sorted(pairs):
+    for (doc, i), places in spans.items():
         item = index.sequences[i]
         k = allowed(len(item))
-        if best.get((doc, i), k + 1) == 0:
-            continue
-        held = np.isin(item, code[max(int(starts[doc]), at - k) : at + len(item) + 2 * k]).sum()
-        if held < len(item) - k:  # too few of its words for so few edits
-            continue
-        near = code[max(int(starts[doc]), at - k) : min(int(starts[doc + 1]) - gap, at + len(item) + 2 * k)]
-        edits = edit_distance_near(item, near)
+        joined: list[list[int]] = []
+        for low, high in sorted(places):
+            if np.isin(item, code[low:high]).sum() < len(item) - k:  # too few of its words for so few edits
+                continue
+            if joined and low <= joined[-1][1]:  # one run of text is compared once
+                joined[-1][1] = max(joined[-1][1], high)
+            else:
+                joined.append([low, high])
+        edits = min((edit_distance_near(item, code[low:high]) for low, high in joined), default=k + 1)
         if edits <= k:
-            best[doc, i] = min(edits, best.get((doc, i), edits))
+            best[doc, i] = edits
     out: list[list[dict]] = [[] for _ in texts]
     for (doc, i), edits in best.items():
         out[doc].append({"item_id": index.ids[i], "edits": edits})

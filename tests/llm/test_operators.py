@@ -388,3 +388,24 @@ def test_short_items_and_scripts_without_blanks(spark):
     assert decontam.WORD.findall("naïve_x2 日本ที่ ไป가나") == ["naïve", "x2", "日", "本", "ที่", "ไ", "ป", "가나"]
     left = {r["doc_id"] for r in decontam.without_leaks(frame(spark, texts), items(spark, bench)).collect()}
     assert left == {5, 6, 8, 9, 10, 11}
+
+
+def test_long_items_with_edits_are_found(monkeypatch):
+    rng = np.random.default_rng(3)
+    say = lambda x: " ".join(f"w{k}" for k in x)
+    bench = rng.integers(0, 4000, (2, 3000))
+    texts, n = [], decontam.allowed(3000)
+    for k in range(16):  # spread over the whole item, as many as are allowed
+        edited = decontam._edited(bench[k % 2], n, 9000, rng)
+        texts.append(say(np.concatenate([rng.integers(5000, 9000, 50), edited, rng.integers(5000, 9000, 50)])))
+    texts.append(say(np.concatenate([bench[0][:2000], rng.integers(5000, 9000, 1000)])))
+    found = decontam.find(decontam.fit_search([(k, say(b)) for k, b in enumerate(bench)]), texts)
+    assert [[x["item_id"] for x in f] for f in found] == [[k % 2] for k in range(16)] + [[]]
+    assert all(x["edits"] <= n for f in found for x in f)
+
+    # no repetition reaches the target: the exact way
+    monkeypatch.setattr(decontam, "MOST_REPETITIONS", 0)
+    short = [(k, say(rng.integers(0, 200, 5 + 9 * k))) for k in range(10)]
+    texts = [say(np.concatenate([rng.integers(100, 400, 30), decontam._edited(np.array([int(w[1:]) for w in t.split()]), decontam.allowed(5 + 9 * k), 400, rng), rng.integers(100, 400, 30)])) for k, t in short]
+    found = decontam.find(decontam.fit_search(short), texts)
+    assert [{(x["item_id"], x["edits"]) for x in f} for f in found] == [leaks(t, short) for t in texts]

@@ -409,3 +409,25 @@ def test_long_items_with_edits_are_found(monkeypatch):
     texts = [say(np.concatenate([rng.integers(100, 400, 30), decontam._edited(np.array([int(w[1:]) for w in t.split()]), decontam.allowed(5 + 9 * k), 400, rng), rng.integers(100, 400, 30)])) for k, t in short]
     found = decontam.find(decontam.fit_search(short), texts)
     assert [{(x["item_id"], x["edits"]) for x in f} for f in found] == [leaks(t, short) for t in texts]
+
+
+def test_pseudonyms_in_other_forms(spark):
+    given = [
+        "4111 1111 1111 1111 12/26", "4111 1111 1111 1111 123", "order 7 4111111111111111", "4111 1111 1111 1111 2024-02-29", "5500-0000-0000-0004 4111 1111 1111 1111",
+        "555-123-4567", "(555) 123-4567", "+44 20 7946 0958", "31.12.1999", "12/31/1999", "3 May 1990", "December 25, 2001", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "31.13.1999 DE88370400440532013000",
+    ]
+    forms = [
+        r"(\d{4} \d{4} \d{4} \d{4}) 12/26", r"(\d{4} \d{4} \d{4} \d{4}) 123", r"order 7 (\d{16})", r"(\d{4} \d{4} \d{4} \d{4}) (?!2024-02-29)\d{4}-\d\d-\d\d", r"\d{4}-\d{4}-\d{4}-\d{4} (\d{4} \d{4} \d{4} \d{4})",
+        r"\d{3}-\d{3}-\d{4}", r"\(\d{3}\) \d{3}-\d{4}", r"\+44 \d\d \d{4} \d{4}", r"\d\d\.\d\d\.\d{4}", r"\d\d/\d\d/\d{4}", r"\d{1,2} [A-Z][a-z]{2} \d{4}", r"[A-Z][a-z]+ \d\d, \d{4}", r"DE\d\d( \d{4}){4} \d\d", r"GB\d\dWEST\d{14}",
+    ]
+    rows = {r["doc_id"]: r for r in pii.digest(frame(spark, given), "k").collect()}
+    for k, form in enumerate(forms):
+        new = rows[k]["text"]
+        assert re.fullmatch(form, new) and new != given[k], (given[k], new)
+        if k < 5:
+            assert luhn(re.fullmatch(form, new)[1].replace(" ", "")) and "4111 1111" not in new and rows[k]["n_card"] == (2 if k == 4 else 1)
+    assert [rows[k]["n_phone"] for k in (5, 6, 7)] == [1] * 3 and [rows[k]["n_date"] for k in (3, 8, 9, 10, 11)] == [1] * 5 and rows[12]["n_iban"] == rows[13]["n_iban"] == 1
+    for k in (12, 13):
+        x = rows[k]["text"].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert rows[14]["text"] == given[14]

@@ -4,8 +4,9 @@ A known word adds its per-language log frequency. An unseen word is cut into n-g
 first length with a known n-gram speaks for the word by the mean of its known n-grams. A document takes the language with the
 highest sum over all words of its whole text.
 
-Counts come from about ``fit_docs`` training documents and are made by Spark; the tables keep the ``max_words`` and ``max_grams``
-most frequent entries, so the model that tasks receive has a fixed bound.
+Counts come from about ``fit_docs`` training documents of each language (all, if it has fewer) and are made by Spark; the tables keep the
+``max_words`` and ``max_grams`` most frequent entries of all languages together and the ``own`` most frequent of each, so the model that tasks
+receive is bounded for a given number of languages.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.llm.common import fraction_rule, small_batches
+from reuselake.llm.common import small_batches
 
 FIT_DOCS = 4_000
 MAX_WORDS = 50_000
 MAX_GRAMS = 50_000
+#: Words and n-grams that every language has room for, however rare it is.
+OWN = 10_000
 LONGEST = 5
 #: Scored words that a Python worker remembers before it starts afresh.
 REMEMBERED = 300_000
@@ -89,34 +92,44 @@ def predict(model: Model, texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
 
-def _log_frequencies(counts: DataFrame, key: str, langs: list[str], most: int) -> dict[str, np.ndarray]:
-    """The ``most`` frequent keys with their smoothed log frequency per language."""
+def _log_frequencies(counts: DataFrame, key: str, langs: list[str], most: int, own: int) -> dict[str, np.ndarray]:
+    """The ``most`` frequent keys, and the ``own`` most frequent of each language, with their smoothed log frequency per language."""
     wide = counts.groupBy(key).agg(
         *(F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(langs)), F.sum("n").alias("all"),
-    )
-    rows = wide.orderBy(F.desc("all"), key).limit(most).collect()
+    ).persist()
+    try:
+        found = {r[key]: r for r in wide.orderBy(F.desc("all"), key).limit(most).collect()}
+        for i in range(len(langs)):
+            found.update((r[key], r) for r in wide.where(F.col(f"l{i}") > 0).orderBy(F.desc(f"l{i}"), key).limit(own).collect())
+    finally:
+        wide.unpersist()
+    rows = list(found.values())
     seen = np.array([[r[f"l{i}"] for i in range(len(langs))] for r in rows], float).reshape(len(rows), len(langs))
     smooth = 0.5
     logs = np.log(seen + smooth) - np.log(seen.sum(0) + smooth * max(len(rows), 1))
     return {r[key]: v for r, v in zip(rows, logs, strict=True)}
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, own: int = OWN) -> Model:
     """Learn from text and non-null lang of documents that are not held out and have an id."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = usable.where(fraction_rule(F.col("doc_id"), usable.count(), fit_docs)).select(F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text"))
+    usable = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), F.lower("text").alias("text"))
+    steps = 1 << 30
+    shares = [(r["lang"], min(steps, steps * fit_docs // r["count"])) for r in usable.groupBy("lang").count().collect()]
+    share = F.create_map(*(F.lit(x) for pair in shares for x in pair)) if shares else F.create_map(F.lit(""), F.lit(0))
+    chosen = usable.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(steps)) < F.element_at(share, F.col("lang"))).select("lang", "text")
     counts = (
         chosen.select("lang", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
         .groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
     )
     try:
         langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-        words = _log_frequencies(counts, "word", langs, max_words)
+        words = _log_frequencies(counts, "word", langs, max_words, own)
         edged = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
         spans = counts.select("lang", "n", edged.alias("e"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST))).alias("k")).where("k <= length(e)")
         grams = spans.select("lang", "n", F.explode(F.expr("transform(sequence(1, length(e) - k + 1), i -> substring(e, i, k))")).alias("gram"))
         grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        return Model(langs, words, _log_frequencies(grams, "gram", langs, max_grams))
+        return Model(langs, words, _log_frequencies(grams, "gram", langs, max_grams, own))
     finally:
         counts.unpersist()
 

@@ -431,3 +431,13 @@ def test_pseudonyms_in_other_forms(spark):
         x = rows[k]["text"].replace(" ", "")
         assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
     assert rows[14]["text"] == given[14]
+
+
+def test_rare_language_is_learnt(spark):
+    texts = [f"hot{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} common words" for k in range(3000)] + [f"žluť{chr(97 + k)} kůň" for k in range(12)]
+    docs = frame(spark, texts, lang=["aa"] * 3000 + ["cs"] * 12)
+    model = langid.fit(docs, fit_docs=100, max_words=20, max_grams=20)
+    learnt = [t.split()[0] for k, t in enumerate(texts) if k >= 3000 and zlib.crc32(str(k).encode()) % 5]
+    assert model.langs == ["aa", "cs"] and learnt and set(learnt) <= set(model.words)
+    told = {r["doc_id"]: r["_lang"]["lang_pred"] for r in langid.with_language(docs.where("doc_id >= 2900"), model).collect()}
+    assert told == {k: "cs" if k >= 3000 else "aa" for k in range(2900, 3012)}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reuselake.llm import bpe, dartminhash, decontam, langid, linededup, pii, quality, rules, sharding, suffix
+from reuselake.llm import bpe, dartminhash, decontam, hardneg, langid, linededup, phrases, pii, quality, rules, sharding, suffix, toxicity
 from reuselake.llm.common import table
 
 
@@ -50,7 +50,23 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hat_trie_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_cgk_decontamination, op3_run_length_index, op4_dart_minhash, op5_line_edit_join, op6_feistel_pseudonyms, op7_word_table_bpe, op8_stratified_shards, op9_quality_rules, op10_quality_trees)
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_cgk_decontamination, op3_run_length_index, op4_dart_minhash, op5_line_edit_join, op6_feistel_pseudonyms, op7_word_table_bpe,
+        op8_stratified_shards, op9_quality_rules, op10_quality_trees, op11_ftrl_toxicity, op12_hat_trie_phrases, op13_residue_negatives,
+    )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_hat_trie_phrases": phrases.ORACLE_SQL, "op13_residue_negatives": hardneg.ORACLE_SQL}

@@ -6,9 +6,10 @@ When a task's trie holds more than ``TRIE_ENTRIES`` sequences, its largest subtr
 dealt by language and prefix (up to three words, so that the continuations of one frequent pair do not meet in one task) and
 summed there.
 
-A frequent phrase has frequent parts. So words are counted first, then pairs of words that may be frequent, then longer sequences whose
-pairs all may be frequent. "May be" is a bit table of fixed size (``BITS``) in which every frequent part has its bit: a bit that is set by chance costs
-work, never a result. Nothing is sampled or cut, and only the bit table goes through the driver.
+A frequent phrase has frequent parts. So words are counted first, then pairs, then longer sequences, and each pass counts only what may still be
+frequent by two kinds of bit tables of fixed size: exact counts of shorter parts, and a sketch that the pass before has made of
+this size (hashed counters, which can only count too much). A bit that is set by chance costs
+work, never a result. Nothing is sampled or cut, and only bit tables go through the driver.
 """
 
 from __future__ import annotations
@@ -17,20 +18,23 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reuselake.llm.common import empty_if_null, stored
+from reuselake.llm.hashing import mix
 from reuselake.llm.tokens import byte_kinds, chunks, split
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 NO_LANGUAGE = "und"
 #: Entries of a task's trie, and of one container, before they are spilled or burst.
-TRIE_ENTRIES, CONTAINER_ENTRIES = 1_500_000, 20_000
-#: Size of the table of frequent parts.
-BITS = 1 << 24
-CHUNK_BYTES = 4_000_000
+TRIE_ENTRIES, CONTAINER_ENTRIES = 600_000, 20_000
+#: Sizes of the table of frequent parts and of the sketch, and of the parts in which sketches travel.
+BITS, SKETCH, SLICE = 1 << 24, 1 << 22, 1 << 16
+CHUNK_BYTES = 2_000_000
 BATCH_ROWS = 10_000
 #: Fixed values of the definition: bytes between words, bytes that end a piece, and lower case of A-Z.
 KINDS = byte_kinds(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
@@ -103,18 +107,31 @@ class HatTrie:
         yield from below(self.root.pop(first), b"")
 
 
-def bit_of(lang: bytes, *words: bytes) -> int:
-    """Place of a part in the bit table; ``bit_column`` gives the same place."""
-    return zlib.crc32(lang + b"\0" + b" ".join(words)) & (BITS - 1)
+def codes(lang: bytes, words: list[bytes]) -> np.ndarray:
+    """A number for each word of a language, the same in every task."""
+    head = zlib.crc32(lang + b"\0")
+    return mix(np.array([zlib.crc32(w, head) for w in words], np.uint64) + np.uint64(1))
 
 
-def bit_column(lang: str, phrase: str) -> Column:
-    return F.crc32(F.concat(F.col(lang), F.lit("\0"), F.col(phrase)).cast("binary")).bitwiseAND(F.lit(BITS - 1))
+def slots(code: np.ndarray, at: np.ndarray, size: int, of: int) -> np.ndarray:
+    """Places in a table of ``of`` entries of the ``size`` words that begin at ``at``."""
+    value = code[at]
+    for i in range(1, size):
+        value = mix(value * np.uint64(3) + code[at + i])
+    return (value & np.uint64(of - 1)).astype(np.int64)
 
 
 def bit_table(parts: DataFrame) -> np.ndarray:
     """Bit table of rows (lang, phrase): at most ``BITS`` / 64 numbers reach the driver, whatever the number of parts."""
-    at = parts.select(bit_column("lang", "phrase").alias("b"))
+    @F.pandas_udf("long")
+    def place(langs: pd.Series, phrases: pd.Series) -> pd.Series:
+        out = []
+        for lang, phrase in zip(langs, phrases, strict=True):
+            words = phrase.encode().split(b" ")
+            out.append(int(slots(codes(lang.encode(), words), np.zeros(1, np.int64), len(words), BITS)[0]))
+        return pd.Series(out, dtype="int64")
+
+    at = parts.select(place("lang", "phrase").alias("b"))
     one = F.expr("shiftleft(1L, cast(b & 63 as int))")
     got = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(one).alias("bits")).collect()
     table = np.zeros(BITS // 64, np.int64)
@@ -123,11 +140,30 @@ def bit_table(parts: DataFrame) -> np.ndarray:
     return table.view(np.uint8)
 
 
+def sketch_table(runs: DataFrame, least: int) -> np.ndarray:
+    """Bit table of the sketches' slots whose counts reach ``least``: ``SKETCH`` bits reach the driver. Slices are summed as they come."""
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64)
+                part[part == 255] = least  # a full counter may stand for any number
+                sums[k] = np.minimum(sums.get(k, 0) + part, least)
+        for k, total in sums.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+
+    parts = runs.where("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(merge, "slice int, bits binary")
+    table = np.zeros(SKETCH // 8, np.uint8)
+    for r in parts.collect():
+        table[r["slice"] * SLICE // 8 : (r["slice"] + 1) * SLICE // 8] = np.frombuffer(r["bits"], np.uint8)
+    return table
+
+
 def _set(table: np.ndarray, place: np.ndarray) -> np.ndarray:
     return table[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
 
 
-_RUN = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+_RUN = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 class _Counter:
@@ -145,10 +181,14 @@ class _Counter:
             self.words.append((lang, word))
         return found
 
+    def add_words(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first, count in zip(ids.tolist(), counts.tolist(), strict=True):
+            self.trie.add(first, [b""], [count])
+        yield from self.check()
+
     def add(self, grams: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
         """Count rows of ids; yields runs when the trie is full."""
-        order = np.lexsort(grams.T[::-1])
-        grams = grams[order]
+        grams = grams[np.lexsort(grams.T[::-1])]
         new = np.ones(len(grams), bool)
         new[1:] = (grams[1:] != grams[:-1]).any(1)
         at = np.nonzero(new)[0]
@@ -160,6 +200,9 @@ class _Counter:
         total = counts.tolist()
         for first, b, e in zip(firsts.tolist(), begin.tolist(), ends.tolist(), strict=True):
             self.trie.add(first, [packed[i * width : (i + 1) * width] for i in range(b, e)], total[b:e])
+        yield from self.check()
+
+    def check(self) -> Iterator[pa.RecordBatch]:
         if len(self.trie) > self.most:
             yield from self.spill(self.most // 2)
 
@@ -182,73 +225,104 @@ class _Counter:
 
 def _batch(rows: list[tuple[str, bytes, int, int]]) -> pa.RecordBatch:
     lang, phrase, size, f = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(lang), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())], schema=_RUN)
+    none = pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())
+    return pa.record_batch([pa.array(lang), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(f, pa.int64()), *none], schema=_RUN)
+
+
+class _Sketch:
+    """Counts of hashed sequences in ``SKETCH`` slots; counters stop at 255."""
 
+    def __init__(self):
+        self.counts = np.zeros(SKETCH, np.uint8)
 
-def _counted(rows: DataFrame, sizes: tuple[int, ...], words: np.ndarray | None = None, pairs: np.ndarray | None = None, trie_entries: int = TRIE_ENTRIES) -> DataFrame:
-    """(lang, size, phrase, f) of the sequences of ``sizes`` words within pieces, if their words and pairs have their bits set."""
-    spark = rows.sparkSession
-    tables = spark.sparkContext.broadcast((words, pairs))  # a fixed size
+    def add(self, place: np.ndarray) -> None:
+        used, more = np.unique(place, return_counts=True)
+        self.counts[used] = np.minimum(self.counts[used] + more, 255)
+
+    def slices(self) -> Iterator[pa.RecordBatch]:
+        for k in range(SKETCH // SLICE):
+            part = self.counts[k * SLICE : (k + 1) * SLICE]
+            if part.any():
+                none = [pa.nulls(1, f.type) for f in list(_RUN)[:4]]
+                yield pa.record_batch([*none, pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema=_RUN)
+
+
+def _runs(rows: DataFrame, sizes: tuple[int, ...], sketched: int | None, words: np.ndarray | None = None, pairs: np.ndarray | None = None, triples: np.ndarray | None = None, trie_entries: int = TRIE_ENTRIES) -> DataFrame:
+    """Runs (lang, size, phrase, f) of the sequences of ``sizes`` words within pieces whose words, pairs and triples have their bits set,
+    and slices (slice, counts) of each task's sketch of such sequences of ``sketched`` words."""
+    tables = rows.sparkSession.sparkContext.broadcast((words, pairs, triples))  # of fixed sizes
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent_words, frequent_pairs = tables.value
-        counter = _Counter(trie_entries)
+        word_bits, pair_bits, triple_bits = tables.value
+        counter, sketch = _Counter(trie_entries), _Sketch()
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            sizes_of = np.diff(np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1 + texts.offset)[texts.offset :]) if len(texts) else []
-            for chunk in chunks([range(int(n)) for n in sizes_of], CHUNK_BYTES):
-                part = split([texts[i].as_py() for i in chunk], KINDS, LOWER)
-                if not len(part.word):
-                    continue
-                langs = [batch.column(0)[i].as_py() for i in chunk]
-                names = list(dict.fromkeys(langs))
-                place = {name: k for k, name in enumerate(names)}
-                lang_of = np.array([place[x] for x in langs])[part.text]
-                kinds, inverse = np.unique(lang_of * len(part.distinct) + part.word, return_inverse=True)
-                ids = np.zeros(len(kinds), np.int64)
-                good = np.ones(len(kinds), bool)
-                for k, (lang, word) in enumerate(zip((kinds // len(part.distinct)).tolist(), (kinds % len(part.distinct)).tolist(), strict=True)):
-                    name, letters = names[lang], part.distinct[word]
-                    if frequent_words is not None:
-                        b = bit_of(name.encode(), letters)
-                        good[k] = frequent_words[b >> 3] >> (b & 7) & 1
-                    ids[k] = counter.number(name, letters) if good[k] else -1
-                word, fit = ids[inverse], good[inverse]
-                linked = np.zeros(len(word), bool)  # a frequent pair begins here
-                at = part.windows(2, part.piece)
-                at = at[fit[at] & fit[at + 1]]
-                if frequent_pairs is not None and len(at):
-                    known, back = np.unique(word[at] << 32 | word[at + 1], return_inverse=True)
-                    bits = np.array([bit_of(counter.words[x >> 32][0].encode(), counter.words[x >> 32][1], counter.words[x & 0xFFFFFFFF][1]) for x in known.tolist()])
-                    at = at[_set(frequent_pairs, bits)[back]]
-                linked[at] = True
-                starts = np.nonzero(fit)[0]
-                for size in range(1, max(sizes) + 1):
-                    if size > 1:  # the pair at the end of the window must be linked as well
-                        starts = starts[starts + size - 2 < len(linked)]
-                        starts = starts[linked[starts + size - 2]]
-                    if size in sizes and len(starts):
-                        yield from counter.add(word[starts[:, None] + np.arange(size)], size)
+            lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            by_lang: dict[str, list[int]] = {}
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                by_lang.setdefault(lang, []).append(i)
+            for lang, mine in by_lang.items():
+                for chunk in chunks([range(int(lengths[i])) for i in mine], CHUNK_BYTES):
+                    part = split([texts[mine[i]].as_py() for i in chunk], KINDS, LOWER)
+                    if not len(part.word):
+                        continue
+                    code = codes(lang.encode(), part.distinct)
+                    good = np.ones(len(code), bool) if word_bits is None else _set(word_bits, slots(code, np.arange(len(code)), 1, BITS))
+                    ids = np.array([counter.number(lang, w) if g else -1 for w, g in zip(part.distinct, good.tolist(), strict=True)], np.int64)
+                    if 1 in sizes:
+                        yield from counter.add_words(ids, np.bincount(part.word, minlength=len(ids)))
+                    word, fit, of = ids[part.word], good[part.word], code[part.word]
+                    at = part.windows(2, part.piece)
+                    at = at[fit[at] & fit[at + 1]]
+                    if pair_bits is not None:
+                        at = at[_set(pair_bits, slots(of, at, 2, 8 * len(pair_bits)))]
+                    if sketched == 2:
+                        sketch.add(slots(of, at, 2, SKETCH))
+                    linked = np.zeros(len(word) + 1, bool)  # a frequent pair, then a frequent triple, begins here
+                    linked[at] = True
+                    if 2 in sizes and len(at):
+                        yield from counter.add(word[at[:, None] + np.arange(2)], 2)
+                    if max(sizes) < 3 and sketched != 3:
+                        continue
+                    at = at[linked[at + 1]]
+                    if triple_bits is not None:
+                        at = at[_set(triple_bits, slots(of, at, 3, SKETCH))]
+                    if sketched == 3:
+                        sketch.add(slots(of, at, 3, SKETCH))
+                    linked = np.zeros(len(word) + LONGEST, bool)
+                    linked[at] = True
+                    for size in range(3, max(sizes) + 1):
+                        if size > 3:  # the last triple of the window
+                            at = at[linked[at + size - 3]]
+                        if size in sizes and len(at):
+                            yield from counter.add(word[at[:, None] + np.arange(size)], size)
         yield from counter.spill(0)
+        yield from sketch.slices()
+
+    return stored(rows.mapInArrow(count, "lang string, size int, phrase string, f long, slice int, counts binary"), "runs")
 
-    runs = rows.mapInArrow(count, "lang string, size int, phrase string, f long")
+
+def _summed(runs: DataFrame) -> DataFrame:
     head = F.substring_index("phrase", " ", 3)
-    return runs.repartition("lang", head).groupBy("lang", head.alias("_head"), "size", "phrase").agg(F.sum("f").alias("f")).drop("_head")
+    whole = runs.where("slice is null").select("lang", "size", "phrase", "f").repartition("lang", head)
+    return whole.groupBy("lang", head.alias("_head"), "size", "phrase").agg(F.sum("f").alias("f")).drop("_head")
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, trie_entries: int = TRIE_ENTRIES) -> tuple[DataFrame, DataFrame]:
-    """(lang, n): all word occurrences of each language; (lang, size, phrase, f): every phrase of up to ``longest`` words with ``f`` >= ``least``."""
+    """(lang, n): all word occurrences of each language; (lang, size, phrase, f): every phrase of up to ``longest`` (5 at most) words with ``f`` >= ``least``."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), empty_if_null(F.col("text").cast("string")).alias("text"))
-    words = stored(_counted(rows, (1,), trie_entries=trie_entries), "words")
+    one = _runs(rows, (1,), 2, trie_entries=trie_entries)
+    words = stored(_summed(one), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     found = words.where(F.col("f") >= least)
     if longest >= 2:
         word_bits = bit_table(found)
-        pairs = stored(_counted(rows, (2,), word_bits, trie_entries=trie_entries).where(F.col("f") >= least), "pairs")
-        found = found.unionByName(pairs)
+        two = _runs(rows, (2,), 3 if longest > 2 else None, word_bits, sketch_table(one, least), trie_entries=trie_entries)
+        pairs = stored(_summed(two).where(F.col("f") >= least), "pairs")
         if longest >= 3:
-            more = _counted(rows, tuple(range(3, longest + 1)), word_bits, bit_table(pairs), trie_entries)
-            found = found.unionByName(stored(more.where(F.col("f") >= least), "longer"))
+            more = _runs(rows, tuple(range(3, longest + 1)), None, word_bits, bit_table(pairs), sketch_table(two, least), trie_entries)
+            pairs = pairs.unionByName(stored(_summed(more).where(F.col("f") >= least), "longer"))
+        found = found.unionByName(pairs)
     return totals, found
 
 

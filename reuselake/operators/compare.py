@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reuselake.functions import text as T
-from reuselake.operators.similarity import embedding_topk, similar_pairs
+from reuselake.operators.similarity import candidate_pairs, embedding_topk
 from reuselake.operators.skew import salted_join
 from reuselake.session import stored
 
@@ -112,16 +112,25 @@ def _contents(df: DataFrame, id: str, mode: str) -> DataFrame:
     return stored(rows, "features")
 
 
-def _distinct_contents(rows: DataFrame, extra=()) -> DataFrame:
+def _distinct_contents(rows: DataFrame, vectors: DataFrame | None, extra=()) -> DataFrame:
     cols = ("language", "tokens", "bag", "document")
     one = rows.groupBy("content").agg(*[F.any_value(c).alias(c) for c in cols], *extra)
-    return stored(one.withColumn("shingles", T.shingles(F.col("tokens"))), "contents")
+    one = one.withColumn("shingles", T.shingles(F.col("tokens"))).drop("tokens")
+    one = one.withColumn("_v", F.lit(None).cast("array<double>")) if vectors is None else one.join(vectors, "document", "left")
+    return stored(one, "contents")
 
 
-def _structural(q: DataFrame, c: DataFrame, floor: tuple[int, int]) -> DataFrame:
-    pairs = similar_pairs(q, c, floor, id="content", elements="shingles", by=["language"])
-    union = F.col("left_size") + F.col("right_size") - F.col("overlap")
-    return pairs.select("left_id", "right_id", (F.col("overlap") / union).alias("ast"))
+#: Score floors of the search for the best, in ten-thousandths (scores have four decimals). The last one is every score above zero.
+FLOORS = (5000, 2000, 500, 1)
+
+
+def _reaching(q: DataFrame, c: DataFrame, floor: int) -> DataFrame:
+    """Pairs that hold every one with a structural or feature score of ``floor`` ten-thousandths, also if only by rounding.
+
+    A combined score is a mean of the two, so it cannot be above the larger one.
+    """
+    least = (2 * floor - 1, 20_000)
+    return candidate_pairs(q, c, least, "content", "shingles", ["language"]).unionByName(candidate_pairs(q, c, least, "content", "bag")).distinct()
 
 
 def _nearest(q: DataFrame, c: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -129,23 +138,71 @@ def _nearest(q: DataFrame, c: DataFrame, vectors: DataFrame, k: int) -> DataFram
 
     Contents with one profile document share a vector, so documents are compared, and of a document's contents the first ``k`` count.
     """
-    vec = vectors.select("document", F.col("embedding").alias("_v"))
-    qv = q.select("document").distinct().join(vec, "document").withColumn("_n", F.xxhash64("document"))
+    documents = q.select("document").unionByName(c.select("document")).distinct().join(vectors.select("document", F.col("embedding").alias("_x")), "document")
+    numbered = stored(documents.withColumn("_n", F.monotonically_increasing_id()), "document-vectors")
+    qv = q.select("document").distinct().join(numbered, "document")
     best = None
     for lang in LANGUAGES:
         own = c.filter(F.col("language") == lang)
-        cv = own.select("document").distinct().join(vec, "document").withColumn("_n", F.xxhash64("document"))
+        cv = own.select("document").distinct().join(numbered, "document")
         few = own.withColumn("_m", F.row_number().over(Window.partitionBy("document").orderBy("first_logical"))).filter(F.col("_m") <= k)
-        top = embedding_topk(qv, cv, k, "_n", "_v", skip_self=False)
+        top = embedding_topk(qv.select("_n", "_x"), cv.select("_n", "_x"), k, "_n", "_x", skip_self=False)
+        name = lambda n, d: numbered.select(F.col("_n").alias(n), F.col("document").alias(d))
         met = (
-            top.join(q.select(F.col("content").alias("left_id"), F.xxhash64("document").alias("query_id")), "query_id")
-            .join(few.select(F.col("content").alias("right_id"), F.xxhash64("document").alias("candidate_id")), "candidate_id")
+            top.join(name("query_id", "_qd"), "query_id").join(name("candidate_id", "_cd"), "candidate_id")
+            .join(q.select(F.col("content").alias("left_id"), F.col("document").alias("_qd")), "_qd")
+            .join(few.select(F.col("content").alias("right_id"), F.col("document").alias("_cd")), "_cd")
             .select("left_id", "right_id")
         )
         best = met if best is None else best.unionByName(met)
     return best
 
 
+def _scored(pairs: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    """Pairs with all their scores, shared features and the candidate's first logical id."""
+    side = lambda df, key, p: df.select(F.col("content").alias(key), F.col("bag").alias(f"{p}b"), F.col("shingles").alias(f"{p}s"), F.col("_v").alias(f"{p}v"))
+    right = side(c, "right_id", "_r").join(c.select(F.col("content").alias("right_id"), "first_logical", "_rows"), "right_id")
+    both = salted_join(pairs.join(side(q, "left_id", "_l"), "left_id"), right, "right_id", "left_id")
+    share = lambda x, y: F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1))
+    return (
+        both.withColumn("_same", F.substring_index("left_id", ":", 1) == F.substring_index("right_id", ":", 1))
+        .withColumn("ast", F.when(F.col("_same"), share("_ls", "_rs")))
+        .withColumn("feature", F.round(share("_lb", "_rb"), 4))
+        .withColumn("embedding", _cosine("_lv", "_rv"))
+        .withColumn("combined", combined(F.col("ast"), F.col("feature"), F.col("embedding")))
+        .withColumn("_shared", F.array_sort(F.array_intersect("_lb", "_rb")))
+        .select("left_id", "right_id", "ast", "feature", "embedding", "combined", "_same", "_shared", "first_logical", "_rows")
+    )
+
+
+def best_pairs(q: DataFrame, c: DataFrame, near: DataFrame | None, k: int, least: int) -> DataFrame:
+    """The best candidate contents of each query content, ``k`` at least unless fewer score ``least`` ten-thousandths.
+
+    Exact top k without joining all that share something: floors go down from 1/2, and at each one only pairs that can reach it are joined and
+    scored. A query whose k-th candidate reaches the floor is settled, because whatever was not joined lies
+    below; only the others go on. ``near`` holds pairs that are scored whatever they share.
+    """
+    best_first = Window.partitionBy("left_id").orderBy(F.desc("combined"), "first_logical")
+    out = None
+    for floor in [f for f in FLOORS if f > least] + [least]:
+        pairs = _reaching(q, c, floor)
+        if near is not None:
+            pairs = pairs.unionByName(near.join(q.select(F.col("content").alias("left_id")), "left_id", "left_semi")).distinct()
+        found = _scored(pairs, q, c).filter(F.round(F.col("combined") * 10_000) >= floor)
+        found = found.withColumn("_r", F.row_number().over(best_first)).filter(F.col("_r") <= k)
+        found = stored(found.drop("_r", "first_logical"), "best-pairs")
+        if floor == least:
+            settled = found
+        else:
+            done = found.groupBy("left_id").agg(F.sum("_rows").alias("_n"))  # copies of a candidate fill places as well.filter(F.col("_n") >= k).select("left_id")
+            settled = found.join(done, "left_id", "left_semi")
+            q = stored(q.join(done.withColumnRenamed("left_id", "content"), "content", "left_anti"), "open-queries")
+        out = settled if out is None else out.unionByName(settled)
+        if q.isEmpty():
+            break
+    return out.drop("_rows")
+
+
 def _cosine(a: str, b: str) -> Column:
     """Cosine rounded to 4; zero for a zero vector, null where a side has no vector."""
     def dot(x: str, y: str) -> Column:
@@ -165,53 +222,22 @@ def compare(
     ``candidates`` has logical_id and text, and in registry scope title, lifecycle, owner,
     reuse_intent and binding_ref. Scoring works on distinct contents: a text copied many times is
     scored once and its result handed to every copy. With the default ``min_combined`` of zero the
-    result is the full top ``k``; at a positive floor ``p/q`` pairs that cannot reach it are never
-    joined (a same-language pair needs a structural score of ``(floor - 0.2) / 0.8``), and nothing
+    result is the full top ``k`` (``best_pairs``), filled up with candidates that share nothing; at a positive floor ``p/q`` pairs
+    that cannot reach it are never joined, and nothing
     at or above the floor is lost. Ties go to the smaller logical id.
     """
     if scope not in COVERAGE:
         raise ValueError("scope must be 'registry' or 'workspace'")
     p, q_ = min_combined
+    least = max(1, -(-10_000 * p // q_))
     governed = scope == "registry"
     qrows = _contents(queries, id, mode)
     crows = _contents(candidates, "logical_id", mode)
-    q = _distinct_contents(qrows)
-    c = _distinct_contents(crows, extra=[F.min("_id").alias("first_logical")])
-
-    floor = (max(5 * p - q_, 0), 4 * q_ if 5 * p > q_ else 1)
-    found = _structural(q, c, floor)
-    by_feature = similar_pairs(q, c, (p, q_) if p else (0, 1), id="content", elements="bag")
-    none = F.lit(None).cast("double")
-    found = found.unionByName(by_feature.select("left_id", "right_id", none.alias("ast")))
-    if vectors is not None:
-        found = found.unionByName(_nearest(q, c, vectors, k).withColumn("ast", none))
-    pairs = found.groupBy("left_id", "right_id").agg(F.max("ast").alias("ast"))
-    if vectors is None:
-        q, c = (df.withColumn("_v", F.lit(None).cast("array<double>")) for df in (q, c))
-    else:  # every pair that is scored at all gets its cosine
-        vec = vectors.select("document", F.col("embedding").alias("_v"))
-        q, c = q.join(vec, "document", "left"), c.join(vec, "document", "left")
-
-    scored = salted_join(
-        pairs.join(q.select(F.col("content").alias("left_id"), F.col("bag").alias("_lb"), F.col("_v").alias("_lv")), "left_id"),
-        c.select(F.col("content").alias("right_id"), F.col("bag").alias("_rb"), F.col("_v").alias("_rv"), "first_logical"), "right_id", "left_id",
-    )
-    common = F.size(F.array_intersect("_lb", "_rb"))
-    scored = (
-        scored.withColumn("_same", F.substring_index("left_id", ":", 1) == F.substring_index("right_id", ":", 1))
-        .withColumn("ast", F.when(F.col("_same"), F.coalesce("ast", F.lit(0.0))))
-        .withColumn("feature", F.round(common / F.greatest(F.size(F.array_union("_lb", "_rb")), F.lit(1)), 4))
-        .withColumn("embedding", _cosine("_lv", "_rv"))
-        .withColumn("combined", combined(F.col("ast"), F.col("feature"), F.col("embedding")))
-        .withColumn("_shared", F.array_sort(F.array_intersect("_lb", "_rb")))
-        .filter((F.col("combined") > 0) if not p else (F.col("combined") * q_ >= p))
-    )
-    best_first = [F.desc("combined"), F.col("first_logical")]
-    top = (
-        scored.withColumn("_r", F.row_number().over(Window.partitionBy("left_id").orderBy(*best_first)))
-        .filter(F.col("_r") <= k)
-        .select("left_id", "right_id", "ast", "feature", "embedding", "combined", "_same", "_shared")
-    )
+    vec = None if vectors is None else stored(vectors.select("document", F.col("embedding").alias("_v")), "vectors")
+    q = _distinct_contents(qrows, vec)
+    c = _distinct_contents(crows, vec, extra=[F.min("_id").alias("first_logical"), F.count("*").alias("_rows")])
+    near = None if vectors is None else stored(_nearest(q, c, vectors, k), "nearest")
+    top = best_pairs(q, c, near, k, least)
     # of candidates with one content only the first k by id can be among the best k
     members = (
         crows.select(F.col("_id").alias("logical_id"), F.col("content").alias("right_id"))
@@ -220,7 +246,7 @@ def compare(
     )
     hits = stored(top.join(members, "right_id"), "hits")
     if not p:
-        hits = hits.unionByName(_fillers(q, crows, hits, k))
+        hits = hits.unionByName(_fillers(q, c, crows, hits, k))
     order = Window.partitionBy("left_id").orderBy(F.desc("combined"), "logical_id")
     hits = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -247,7 +273,7 @@ def compare(
     return salted_join(ids, per_content, "left_id", id).drop("left_id")
 
 
-def _fillers(q: DataFrame, crows: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+def _fillers(q: DataFrame, c: DataFrame, crows: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     """Zero-score candidates for queries with fewer than ``k`` hits.
 
     Such a query has at most ``k - 1`` hits, so ``k`` others are found among the first
@@ -266,10 +292,12 @@ def _fillers(q: DataFrame, crows: DataFrame, hits: DataFrame, k: int) -> DataFra
         .filter(~F.coalesce(F.array_contains("_have", F.col("logical_id")), F.lit(False)))
     )
     same = F.substring_index("left_id", ":", 1) == F.substring_index("right_id", ":", 1)
-    none = F.lit(None).cast("double")
+    short = short.join(q.select(F.col("content").alias("left_id"), F.col("_v").alias("_lv")), "left_id").join(
+        c.select(F.col("content").alias("right_id"), F.col("_v").alias("_rv")), "right_id"
+    )
     return short.select(
         "left_id", "right_id", F.when(same, F.lit(0.0)).alias("ast"), F.lit(0.0).alias("feature"),
-        none.alias("embedding"), F.lit(0.0).alias("combined"), same.alias("_same"),
+        _cosine("_lv", "_rv").alias("embedding"), F.lit(0.0).alias("combined"), same.alias("_same"),
         F.array().cast("array<string>").alias("_shared"), "logical_id",
     )
 

@@ -52,13 +52,13 @@ def same_hash(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def _hashed(df: DataFrame, id: str, elements: str, by: list[str]) -> DataFrame:
-    sets = F.array_distinct(F.transform(elements, lambda e: F.xxhash64(e)))
+    sets = F.array_distinct(F.transform(elements, lambda e: F.xxhash64(e)))  # copies of ``elements`` count once
     return df.select(F.col(id).alias("_id"), *by, sets.alias("_set")).filter(F.size("_set") > 0)
 
 
 def _need(n, num: int, den: int):
     """Smallest overlap a set of size ``n`` must have with any partner: ceil(n * num / den)."""
-    return F.expr(f"cast(({n} * {num} + {den} - 1) div {den} as int)")
+    return F.expr(f"cast((cast({n} as bigint) * {num} + {den} - 1) div {den} as int)")
 
 
 def _beside(pairs: DataFrame, left: DataFrame, right: DataFrame, id: str, col: str, lname: str, rname: str) -> DataFrame:
@@ -71,21 +71,16 @@ def _beside(pairs: DataFrame, left: DataFrame, right: DataFrame, id: str, col: s
     return salted_join(pairs.join(ls, "left_id"), rs, "right_id", "left_id")
 
 
-def similar_pairs(
+def candidate_pairs(
     left: DataFrame, right: DataFrame, threshold: tuple[int, int], id: str = "id", elements: str = "elements", by=()
 ) -> DataFrame:
-    """All pairs whose element sets have Jaccard similarity of at least ``threshold``.
+    """Pairs (left_id, right_id) that hold every pair of Jaccard similarity ``threshold`` or more, not yet verified.
 
-    Exact, without comparing all pairs (prefix filter; Chaudhuri 2006, Bayardo 2007, Xiao 2008).
-    Elements are ordered by how many sets of ``right`` hold them. Two sets that reach the
+    Prefix filter (Chaudhuri 2006, Bayardo 2007, Xiao 2008): elements are ordered by how many sets of ``right`` hold them. Two sets that reach the
     threshold must share one of their rarest ``n - ceil(t*n) + 1`` elements, so only those are
     joined. Elements unknown to ``right`` are the rarest of all and are dropped at once, and a
     left set with too few known elements leaves before the join. The threshold is a fraction of
-    whole numbers, and with ``(0, 1)`` every pair that shares anything is returned.
-
-    Both inputs are read several times, so they should be stored tables, not long plans, and
-    ``right`` should be the smaller side. Elements are 64-bit hashes in the filter; the overlap
-    is counted on the real elements. Output: left_id, right_id, overlap, left_size, right_size.
+    whole numbers; with ``(0, 1)`` every pair that shares anything is returned. Elements are compared by 64-bit hashes.
     """
     num, den = threshold
     by = list(by)
@@ -109,7 +104,7 @@ def similar_pairs(
             .withColumn("_len", length)
             .filter("_len > 0")
             .select("_id", *by, "_n", F.explode(F.slice("_known", F.lit(1), F.col("_len"))).alias("_e"))
-            .select("_id", *by, "_n", F.col("_e._h").alias("_h"))
+            .select("_id", *by, F.col("_n").cast("bigint").alias("_n"), F.col("_e._h").alias("_h"))
         )
 
     a = prefixes(lset, False).withColumnsRenamed({"_id": "left_id", "_n": "_ln"})
@@ -117,7 +112,20 @@ def similar_pairs(
     met = salted_join(a, b, [*by, "_h"], "left_id").filter(
         (F.col("_ln") * num <= F.col("_rn") * den) & (F.col("_rn") * num <= F.col("_ln") * den)
     )
-    pairs = met.select("left_id", "right_id").distinct()
+    return met.select("left_id", "right_id").distinct()
+
+
+def similar_pairs(
+    left: DataFrame, right: DataFrame, threshold: tuple[int, int], id: str = "id", elements: str = "elements", by=()
+) -> DataFrame:
+    """All pairs whose element sets have Jaccard similarity of at least ``threshold``; exact, without comparing all pairs.
+
+    Both inputs are read several times, so they should be stored tables, not long plans, and
+    ``right`` should be the smaller side. The overlap of ``candidate_pairs``
+    is counted on the real elements. Output: left_id, right_id, overlap, left_size, right_size.
+    """
+    num, den = threshold
+    pairs = candidate_pairs(left, right, threshold, id, elements, by)
     scored = _beside(pairs, left, right, id, elements, "_le", "_re").select(
         "left_id", "right_id", F.size(F.array_intersect("_le", "_re")).alias("overlap"),
         F.size("_le").alias("left_size"), F.size("_re").alias("right_size"),

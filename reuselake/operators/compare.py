@@ -194,7 +194,8 @@ def best_pairs(q: DataFrame, c: DataFrame, near: DataFrame | None, k: int, least
         if floor == least:
             settled = found
         else:
-            done = found.groupBy("left_id").agg(F.sum("_rows").alias("_n"))  # copies of a candidate fill places as well.filter(F.col("_n") >= k).select("left_id")
+            # copies of a candidate fill places as well
+            done = found.groupBy("left_id").agg(F.sum("_rows").alias("_n")).filter(F.col("_n") >= k).select("left_id")
             settled = found.join(done, "left_id", "left_semi")
             q = stored(q.join(done.withColumnRenamed("left_id", "content"), "content", "left_anti"), "open-queries")
         out = settled if out is None else out.unionByName(settled)

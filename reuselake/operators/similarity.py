@@ -167,17 +167,102 @@ def jaccard() -> F.Column:
     return F.round(F.col("overlap") / union, 4)
 
 
+#: A bucket of more distinct texts than this is split by further min-hashes.
+BUCKET = 64
+#: Share of pairs at exactly the threshold that the bands may miss.
+MISSED = 1e-6
+
+
+def bands_for(threshold: float, missed: float = MISSED, most: int = 192) -> tuple[int, int]:
+    """(bands, rows): the most selective rows for which at most ``most`` hashes miss a pair at the threshold with probability ``missed`` or less.
+
+    A band is missed with probability 1 - t**rows, all of them with that to the power of their number.
+    """
+    best = (most, 1)
+    for rows in range(1, 9):
+        if threshold**rows >= 1:
+            return 1, rows
+        bands = int(np.ceil(np.log(missed) / np.log1p(-(threshold**rows))))
+        if bands * rows <= most:
+            best = (bands, rows)
+    return best
+
+
+def split_rounds(threshold: float, missed: float = MISSED) -> int:
+    """How many further min-hashes, each alone, leave a pair at the threshold apart with probability ``missed``."""
+    return int(np.ceil(np.log(missed) / np.log1p(-threshold))) if threshold < 1 else 1
+
+
+def _minima(df: DataFrame, count: int) -> DataFrame:
+    """``m``: the least of each of ``count`` hashes over the set, within the row (no shuffle)."""
+    seeds = np.random.default_rng(7).integers(1, 1 << 63, count, dtype=np.uint64)
+
+    @F.pandas_udf("array<bigint>")
+    def least(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for sets in batches:
+            out = []
+            for x in sets:
+                h = x.view(np.uint64)
+                best = np.empty(count, np.uint64)
+                for i, seed in enumerate(seeds):
+                    v = (h ^ seed) * np.uint64(0x9E3779B97F4A7C15)
+                    best[i] = ((v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min()
+                out.append(best.view(np.int64))
+            yield pd.Series(out)
+
+    return df.withColumn("m", least(F.transform("_set", lambda e: F.xxhash64(e))))
+
+
+#: How often a large bucket is split; what two splits leave together is all alike.
+SPLITS = 2
+
+
+def _bucket_pairs(keys: DataFrame, by: list[str], rounds: int) -> DataFrame:
+    """Candidate pairs (left_id, right_id) of rows (_id, by, key, m).
+
+    A bucket of up to ``BUCKET`` members gives its pairs. A larger one is cut by each of ``rounds`` further hashes alone (``m`` holds those
+    of every split): what agrees in one of them meets there. What is large after the last split gives all its pairs, spread over many tasks.
+    """
+    key = [*by, "key"]
+    out = None
+    for split in range(SPLITS + 1):
+        sized = stored(keys.join(keys.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1"), key), "buckets")
+        small = sized.filter(F.col("_n") <= BUCKET).select("_id", *key)
+        met = small.withColumnRenamed("_id", "left_id").join(small.withColumnRenamed("_id", "right_id"), key)
+        pairs = met.filter("left_id < right_id").select("left_id", "right_id")
+        out = pairs if out is None else out.unionByName(pairs)
+        large = sized.filter(F.col("_n") > BUCKET)
+        if split == SPLITS or large.isEmpty():
+            break
+        each = large.withColumn("_i", F.explode(F.sequence(F.lit(1 + split * rounds), F.lit((split + 1) * rounds))))
+        each = each.withColumn("_next", F.xxhash64("key", F.lit(split), "_i", F.element_at("m", F.col("_i"))))
+        keys = each.select("_id", *by, "m", F.col("_next").alias("key"))
+    return out.unionByName(_all_of(large, key)).distinct()
+
+
+def _all_of(large: DataFrame, key: list[str]) -> DataFrame:
+    """All pairs of buckets that no further hash splits, each bucket spread over many tasks by blocks of its members."""
+    dealt = large.withColumn("_b", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / BUCKET)))
+    left = dealt.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("_n") / BUCKET) - 1)))
+    one = left.select(F.col("_id").alias("left_id"), *key, "_b", "_c")
+    two = dealt.withColumnRenamed("_b", "_c").select(F.col("_id").alias("right_id"), *key, "_c")
+    return one.join(two, [*key, "_c"]).filter("left_id < right_id").select("left_id", "right_id")
+
+
 def near_duplicates_lsh(
-    df: DataFrame, id: str = "id", elements: str = "elements", bands: int = 32, rows: int = 4,
-    threshold: tuple[int, int] = (4, 5), by=(),
+    df: DataFrame, id: str = "id", elements: str = "elements", threshold: tuple[int, int] = (4, 5), by=(), missed: float = MISSED,
 ) -> DataFrame:
     """Near-duplicates by min-hash bands: pairs of distinct texts, and copies beside their first.
 
     Rows of one element set are one text, named by its smallest id; each copy is reported beside it with full overlap, so
-    copies cost one row each. Distinct texts that agree on all hashes of a band meet in its bucket, where every pair is a candidate
-    and is verified exactly. At the default threshold 32 bands of 4 miss a pair with probability 5e-8. Texts without elements are in no pair.
+    copies cost one row each. Bands follow from the threshold, so that a pair at the threshold is missed with probability ``missed`` at most. Large
+    buckets are split by further hashes, again with that probability (``near_duplicates_recall`` measures it), and every candidate
+    is verified exactly. Texts without elements are in no pair.
     """
     by = list(by)
+    num, den = threshold
+    bands, rows = bands_for(num / den, missed)
+    rounds = split_rounds(num / den, missed)
     keyed = df.select(
         F.col(id).alias("_id"), *by, F.col(elements).alias("_set"),
         F.sha2(F.concat_ws("|", *by, F.array_join(F.array_sort(elements), "\x1f")), 256).alias("_of"),
@@ -186,18 +271,10 @@ def near_duplicates_lsh(
     firsts = keyed.groupBy("_of", *by).agg(F.min("_id").alias("_first"), F.any_value("_set").alias("_set"))
     sets = stored(firsts.select(F.col("_first").alias("_id"), *by, "_set", "_of"), "distinct-sets")
 
-    hashed = sets.select("_id", *by, F.explode("_set").alias("_e")).select("_id", *by, F.xxhash64("_e").alias("_h"))
-    least = [F.min(F.xxhash64("_h", F.lit(i))).alias(f"m{i}") for i in range(bands * rows)]
-    mins = hashed.groupBy("_id", *by).agg(*least)
-    band = [
-        F.struct(F.lit(b).alias("band"), F.xxhash64(*[f"m{b * rows + r}" for r in range(rows)]).alias("bucket"))
-        for b in range(bands)
-    ]
-    keys = stored(mins.select("_id", *by, F.inline(F.array(*band))), "bands")
-    met = keys.withColumnRenamed("_id", "left_id").join(keys.withColumnRenamed("_id", "right_id"), [*by, "band", "bucket"])
-    met = met.filter("left_id < right_id").select("left_id", "right_id").distinct()
-    num, den = threshold
-    scored = _beside(met, sets, sets, "_id", "_set", "_le", "_re").select(
+    signed = stored(_minima(sets.repartition("_id"), bands * rows + SPLITS * rounds).select("_id", *by, F.col("m").alias("_m")), "signatures")
+    band = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("_m", b * rows + 1, F.lit(rows))))
+    keys = signed.select("_id", *by, F.slice("_m", bands * rows + 1, SPLITS * rounds).alias("m"), F.explode(band).alias("key"))
+    scored = _beside(_bucket_pairs(keys, by, rounds), sets, sets, "_id", "_set", "_le", "_re").select(
         "left_id", "right_id", F.size(F.array_intersect("_le", "_re")).alias("overlap"),
         F.size("_le").alias("left_size"), F.size("_re").alias("right_size"),
     )
@@ -209,90 +286,231 @@ def near_duplicates_lsh(
     return near.unionByName(copies)
 
 
+def near_duplicates_recall(df: DataFrame, id: str = "id", elements: str = "elements", threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """One row: pairs of distinct sets that the exact join finds, those of them that the bands find, and the share."""
+    sets = df.select(F.col(id).alias("id"), F.array_sort(elements).alias("elements")).filter(F.size("elements") > 0)
+    sets = stored(sets.groupBy("elements").agg(F.min("id").alias("id")), "distinct-sets")
+    exact = similar_pairs(sets, sets, threshold).filter("left_id < right_id").select("left_id", "right_id")
+    found = near_duplicates_lsh(sets, threshold=threshold).select("left_id", "right_id", F.lit(1).alias("_f"))
+    return exact.join(found, ["left_id", "right_id"], "left").agg(
+        F.count("*").alias("pairs"), F.count("_f").alias("found"), F.round(F.coalesce(F.count("_f") / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)), 6).alias("recall"),
+    )
+
+
 # -- vectors --------------------------------------------------------------------------------------
 
+#: Vectors of a group (a pivot's neighbourhood) that are packed into one block, and of a sample from which pivots are drawn.
 BLOCK = 1024
+PIVOTS = 256
 
 
-def _chunks(df: DataFrame):
-    """Number of blocks for a table, as a one-value query."""
-    return F.ceil((df.agg(F.count("*").alias("n")).scalar() + 1) / F.lit(BLOCK))
+def _unit(vec: str) -> F.Column:
+    """The vector as doubles of length 1; a zero vector stays zero."""
+    x = F.transform(vec, lambda v: v.cast("double"))
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    return F.transform(x, lambda v: F.when(norm == 0, 0.0).otherwise(v / norm))
 
 
-def _blocks(df: DataFrame, id: str, vec: str, side: str) -> DataFrame:
-    """Vectors packed into blocks of about ``BLOCK`` rows, one row per block."""
-    return df.groupBy(F.pmod(F.xxhash64(F.col(id)), _chunks(df)).alias(f"{side}_chunk")).agg(
-        F.collect_list(F.col(id).cast("bigint")).alias(f"{side}_ids"), F.collect_list(F.col(vec)).alias(f"{side}_vecs")
-    )
+def _matrix(rows) -> np.ndarray:
+    return np.vstack([np.asarray(r, dtype="float64") for r in rows])
 
 
-def _matrix(rows) -> np.ndarray:
-    m = np.vstack([np.asarray(r, dtype="float64") for r in rows])
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm == 0, 1.0, norm)
+def vector_pivots(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding", pivots: int = PIVOTS) -> np.ndarray:
+    """Unit vectors of the smallest id hashes, one for each ``BLOCK`` rows but ``pivots`` at most, so a bounded number reaches the driver.
 
+    Which ones they are changes the work, not the result.
+    """
+    pivots = min(pivots, max(1, vectors.count() // BLOCK))
+    some = vectors.filter(F.col(vec).isNotNull()).select(F.xxhash64(id).alias("_h"), F.col(id).alias("_id"), _unit(vec).alias("v"))
+    got = some.orderBy("_h", "_id").limit(pivots).select("v").collect()
+    return _matrix([r["v"] for r in got]) if got else np.zeros((0, 0))
 
-def _block_pairs(queries: DataFrame, candidates: DataFrame, id: str, vec: str) -> DataFrame:
-    """Every query block next to every candidate block: an equality join on the block number."""
-    q = _blocks(queries, id, vec, "q")
-    c = _blocks(candidates, id, vec, "c")
-    everywhere = q.withColumn("_last", _chunks(candidates) - 1).withColumn(
-        "c_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))
-    ).drop("_last")
-    return everywhere.join(c, "c_chunk")
 
+def vector_groups(vectors: DataFrame, pivots: np.ndarray, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """Blocks of vectors around the pivot that is nearest to them, one row per block of about ``BLOCK`` vectors.
 
-def embedding_topk(
-    queries: DataFrame, candidates: DataFrame, k: int = 5, id: str = "vec_id", vec: str = "embedding",
-    threshold: float | None = None, skip_self: bool = True,
-) -> DataFrame:
-    """The ``k`` most similar candidates per query by cosine, rounded to 4, optionally flagged.
+    Columns: pivot, part, ids, vecs (unit vectors), low and high (range of the distances from the pivot). A group that is larger than a
+    block is cut into rings by distance, so hot regions give more blocks, not larger ones.
+    """
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = _matrix(pdf["v"])
+            far = np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T))
+            at = far.argmin(1)
+            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "pivot": at.astype("int32"), "far": far[np.arange(len(x)), at]})
+
+    rows = vectors.filter(F.col(vec).isNotNull()).select(F.col(id).cast("bigint").alias("id"), _unit(vec).alias("v"))
+    placed = stored(rows.mapInPandas(nearest, "id bigint, v array<double>, pivot int, far double"), "placed-vectors")
+    # rings: distances in steps, running counts of the steps decide where a block ends, and a step that overflows is cut by a hash
+    steps = placed.groupBy("pivot", F.floor(F.col("far") * 4096).alias("step")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("pivot").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("ring", F.floor(F.coalesce(before, F.lit(0)) / BLOCK)).withColumn("cuts", F.ceil(F.col("n") / BLOCK))
+    cut = placed.withColumn("step", F.floor(F.col("far") * 4096)).join(steps, ["pivot", "step"])
+    cut = cut.withColumn("cut", F.pmod(F.xxhash64("id"), F.col("cuts")))
+    return cut.groupBy("pivot", "ring", "cut").agg(
+        F.collect_list("id").alias("ids"), F.collect_list("v").alias("vecs"), F.min("far").alias("low"), F.max("far").alias("high"),
+    ).select("pivot", F.struct("ring", "cut").alias("part"), "ids", "vecs", "low", "high")
 
-    Blocks of vectors meet blocks of vectors; each task multiplies two blocks and keeps the best
-    ``k`` of the block per query, so at most ``k`` rows per query and block are shuffled for the
-    final ranking. Ties go to the smaller id; a vector is not compared with
-    itself unless ``skip_self`` is off.
+
+def _between(pivots: np.ndarray) -> np.ndarray:
+    square = (pivots * pivots).sum(1)
+    return np.sqrt(np.maximum(0.0, square[:, None] + square[None] - 2 * pivots @ pivots.T))
+
+
+def block_pairs(queries: DataFrame, candidates: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Every pair of blocks, with the least distance their vectors can have (triangle inequality over the two pivots).
+
+    Only the blocks' ranges meet here, not their vectors: as many rows as pairs of blocks, each a few numbers.
     """
+    far = _between(pivots)
+
+    @F.pandas_udf("array<double>")
+    def from_pivot(pivot: pd.Series) -> pd.Series:
+        return pd.Series([far[p] for p in pivot])
+
+    head = lambda df, side: df.select(*(F.col(c).alias(f"{side}_{c}") for c in ("pivot", "part", "low", "high")))
+    n = F.lit(SPREAD)
+    q = head(queries, "q").withColumn("_far", from_pivot("q_pivot")).withColumn("_key", F.explode(F.sequence(F.lit(0), n - 1)))
+    c = head(candidates, "c").withColumn("_key", F.pmod(F.xxhash64("c_pivot", "c_part"), n).cast("int"))
+    apart = F.element_at("_far", F.col("c_pivot") + 1)
+    least = F.greatest(F.lit(0.0), apart - F.col("q_high") - F.col("c_high"), F.col("q_low") - apart - F.col("c_high"), F.col("c_low") - apart - F.col("q_high"))
+    return q.join(c, "_key").select("q_pivot", "q_part", "c_pivot", "c_part", least.alias("least"))
+
+
+#: Over so many keys the blocks' ranges are dealt.
+SPREAD = 64
+_MARGIN = 1e-6
+
 
+def _similarities(row, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    qi, ci = np.asarray(row.q_ids), np.asarray(row.c_ids)
+    sim = np.round(_matrix(row.q_vecs) @ _matrix(row.c_vecs).T, 4)
+    if skip_self:
+        sim = np.where(qi[:, None] == ci[None, :], -np.inf, sim)
+    return qi, ci, sim
+
+
+def _best_of(pairs: DataFrame, q: DataFrame, c: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """The best ``k`` candidates of each query within each of the block pairs."""
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                qi, ci = np.asarray(row.q_ids), np.asarray(row.c_ids)
-                sim = np.round(_matrix(row.q_vecs) @ _matrix(row.c_vecs).T, 4)
-                if skip_self:
-                    sim = np.where(qi[:, None] == ci[None, :], -np.inf, sim)
+                qi, ci, sim = _similarities(row, skip_self)
                 order = np.lexsort((np.broadcast_to(ci, sim.shape), -sim), axis=1)[:, :k]
                 best = np.take_along_axis(sim, order, axis=1)
                 keep = np.isfinite(best)
-                yield pd.DataFrame({
-                    "query_id": np.repeat(qi, keep.sum(axis=1)), "candidate_id": ci[order][keep], "cosine": best[keep]
-                })
+                yield pd.DataFrame({"query_id": np.repeat(qi, keep.sum(axis=1)), "candidate_id": ci[order][keep], "cosine": best[keep]})
 
-    hits = _block_pairs(queries, candidates, id, vec).select("q_ids", "q_vecs", "c_ids", "c_vecs").mapInPandas(
-        score, "query_id bigint, candidate_id bigint, cosine double"
-    )
+    return _with_vectors(pairs, q, c).mapInPandas(score, "query_id bigint, candidate_id bigint, cosine double")
+
+
+def _with_vectors(pairs: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    side = lambda df, p: df.select(*(F.col(x).alias(f"{p}_{x}") for x in ("pivot", "part", "ids", "vecs")))
+    met = pairs.join(side(c, "c"), ["c_pivot", "c_part"]).join(side(q, "q"), ["q_pivot", "q_part"])
+    return met.select("q_ids", "q_vecs", "c_ids", "c_vecs")
+
+
+def _first_k(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "candidate_id")
-    out = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _two_phases(queries: DataFrame, candidates: DataFrame, k: int, id: str, vec: str, skip_self: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranked hits, all block pairs, block pairs that were multiplied)."""
+    pivots = vector_pivots(candidates, id, vec)
+    if not len(pivots):
+        none = queries.sparkSession.createDataFrame([], "query_id bigint, candidate_id bigint, cosine double, rank int")
+        return none, none, none
+    c = stored(vector_groups(candidates, pivots, id, vec), "vector-blocks")
+    q = c if queries is candidates else stored(vector_groups(queries, pivots, id, vec), "vector-blocks")
+    pairs = stored(block_pairs(q, c, pivots), "block-pairs")
+    # first the nearest blocks of each query block, as many as surely hold k others
+    close = Window.partitionBy("q_pivot", "q_part").orderBy("least", "c_pivot", "c_part")
+    sizes = c.select(F.col("pivot").alias("c_pivot"), F.col("part").alias("c_part"), F.size("ids").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(close.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    key = ["q_pivot", "q_part", "c_pivot", "c_part"]
+    first = stored(pairs.join(sizes, ["c_pivot", "c_part"]).withColumn("_ahead", ahead).filter(F.col("_ahead") <= k).select(*key), "first-pairs")
+    hits = stored(_first_k(_best_of(first, q, c, k, skip_self), k), "first-hits")
+    # the k-th score so far bounds the distance of anything better: |x - y|^2 = 2 - 2 cos for unit vectors
+    kth = hits.groupBy("query_id").agg(F.min("cosine").alias("_s"), F.count("*").alias("_n"))
+    reach = q.select("pivot", "part", F.explode("ids").alias("query_id")).join(kth, "query_id", "left")
+    bound = F.when(F.coalesce("_n", F.lit(0)) < k, F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * (F.col("_s") - 0.0001))))
+    reach = reach.groupBy(F.col("pivot").alias("q_pivot"), F.col("part").alias("q_part")).agg(F.max(bound).alias("_reach"))
+    rest = pairs.join(first, key, "left_anti").join(reach, ["q_pivot", "q_part"]).filter(F.col("least") <= F.col("_reach") + _MARGIN).select(*key)
+    rest = stored(rest, "other-pairs")
+    every = hits.drop("rank").unionByName(_best_of(rest, q, c, k, skip_self))
+    return _first_k(every, k), pairs, first.unionByName(rest)
+
+
+def embedding_topk(
+    queries: DataFrame, candidates: DataFrame, k: int = 5, id: str = "vec_id", vec: str = "embedding",
+    threshold: float | None = None, skip_self: bool = True,
+) -> DataFrame:
+    """The ``k`` most similar candidates per query by cosine, rounded to 4, optionally flagged. Exact.
+
+    Vectors are grouped around pivots, and each group's blocks know their range of distances from the pivot. A query block meets
+    its nearest blocks first; the worst k-th score so far is then the bound by which the triangle inequality skips the others. Of each
+    block pair at most ``k`` rows per query are shuffled. Ties go to the smaller id; a vector is not compared with
+    itself unless ``skip_self`` is off. Zero vectors have cosine 0; rows without a vector take no part.
+    """
+    out, _, _ = _two_phases(queries, candidates, k, id, vec, skip_self)
     return out if threshold is None else out.withColumn("flagged", F.col("cosine") >= threshold)
 
 
+def topk_work(queries: DataFrame, candidates: DataFrame, k: int = 5, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """One row: block pairs in all, those multiplied by ``embedding_topk``, and the share skipped."""
+    _, pairs, used = _two_phases(queries, candidates, k, id, vec, True)
+    return _share(pairs, used)
+
+
+def _share(pairs: DataFrame, used: DataFrame) -> DataFrame:
+    counts = pairs.select(F.lit(0).alias("_u")).unionByName(used.select(F.lit(1).alias("_u"))).agg(
+        F.count_if(F.col("_u") == 0).alias("block_pairs"), F.count_if(F.col("_u") == 1).alias("multiplied"),
+    )
+    return counts.withColumn("skipped_share", F.round(1 - F.col("multiplied") / F.greatest("block_pairs", F.lit(1)), 4))
+
+
 def embedding_pairs(
     queries: DataFrame, candidates: DataFrame, threshold: float, id: str = "vec_id", vec: str = "embedding"
 ) -> DataFrame:
     """All query/candidate pairs with rounded cosine of at least ``threshold``, smaller id first
-    where both sides hold the pair."""
+    where both sides hold the pair. Block pairs that lie too far apart are skipped; where both sides are one table each pair of blocks meets once."""
+    found = _close_pairs(queries, candidates, threshold, id, vec)
+    return found[0]
+
+
+def pairs_work(queries: DataFrame, candidates: DataFrame, threshold: float, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """One row: block pairs in all, those multiplied by ``embedding_pairs``, and the share skipped."""
+    _, pairs, used = _close_pairs(queries, candidates, threshold, id, vec)
+    return _share(pairs, used)
+
+
+def _close_pairs(queries: DataFrame, candidates: DataFrame, threshold: float, id: str, vec: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    pivots = vector_pivots(candidates, id, vec)
+    if not len(pivots):
+        none = queries.sparkSession.createDataFrame([], "a bigint, b bigint, score double")
+        return none, none, none
+    one = queries is candidates
+    c = stored(vector_groups(candidates, pivots, id, vec), "vector-blocks")
+    q = c if one else stored(vector_groups(queries, pivots, id, vec), "vector-blocks")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                qi, ci = np.asarray(row.q_ids), np.asarray(row.c_ids)
-                sim = np.round(_matrix(row.q_vecs) @ _matrix(row.c_vecs).T, 4)
-                i, j = np.nonzero((sim >= threshold) & (qi[:, None] < ci[None, :]))
-                yield pd.DataFrame({"a": qi[i], "b": ci[j], "score": sim[i, j]})
-
-    return _block_pairs(queries, candidates, id, vec).select("q_ids", "q_vecs", "c_ids", "c_vecs").mapInPandas(
-        score, "a bigint, b bigint, score double"
-    )
+                qi, ci, sim = _similarities(row, False)
+                inside = (sim >= threshold) & (qi[:, None] != ci[None, :] if one else qi[:, None] < ci[None, :])
+                i, j = np.nonzero(inside)
+                a, b = qi[i], ci[j]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": sim[i, j]})
+
+    pairs = block_pairs(q, c, pivots)
+    if one:
+        pairs = pairs.filter(F.struct("q_pivot", "q_part") <= F.struct("c_pivot", "c_part"))
+    pairs = stored(pairs, "block-pairs")
+    reach = float(np.sqrt(max(0.0, 2 - 2 * (threshold - 0.0001)))) + _MARGIN if threshold > 0.0001 else float("inf")  # a zero vector's cosine is 0
+    used = pairs.filter(F.col("least") <= reach)
+    found = _with_vectors(used, q, c).mapInPandas(score, "a bigint, b bigint, score double")
+    return (found.distinct() if one else found), pairs, used
 
 
 def duplication_candidates(parts: dict[str, DataFrame], decided: DataFrame | None = None) -> DataFrame:

@@ -352,16 +352,37 @@ def _(lake):
     return rows.select(read.alias("p")).select("p.*")
 
 
-@query("near_duplicates_lsh", f"""WITH d AS (SELECT doc_id, list_sort({SHINGLES}) AS sh FROM (SELECT doc_id, {_PROSE} AS toks FROM documents)),
+def _near_sql(num: int, den: int) -> str:
+    return f"""WITH d AS (SELECT doc_id, list_sort({SHINGLES}) AS sh FROM (SELECT doc_id, {_PROSE} AS toks FROM documents)),
   g AS (SELECT *, min(doc_id) OVER (PARTITION BY sh) AS first FROM d WHERE len(sh) > 0), u AS (SELECT first AS id, any_value(sh) AS sh FROM g GROUP BY 1),
   e AS (SELECT id, len(sh) AS n, unnest(sh) AS x FROM u),
   o AS (SELECT a.id AS l, b.id AS r, a.n AS ln, b.n AS rn, count(*) AS o FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
-  SELECT l AS left_id, r AS right_id, round(o / (ln + rn - o), 4) AS score FROM o WHERE 5 * o >= 4 * (ln + rn - o)
-  UNION ALL SELECT first, doc_id, cast(1 AS double) FROM g WHERE doc_id <> first""")
-def _(lake):
+  SELECT l AS left_id, r AS right_id, round(o / (ln + rn - o), 4) AS score FROM o WHERE {den} * o >= {num} * (ln + rn - o)
+  UNION ALL SELECT first, doc_id, cast(1 AS double) FROM g WHERE doc_id <> first"""
+
+
+def _prose_shingles(lake: Lake) -> DataFrame:
     toks = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
-    docs = lake.documents.select("doc_id", T.shingles(toks).alias("elements"))
-    return S.near_duplicates_lsh(docs, id="doc_id").select("left_id", "right_id", S.jaccard().alias("score"))
+    return lake.documents.select("doc_id", T.shingles(toks).alias("elements"))
+
+
+@query("near_duplicates_lsh", _near_sql(4, 5))
+def _(lake):
+    return S.near_duplicates_lsh(_prose_shingles(lake), id="doc_id").select("left_id", "right_id", S.jaccard().alias("score"))
+
+
+@query("near_duplicates_half", _near_sql(1, 2))
+def _(lake):
+    found = S.near_duplicates_lsh(_prose_shingles(lake), id="doc_id", threshold=(1, 2))
+    return found.select("left_id", "right_id", S.jaccard().alias("score"))
+
+
+@query("near_duplicates_recall", None)
+def _(lake):
+    """Recall of the bands against the exact join, at both thresholds."""
+    sets = stored(_prose_shingles(lake), "shingles")
+    at = lambda num, den: S.near_duplicates_recall(sets, "doc_id", threshold=(num, den)).withColumn("threshold", F.lit(num / den))
+    return at(4, 5).unionByName(at(1, 2))
 
 
 # -- vectors, duplicates, clusters ----------------------------------------------------------------
@@ -374,19 +395,43 @@ _COS = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[
       SELECT a.vec_id AS query_id, b.vec_id AS candidate_id, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id))
   WHERE rank <= 5""")
 def _(lake):
-    return S.embedding_topk(lake.embeddings, lake.embeddings, 5, threshold=0.88)
+    rows = lake.embeddings
+    return S.embedding_topk(rows, rows, 5, threshold=0.88)
+
+
+# a revision of each vector, between it and the next vector: close to its original, so that there is something to flag
+_REVISED = """rev AS (SELECT vec_id, embedding FROM embeddings UNION ALL
+    SELECT -1 - a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE * 3 + p[2]::DOUBLE)::FLOAT)
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+
 
+def _revised(lake: Lake) -> DataFrame:
+    following = lake.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_next"))
+    mixed = F.zip_with("embedding", "_next", lambda x, y: (x.cast("double") * 3 + y.cast("double")).cast("float"))
+    more = lake.embeddings.join(following, "vec_id").select((-1 - F.col("vec_id")).alias("vec_id"), mixed.alias("embedding"))
+    return stored(lake.embeddings.select("vec_id", "embedding").unionByName(more), "revised-vectors")
 
-@query("embedding_flags", f"""SELECT a, b, score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS score
-    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= 0.88""")
+
+@query("embedding_flags", f"""WITH {_REVISED} SELECT a, b, score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS score
+    FROM rev a JOIN rev b ON a.vec_id < b.vec_id) WHERE score >= 0.88""")
 def _(lake):
-    return S.embedding_pairs(lake.embeddings, lake.embeddings, 0.88)
+    rows = _revised(lake)
+    return S.embedding_pairs(rows, rows, 0.88)
 
 
 @query("embedding_close_pairs", f"""SELECT a, b, score FROM (SELECT a.vec_id AS a, b.vec_id AS b, {_COS} AS score
     FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE score >= 0.4""")
 def _(lake):
-    return S.embedding_pairs(lake.embeddings, lake.embeddings, 0.4)
+    rows = lake.embeddings
+    return S.embedding_pairs(rows, rows, 0.4)
+
+
+@query("embedding_work", None)
+def _(lake):
+    """How many block pairs the two vector joins multiply, and the share that the triangle inequality skips."""
+    rows, revised = lake.embeddings, _revised(lake)
+    top = S.topk_work(rows, rows, 5).withColumn("join", F.lit("top 5"))
+    return top.unionByName(S.pairs_work(revised, revised, 0.88).withColumn("join", F.lit("pairs at 0.88")))
 
 
 def _duplicates(lake: Lake) -> dict[str, DataFrame]:

@@ -151,10 +151,13 @@ VIEWS: dict[str, str | dict[str, str]] = {
     },
     "intent": """
         SELECT DISTINCT lower(p_type) || ' ' || split_part(p_name, ' ', 1) AS query FROM part""",
+    # a feed for each hundred customers; every third one skips a page number, every third one ends before its last page
     "landed_page": """
-        SELECT 'feed' || cast(c_custkey % 3 AS string) AS source, 1 + cast(floor(c_custkey / 3.0) AS int) AS page,
+        SELECT 'feed' || cast(feed AS string) AS source, 1 + rest + CASE WHEN feed % 3 = 1 AND rest >= 70 THEN 1 ELSE 0 END AS page,
           '{"accounts":[{"id":' || cast(c_custkey AS string) || '},{"id":' || cast(-1 - c_custkey AS string) || '}],"next_page":' ||
-          CASE WHEN c_custkey % 997 = 996 THEN 'null' ELSE '1' END || '}' AS body FROM customer WHERE c_custkey % 1201 <> 1200""",
+          CASE WHEN feed % 3 = 2 AND rest = 80 THEN 'null' ELSE '1' END || '}' AS body
+        FROM (SELECT c_custkey, cast(floor((c_custkey - low) / 100.0) AS int) AS feed, cast((c_custkey - low) % 100 AS int) AS rest
+              FROM customer, (SELECT min(c_custkey) AS low FROM customer) m) c""",
     "activity": """
         SELECT event_id, ts AS event_ts,
           CASE user_id % 4 WHEN 0 THEN 'tableau' WHEN 1 THEN 'databricks' WHEN 2 THEN 'snowflake' ELSE 'semantic' END AS source_system,

@@ -10,9 +10,10 @@ from reuselake.plans.business import BILLABLE, FACTS
 from reuselake.plans.catalog import query
 from reuselake.plans.fixtures import Lake
 from reuselake.plans.registry_queries import registry
-from reuselake.session import new_path
+from reuselake.session import new_path, stored
 from reuselake.streaming import activity as A
 from reuselake.streaming.billing import stream_billable_events
+from reuselake.streaming.ledger import EdgeLedger
 
 NAMES = ("k",)
 AS_OF = "2024-01-30"
@@ -201,6 +202,48 @@ def _(lake):
     return _zoneless(T.rolling_30d(A.read_edges(lake.spark, f"{path}/out")).drop("first_seen"))
 
 
+SLICES = 4
+
+
+def _in_slices(lake: Lake, awkward: bool) -> EdgeLedger:
+    """The activity delivered in several batches, by time. ``awkward``: some events come twice, in their own batch or the next, and some only in the last batch."""
+    spark, path = lake.spark, new_path(lake.spark, "stream-ledger")
+    rows = lake.activity.withColumn("event_ts", F.col("event_ts").cast("timestamp"))
+    low, high = rows.agg(F.min(F.unix_micros("event_ts")), F.max(F.unix_micros("event_ts"))).first()
+    part = F.floor((F.unix_micros("event_ts") - low) * SLICES / (high - low + 1)).cast("int")
+    rows = rows.withColumn("_part", part)
+    if awkward:
+        rows = rows.withColumn("_part", F.when(F.col("event_id") % 11 == 3, SLICES - 1).otherwise(F.col("_part")))
+        again = rows.filter(F.col("event_id") % 7 == 0).withColumn("_part", F.least(F.col("_part") + (F.col("event_id") % 2).cast("int"), F.lit(SLICES - 1)))
+        rows = rows.unionByName(again)
+    ledger = EdgeLedger(spark, f"{path}/ledger")
+    for k in range(SLICES):
+        rows.filter(F.col("_part") == k).drop("_part").write.parquet(f"{path}/feed/{k}")
+        feed = spark.readStream.schema(rows.drop("_part").schema).option("recursiveFileLookup", "true").parquet(f"{path}/feed")
+        ledger.run(A.attributed(feed, lake.binding, NAMES), f"{path}/checkpoint").awaitTermination()
+    return ledger
+
+
+_DAILY = f"WITH {EV} SELECT consumer_key, artifact_fqn, usage_type, day, events, last_seen FROM bk"
+
+
+@query("stream_edges_upsert", _DAILY, ACT)
+def _(lake):
+    """State after several batches, the last of which is delivered twice."""
+    ledger = _in_slices(lake, False)
+    last = SLICES - 1
+    again = stored(ledger.spark.read.parquet(f"{ledger.path}/ledger/batch_id={last}").drop("day"), "batch")
+    ledger.add(again, last)
+    return _zoneless(ledger.edges().drop("first_seen"))
+
+
+@query("stream_edges_settled", f"""WITH {EV} SELECT * EXCLUDE (first_seen), cast(sum(events) OVER (PARTITION BY consumer_key, artifact_fqn, usage_type
+    ORDER BY datediff('day', date'1970-01-01', day) RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS bigint) AS event_count_30d FROM bk""", ACT)
+def _(lake):
+    """Repeated and late events: after the batch job the counts are those of the whole table."""
+    return _zoneless(T.rolling_30d(_in_slices(lake, True).settled()).drop("first_seen"))
+
+
 @query("stream_billable_events", BILLABLE, FACTS)
 def _(lake):
     spark, path = lake.spark, new_path(lake.spark, "stream-billing")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reuselake.llm.common import small_batches
-from reuselake.llm.hashing import Rolling
+from reuselake.llm.hashing import Rolling, distinct_spans
 
 #: A chunk is what has a table of words of its own; a part is what numpy works on at once.
 CHUNK_CHARS, PART_CHARS = 8_000_000, 1_000_000
@@ -119,7 +119,7 @@ class Cutter:
         hashes, pieces, numbers, ends, cuts = [], [], [], [0], np.zeros(1, np.int64)
         for part in _parts([t for t, h in zip(texts, hard, strict=True) if not h]):
             joined, code, begin, end, starts = self.fast(part)
-            found, one, number = np.unique(Rolling(code).spans(begin, end), return_index=True, return_inverse=True)
+            found, one, number = np.unique(distinct_spans(Rolling(code), code.view(np.uint8).data, begin, end, code.itemsize), return_index=True, return_inverse=True)
             hashes.append(found)
             pieces += [joined[b:e] for b, e in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
             numbers.append(number + ends[-1])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reuselake.session import stored
 
-__all__ = ["empty_if_null", "fraction_rule", "let", "small_batches", "stored", "table", "text_key"]
+__all__ = ["aside", "empty_if_null", "fraction_rule", "let", "small_batches", "stored", "table", "text_key"]
 
 
 def small_batches(docs: DataFrame) -> DataFrame:
@@ -17,6 +19,13 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def aside(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with every column but ``own`` renamed, so that no helper column can meet a user's, and the way back to the columns of ``docs``."""
+    columns = docs.columns
+    names = [c if c in own else f"aside{i}" for i, c in enumerate(columns)]
+    return docs.toDF(*names), lambda out: out.select(*names).toDF(*columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

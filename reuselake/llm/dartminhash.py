@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.llm.common import small_batches, stored
+from reuselake.llm.common import aside, small_batches, stored
 from reuselake.llm.hashing import mix, salted, words_of
 from reuselake.operators.graph import connected_components
 
@@ -270,5 +270,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = found.where("node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("_best"))
     gone = found.where("node is not null").join(best, "class_node").where(~(F.col("doc_id").eqNullSafe(F.col("_best.doc_id")) & (F.col("node") == F.col("_best.node"))))
     gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
-    marked = docs.withColumn("_node", F.pandas_udf(_sign_node, "binary")("text"))
-    return marked.join(gone, F.col("_node").eqNullSafe(F.col("_gone_node")) & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti").drop("_node")
+    named, back = aside(docs, "doc_id", "text")
+    marked = named.withColumn("_node", F.pandas_udf(_sign_node, "binary")("text"))
+    return back(marked.join(gone, F.col("_node").eqNullSafe(F.col("_gone_node")) & F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left_anti"))

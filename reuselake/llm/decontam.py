@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.llm.common import small_batches
+from reuselake.llm.common import aside, small_batches
 from reuselake.llm.hashing import mix, salted
 
 EDITS = 0.2
@@ -356,4 +356,6 @@ def digest(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return with_leaks(docs, items).where(F.size("_leaks") == 0).select(*docs.columns)
+    """The rows of ``docs`` that leak nothing, with the columns of ``docs`` whatever they are called."""
+    named, back = aside(docs, "text")
+    return back(with_leaks(named, items).where(F.size("_leaks") == 0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -38,7 +40,11 @@ def _powers(kind: str, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hash of any span of a symbol sequence in constant time; equal spans have equal hashes."""
+    """Hash of any span of a symbol sequence in constant time; equal spans have equal hashes.
+
+    Sums are modulo 2**64, where certain pairs of spans of a thousand symbols (Thue-Morse sequences) agree whatever the seed. Use
+    ``distinct_spans`` or ``PrimeRolling`` where longer spans must be told apart.
+    """
 
     def __init__(self, symbols: np.ndarray, seed: int = 1):
         n = len(symbols)
@@ -62,6 +68,52 @@ class Rolling:
         return mix((self.sums[length:] - self.sums[:n]) * _powers("down", n))
 
 
+#: Spans up to here are told apart by sums modulo 2**64.
+SHORT = 128
+
+
+def distinct_spans(rolling: Rolling, data: bytes, begin: np.ndarray, end: np.ndarray, width: int = 1) -> np.ndarray:
+    """Hashes of spans; those longer than ``SHORT`` symbols, of ``width`` bytes each, are hashed from their bytes in ``data``."""
+    out = rolling.spans(begin, end)
+    for k in np.nonzero(end - begin > SHORT)[0].tolist():
+        out[k] = digest_64(data[width * int(begin[k]) : width * int(end[k])])
+    return out
+
+
+def digest_64(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")
+
+
+class PrimeRolling:
+    """As ``Rolling``, by sums modulo two primes below 2**31, so that spans of any length are told apart; of up to 2**32 symbols."""
+
+    _PRIMES = (2**31 - 1, 2**31 - 19)
+
+    def __init__(self, symbols: np.ndarray, seed: int = 1):
+        n, values = len(symbols), salted(symbols.astype(np.uint64), seed)
+        self.n, self.parts = n, []
+        for k, prime in enumerate(self._PRIMES):
+            p = np.uint64(prime)
+            base = 2**20 + int(salted(np.array([seed], np.uint64), k)[0] % np.uint64(2**30))
+            power = np.ones(n + 1, np.uint64)
+            have = 1
+            while have <= n:
+                power[have : 2 * have] = power[: min(have, n + 1 - have)] * np.uint64(pow(base, have, prime)) % p
+                have *= 2
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((values >> np.uint64(32 * k)) % p * power[:n] % p, out=sums[1:])
+            down = power[::-1] * np.uint64(pow(base, -n, prime)) % p  # undoes the powers of the places before a span
+            self.parts.append((p, down, sums))
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        one, two = ((sums[end] - sums[start]) % p * down[start] % p for p, down, sums in self.parts)
+        return mix((one << np.uint64(31)) | two)
+
+    def windows(self, length: int) -> np.ndarray:
+        start = np.arange(max(self.n - length + 1, 0))
+        return self.spans(start, start + length)
+
+
 def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All bytes with one blank after each text, and where each text starts (and the end)."""
     joined = np.frombuffer(b" ".join(texts) + b" ", np.uint8) if texts else np.zeros(0, np.uint8)
@@ -76,4 +128,4 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~SPACE[joined]
     edge = np.diff(inside.astype(np.int8), prepend=0)
     begin, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    return Rolling(joined).spans(begin, end), np.searchsorted(begin, starts)
+    return distinct_spans(Rolling(joined), joined.data, begin, end), np.searchsorted(begin, starts)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.llm.common import empty_if_null
+from reuselake.llm.common import aside, empty_if_null
 from reuselake.llm.text_stats import WORD
 
 THRESHOLD = 2
@@ -139,13 +139,14 @@ def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_char
 
     Other columns stay as they are. Lines without a word, and null, empty and blank texts, stay.
     """
+    named, back = aside(docs, "doc_id", "text")
     version = F.md5(empty_if_null().cast("binary"))
-    found = repeated_lines(docs.withColumn("_version", version), threshold, min_chars, "_version").where("gone")
+    found = repeated_lines(named.withColumn("_version", version), threshold, min_chars, "_version").where("gone")
     removed = found.groupBy(F.col("doc_id").alias("_id"), F.col("_version").alias("_of")).agg(F.collect_set("pos").alias("_removed"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (version == F.col("_of"))
-    marked = docs.join(removed, same, "left")
+    marked = named.join(removed, same, "left")
     parts = F.split(empty_if_null(), "\n", -1)
     kept = F.filter(parts, lambda x, i: ~F.array_contains("_removed", i))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     left = F.col("_removed").isNull() | F.exists(kept, lambda x: x.rlike(WORD))
-    return marked.where(left).select(*(text.alias("text") if c == "text" else docs[c] for c in docs.columns))
+    return back(marked.where(left).withColumn("text", text))

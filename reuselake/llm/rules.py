@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.llm.common import fraction_rule
+from reuselake.llm.common import aside, fraction_rule
 from reuselake.llm.text_stats import features, with_stats
 
 FIT_ROWS = 10_000
@@ -139,6 +139,12 @@ def apply_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return with_stats(docs).withColumn("_base_failed", failed).withColumn("_rule", verdict(rules)).withColumn("_kept", ~F.col("_base_failed") & (F.col("_rule") == 0))
 
 
+def kept(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of ``docs`` that base rule and ``rules`` keep, with the columns of ``docs`` whatever they are called."""
+    named, back = aside(docs, "text")
+    return back(apply_rules(named, rules).where("_kept"))
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     judged = apply_rules(docs, fit(docs, labels))
     base = [F.col(f"_stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reuselake.llm.common import empty_if_null, stored
-from reuselake.llm.hashing import Rolling, salted
+from reuselake.llm.hashing import PrimeRolling, Rolling, digest_64
 
 LENGTH = 400
 ANCHOR = 128
@@ -69,8 +69,8 @@ def _cut(texts, group, length, anchor):
     parts = [texts[i][at : at + PIECE_BYTES + length - 1] for i, at in group]
     sizes = np.array([len(p) for p in parts])
     begin = np.cumsum(sizes) - sizes
-    rolling = Rolling(np.frombuffer(b"".join(parts), np.uint8))
-    hashes = rolling.windows(anchor)
+    joined = b"".join(parts)
+    hashes = Rolling(np.frombuffer(joined, np.uint8)).windows(anchor)
     key = _sliding_min(hashes, length - anchor + 1)
     windows = sizes - length + 1
     first = np.zeros(len(key) + 1, bool)
@@ -90,7 +90,8 @@ def _cut(texts, group, length, anchor):
     own = own[row]
     which = np.array([i for i, _ in group])[own]
     offset = start - begin[own] + np.array([at for _, at in group])[own]
-    content = salted(rolling.spans(start, start + count + length - 1), 5)
+    until = start + count + length - 1
+    content = np.fromiter((digest_64(joined[a:b]) for a, b in zip(start.tolist(), until.tolist(), strict=True)), np.uint64, len(start))
     return which, offset, count, key[start], content, _places(hashes, key[start], start, start + count + length - anchor) > 1
 
 
@@ -141,7 +142,7 @@ class RunIndex:
 
         A sample whose match is shorter stays below ``least`` as it is streamed on, so only the others are measured.
         """
-        rolling = Rolling(self.symbols, seed=3)
+        rolling = PrimeRolling(self.symbols, seed=3)
         out = np.zeros(len(self.symbols), np.int64)
         places = np.arange(len(out))
         for sample, neighbour in ((self.first, self.before), (self.last, self.after)):
@@ -156,9 +157,9 @@ class RunIndex:
         return out
 
 
-def common_prefix(rolling: Rolling, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+def common_prefix(rolling: PrimeRolling, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     """Longest common prefix, known to be ``least`` or more, of the suffixes at ``a`` and ``b`` by doubling and halving on hashes."""
-    low, room = np.full(len(a), least, np.int64), len(rolling.sums) - 1 - np.maximum(a, b)
+    low, room = np.full(len(a), least, np.int64), rolling.n - np.maximum(a, b)
     high, step = low.copy(), 1
     grow = np.arange(len(a))
     while len(grow):
@@ -305,7 +306,7 @@ def _windows(length: int):
         for b in batches:
             for v, c, times, text in zip(*(b.column(x).to_pylist() for x in ("v", "c", "times", "passage")), strict=True):
                 symbols = np.frombuffer(text, np.uint8)
-                one, two = (Rolling(symbols, s).windows(length).view(np.int64) for s in (8, 9))
+                one, two = (PrimeRolling(symbols, s).windows(length).view(np.int64) for s in (8, 9))
                 full = lambda x, n=len(one): np.full(n, x, np.int64)
                 yield pa.record_batch({"v": full(v), "c": full(c), "times": full(times), "at": np.arange(len(one), dtype=np.int32), "one": one, "two": two})
     return cut

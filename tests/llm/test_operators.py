@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from reuselake.llm import bpe, dartminhash, decontam, langid, linededup, pii, quality, rules, sharding, suffix
+from reuselake.llm import bpe, dartminhash, decontam, hashing, langid, linededup, pii, quality, rules, sharding, suffix
 
 PATH = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not os.path.isdir(PATH), reason="test tables are not here")
@@ -184,6 +184,53 @@ def repeats(texts, length):
         yield len(t), sum(hit), runs, hashlib.sha256(bytes(c for c, h in zip(t, hit, strict=True) if not h)).hexdigest()
 
 
+def thue_morse(n):
+    """A sequence and its complement, whose sums modulo 2**64 agree for every seed from 1024 letters on."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [40, 129, 1024, 4096])
+def test_spans_of_any_length_differ(n):
+    one, two = thue_morse(n)
+    hashes, starts = hashing.words_of([f"{one} {two} {one}".encode(), b"", one.encode()])
+    assert hashes[0] == hashes[2] == hashes[3] != hashes[1] and starts.tolist() == [0, 3, 3, 4]
+    rolling = hashing.PrimeRolling(np.frombuffer((one + two + one).encode(), np.uint8))
+    found = rolling.spans(np.arange(3) * n, np.arange(1, 4) * n)
+    assert found[0] == found[2] != found[1]
+    every = rolling.windows(n)
+    assert len(every) == 2 * n + 1 and (every[[0, n, 2 * n]] == found).all()
+    alone = hashing.PrimeRolling(np.frombuffer(two.encode(), np.uint8)).windows(n)
+    assert alone.tolist() == [found[1]]  # the same in any sequence
+    assert len(hashing.PrimeRolling(np.zeros(0, np.uint8)).windows(3)) == 0
+
+
+@pytest.mark.parametrize("key_bytes", [suffix.KEY_BYTES, 0])
+def test_long_repeats_of_colliding_passages(spark, key_bytes):
+    one, two = thue_morse(1024)
+    texts = ["x" + one, two + "y", "z" + one + "z", "q" * 30 + two[:700]]
+    out = {r["doc_id"]: r for r in suffix.without_repeats(frame(spark, texts), 900, 128, key_bytes).collect()}
+    for i, want in enumerate(repeats([t.encode() for t in texts], 900)):
+        r = out[i]
+        assert (len(r["bytes"]), len(r["bytes"]) - len(r["kept"]), len(r["runs"] or []) // 2, hashlib.sha256(r["kept"]).hexdigest()) == want
+
+
+def test_users_columns_stay(spark):
+    """Names that the operators use for their own columns keep the user's values."""
+    names = ["_kept", "_rule", "_stats", "_base_failed", "_leaks", "_node", "_removed", "_version", "_id", "_of", "aside0", "pos", "line", "place", "id", "other"]
+    texts = [" ".join(f"word{i * 100 + k}" for k in range(60)) for i in range(4)]
+    docs = frame(spark, [*texts, texts[0]]).selectExpr("doc_id", "text", *(f"concat('{n}', doc_id) as `{n}`" for n in names))
+    bench = spark.createDataFrame([(1, texts[1])], "item_id long, text string")
+    for out, ids in (
+        (rules.kept(docs, []), {0, 1, 2, 3, 4}), (decontam.without_leaks(docs, bench), {0, 2, 3, 4}),
+        (dartminhash.keep_one(docs), {0, 1, 2, 3}), (linededup.without_repeated_lines(docs), {0, 1, 2, 3}),
+    ):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert {r["doc_id"] for r in rows} == ids
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+
+
 @pytest.mark.parametrize("key_bytes", [suffix.KEY_BYTES, 0])
 def test_long_repeats(spark, key_bytes):
     """``key_bytes`` 0 sends every key to the exact window counts."""
@@ -327,6 +374,7 @@ def test_bpe_against_the_library(spark):
     rnd = random.Random(7)
     parts = list("aabst'lrevemd  \n.12_!É") + ["<|endoftext|>", "<|start", "'s", "'re", "é", "é", "Σ", "Ω", "İ", "한", "😀", "\x1c", "\xa0", "ß", "ﬁ", "ς "]
     texts = [None, "", "   ", "<|endoftext|>"] + ["".join(rnd.choice(parts if i % 3 else parts[:22]) for _ in range(rnd.randint(0, 60))) for i in range(600)]
+    texts.append(" ".join(thue_morse(1024)))
     whole = Tokenizer.from_file(bpe.vocabulary())
     out = {r["doc_id"]: r for r in bpe.encode(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):

@@ -13,8 +13,7 @@ from reuselake.llm.common import stored, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned decision list keep. Null and empty texts have too few words and go."""
-    judged = rules.apply_rules(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
-    return judged.where("_kept").select(*docs.columns)
+    return rules.kept(docs, rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

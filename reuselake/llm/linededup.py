@@ -6,20 +6,27 @@ number). Lines without a word always stay; lines shorter than ``min_chars`` are
 Distinct lines are joined, so copies cost nothing. A line is cut into threshold + 1 segments of near-equal length; of
 two lines within the threshold one shares a segment with the other at a place that the lengths and the segment's number narrow down
 to a few (multi-match-aware selection), so each line probes a short list of substrings. Keys are (length, segment number,
-substring) hashes. A small sketch of letter counts, which an edit changes by two at most, keeps lines that merely share a long
-segment from becoming pairs. Candidates are verified by the banded edit distance on the lines themselves.
+substring) hashes. Lines that share a segment with many others, as near copies of one text do, meet on all but threshold of more segments
+instead, and each crowd compares its members with its earliest line first. Candidates are verified by the banded edit distance on the lines themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from itertools import combinations, product
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reuselake.llm.common import aside, empty_if_null
+from reuselake.llm.common import aside, empty_if_null, stored
 from reuselake.llm.text_stats import WORD
 
 THRESHOLD = 2
 MIN_CHARS = 20
+#: A key with more indexed lines is crowded; it decides how pairs are found, not which.
+MOST = 32
+#: Segments of the lines of crowded keys.
+FINE = 8
 #: Orders occurrences by doc_id (null last), then line number; lines of a document are below 2**31.
 _PLACE = "decimal(38,0)"
 
@@ -60,28 +67,6 @@ def probe_keys(threshold: int = THRESHOLD) -> list[Column]:
     return out
 
 
-#: Groups of characters whose counts (modulo 16) make the sketch of a line.
-GROUPS = ("etb", "aofj", "ingq", "srp", "hlvx", "duwz", "cmyk", " .")
-
-
-def _sketch() -> Column:
-    counts = [F.pmod(F.length("line") - F.length(F.translate("line", g, "")), F.lit(16)) for g in GROUPS]
-    out = counts[0]
-    for k, c in enumerate(counts[1:], 1):
-        out = out.bitwiseOR(F.shiftleft(c, 4 * k))
-    return out.cast("int")
-
-
-def _sketches_near(a: str, b: str, threshold: int) -> Column:
-    """Could the lines be within the threshold? An edit moves one count, or two of them, by one."""
-    moved = F.lit(0)
-    for k in range(len(GROUPS)):
-        part = lambda x, k=k: F.shiftrightunsigned(F.col(x), 4 * k).bitwiseAND(F.lit(15))
-        apart = F.abs(part(a) - part(b))
-        moved = moved + F.least(apart, 16 - apart)
-    return moved <= 2 * threshold
-
-
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """Distinct lines (id, line, place of the first) from rows (line, place), grouped by a 64-bit id.
 
@@ -92,17 +77,86 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return groups.where("_p = _q and place is not null and line is not null").select("id", "line", "place")
 
 
-def near_lines(distinct: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs of distinct lines within the threshold: (id, place, other, other_place)."""
-    long_enough = distinct.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, threshold + 1))
-    long_enough = long_enough.withColumn("sketch", _sketch())
-    put = long_enough.select("id", "sketch", F.explode(F.array(*index_keys(threshold))).alias("key"))
-    ask = long_enough.select(F.col("id").alias("other"), F.col("sketch").alias("_sketch"), F.explode(F.array(*probe_keys(threshold))).alias("key")).where("key is not null")
-    near = _sketches_near("sketch", "_sketch", threshold)
-    pairs = put.join(ask, "key").where((F.col("id") != F.col("other")) & near).select("id", "other").distinct()
-    one = pairs.join(distinct, "id")
-    two = distinct.select(F.col("id").alias("other"), F.col("line").alias("_line"), F.col("place").alias("other_place"))
-    return one.join(two, "other").where(F.levenshtein("line", "_line", threshold).between(0, threshold)).select("id", "place", "other", "other_place")
+def _met(put: DataFrame, ask: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (id, other, hot) of lines that share a key; keys of more than ``most`` indexed lines give their earliest line only and are hot.
+
+    Hot keys pair a line with itself too, so every line that has one is an ``other``.
+    """
+    if most is None:
+        put = put.withColumn("hot", F.lit(False))
+    else:
+        key = Window.partitionBy("key")
+        put = put.withColumn("hot", F.count("*").over(key) > most).withColumn("_r", F.row_number().over(key.orderBy("doc", "id")))
+        put = put.where(~F.col("hot") | (F.col("_r") == 1))
+    pairs = put.join(ask, "key").where(F.col("hot") | (F.col("id") != F.col("other")))
+    return pairs.groupBy("id", "other").agg(F.max("hot").alias("hot"))
+
+
+def _later(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """The later line (id) of each of ``pairs`` that is within the threshold."""
+    one = pairs.select("id", "other").join(lines.select("id", "line", "place"), "id")
+    two = lines.select(F.col("id").alias("other"), F.col("line").alias("_line"), F.col("place").alias("_place"))
+    near = one.join(two, "other").where((F.col("place") != F.col("_place")) & F.levenshtein("line", "_line", threshold).between(0, threshold))
+    return near.select(F.when(F.col("place") < F.col("_place"), F.col("other")).otherwise(F.col("id")).alias("id")).distinct()
+
+
+def _fine_keys(lines: DataFrame, threshold: int, probe: bool, *keep: str) -> DataFrame:
+    """Keys of all but ``threshold`` of the ``FINE`` segments: (key, ``keep``).
+
+    Between two spoiled segments the rest of a line is shifted by what was inserted or deleted before; a line asks for its own and smaller lengths.
+    """
+    ways = []
+    for spoiled in combinations(range(FINE), threshold):
+        for less in range(threshold + 1 if probe else 1):
+            # the shift of each stretch of whole segments: 0 before the first spoiled one, ``less`` after the last
+            for between in product(range(-threshold, threshold + 1) if probe else (0,), repeat=max(threshold - 1, 0)):
+                shifts = [0, *between, less] if threshold else [0]
+                bounds = [-1, *spoiled, FINE]
+                moved = sum(abs(y - x) for x, y in zip(shifts, shifts[1:], strict=False))
+                idle = any(bounds[i + 1] - bounds[i] == 1 and shifts[i] not in (0, shifts[i - 1]) for i in range(1, threshold))
+                if moved <= threshold and not idle:
+                    ways.append([less, *(x for i in range(threshold + 1) for x in (bounds[i] + 1, bounds[i + 1], shifts[i]))])
+    way = F.explode(F.from_json(F.lit(json.dumps(ways)), "array<array<int>>")).alias("_way")
+    rows = lines.select("*", way).withColumn("_l", F.col("n") - F.col("_way")[0]).where("_l >= 0")
+    begin = lambda i: i * F.floor(F.col("_l") / FINE) + F.greatest(F.lit(0), i - (FINE - F.col("_l") % FINE))
+    pieces = []
+    for k in range(threshold + 1):
+        first, last, shift = (F.col("_way")[3 * k + j] for j in (1, 2, 3))
+        start, size = begin(first) + shift, begin(last) - begin(first)
+        inside = (size == 0) | ((start >= 0) & (start + size <= F.col("n")))
+        pieces += [first, last, F.when(inside, F.substring("line", (start + 1).cast("int"), size.cast("int")))]
+    whole = F.lit(True)
+    for piece in pieces[2::3]:
+        whole = whole & piece.isNotNull()
+    return rows.select(F.when(whole, F.xxhash64(F.col("_l").cast("int"), *pieces)).alias("key"), *keep).where("key is not null")
+
+
+def later_near_lines(distinct: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, most: int = MOST) -> DataFrame:
+    """Ids of the distinct lines that have an earlier one within the threshold.
+
+    Lines meet on one of threshold + 1 segments; where more than ``most`` share one, each meets the earliest. Lines of such keys meet once more
+    on all but threshold of ``FINE`` segments: first the earliest of a crowded key again, then those still without an earlier line meet all.
+    """
+    doc = F.expr("cast(place div 4294967296 as bigint)")
+    lines = distinct.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, threshold + 1))
+    put = lines.select("id", doc.alias("doc"), F.explode(F.array(*index_keys(threshold))).alias("key"))
+    ask = lines.select(F.col("id").alias("other"), F.explode(F.array(*probe_keys(threshold))).alias("key")).where("key is not null")
+    met = stored(_met(put, ask, most), "line-pairs")
+    gone = stored(_later(met.where("id <> other"), distinct, threshold), "near-lines")
+
+    crowd = met.where("hot").select(F.col("other").alias("id")).distinct()
+    crowd = stored(lines.join(crowd, "id").withColumn("doc", doc), "crowded-lines")
+    for turn in (most, None):
+        open_ = crowd.join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("open", F.col("decided").isNull())
+        put = _fine_keys(open_, threshold, False, "id", "doc", "open", "place")
+        ask = _fine_keys(open_, threshold, True, F.col("id").alias("other"), F.col("open").alias("_open"), F.col("place").alias("_place"))
+        if turn is None:  # of a pair, the later one must still be open
+            later = F.when(F.col("place") < F.col("_place"), F.col("_open")).otherwise(F.col("open"))
+            pairs = put.join(ask, "key").where((F.col("id") != F.col("other")) & later).select("id", "other").distinct()
+        else:
+            pairs = _met(put, ask.where("_open"), turn).where("id <> other").select("id", "other")
+        gone = stored(gone.unionByName(_later(pairs, crowd, threshold)).distinct(), "near-lines")
+    return gone
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, *keep: str) -> DataFrame:
@@ -112,9 +166,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     """
     lines = lines_of(docs, *keep)
     distinct = distinct_lines(lines)
-    pairs = near_lines(distinct, threshold, min_chars).where("place <> other_place")
-    later = F.when(F.col("place") < F.col("other_place"), F.col("other")).otherwise(F.col("id"))
-    near = pairs.select(later.alias("id")).distinct().withColumn("near", F.lit(True))
+    near = later_near_lines(distinct, threshold, min_chars).withColumn("near", F.lit(True))
     every = lines.select("doc_id", *keep, "pos", "place", F.xxhash64("line").alias("id"))
     first = distinct.select("id", F.col("place").alias("first")).join(near, "id", "left")
     return every.join(first, "id", "left").select(

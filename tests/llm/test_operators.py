@@ -333,6 +333,27 @@ def test_line_join(spark):
     assert {r["doc_id"]: r["text"] for r in linededup.without_repeated_lines(frame(spark, texts)).collect()} == kept
 
 
+@pytest.mark.parametrize("most", [0, 2, 1000])
+def test_crowded_lines(spark, most):
+    rnd = random.Random(8)
+    base = [rnd.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(14)]
+    lines = {" ".join(base)}
+    while len(lines) < 90:  # near copies of one line, some of them within two edits of each other
+        words = list(base)
+        for _ in range(rnd.randint(1, 2)):
+            words[rnd.randrange(14)] = rnd.choice(["zeta", "omega", "theta"])
+        text = " ".join(words)
+        for _ in range(rnd.randint(0, 2)):
+            k = rnd.randrange(len(text))
+            text = text[:k] + rnd.choice(["", "z", text[k] + "q"]) + text[k + 1 :]
+        lines.add(text)
+    lines = sorted(lines | {x[1:-1] for x in list(lines)[:10]} | {"tiny", "tin"})
+    rnd.shuffle(lines)
+    rows = spark.createDataFrame([(i, x, i << 32) for i, x in enumerate(lines)], "id long, line string, place long")
+    found = {r["id"] for r in linededup.later_near_lines(rows.withColumn("place", rows.place.cast("decimal(38,0)")), min_chars=3, most=most).collect()}
+    assert found == {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in lines[:i])}
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d)) % 10 == 0

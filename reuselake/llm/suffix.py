@@ -384,8 +384,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """The contract's columns and the remaining text, where bytes of a character cut in two become the replacement character."""
     n = F.octet_length("bytes").cast("long")
     return without_repeats(docs).select(
         "doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).alias("n_removed"),
         F.coalesce((F.size("runs") / 2).cast("long"), F.lit(0)).alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
     )

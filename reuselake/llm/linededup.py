@@ -68,13 +68,15 @@ def probe_keys(threshold: int = THRESHOLD) -> list[Column]:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """Distinct lines (id, line, place of the first) from rows (line, place), grouped by a 64-bit id.
+    """Distinct lines (id, line, place of the first, times) from rows (line, place), grouped by a 64-bit id.
 
     All uses name the same columns, so that Spark shuffles the lines once. Should two lines ever have one id, both are left out and stay in the corpus.
     """
     rows = lines.select(F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("proof"), "line", "place")
-    groups = rows.groupBy("id").agg(F.min("line").alias("line"), F.min("place").alias("place"), F.min("proof").alias("_p"), F.max("proof").alias("_q"))
-    return groups.where("_p = _q and place is not null and line is not null").select("id", "line", "place")
+    groups = rows.groupBy("id").agg(
+        F.min("line").alias("line"), F.min("place").alias("place"), F.min("proof").alias("_p"), F.max("proof").alias("_q"), F.count("*").alias("times"),
+    )
+    return groups.where("_p = _q and place is not null and line is not null and times > 0").select("id", "line", "place", "times")
 
 
 def _met(put: DataFrame, ask: DataFrame, most: int | None) -> DataFrame:
@@ -92,12 +94,17 @@ def _met(put: DataFrame, ask: DataFrame, most: int | None) -> DataFrame:
     return pairs.groupBy("id", "other").agg(F.max("hot").alias("hot"))
 
 
-def _later(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
-    """The later line (id) of each of ``pairs`` that is within the threshold."""
-    one = pairs.select("id", "other").join(lines.select("id", "line", "place"), "id")
+def _compared(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+    """``pairs`` (id, other, ...) with both lines and places, and ``near``."""
+    one = pairs.join(lines.select("id", "line", "place"), "id")
     two = lines.select(F.col("id").alias("other"), F.col("line").alias("_line"), F.col("place").alias("_place"))
-    near = one.join(two, "other").where((F.col("place") != F.col("_place")) & F.levenshtein("line", "_line", threshold).between(0, threshold))
-    return near.select(F.when(F.col("place") < F.col("_place"), F.col("other")).otherwise(F.col("id")).alias("id")).distinct()
+    near = (F.col("place") != F.col("_place")) & F.levenshtein("line", "_line", threshold).between(0, threshold)
+    return one.join(two, "other").withColumn("near", near)
+
+
+def _later(compared: DataFrame) -> DataFrame:
+    """The later line (id) of each near pair."""
+    return compared.where("near").select(F.when(F.col("place") < F.col("_place"), F.col("other")).otherwise(F.col("id")).alias("id")).distinct()
 
 
 def _fine_keys(lines: DataFrame, threshold: int, probe: bool, *keep: str) -> DataFrame:
@@ -131,21 +138,25 @@ def _fine_keys(lines: DataFrame, threshold: int, probe: bool, *keep: str) -> Dat
     return rows.select(F.when(whole, F.xxhash64(F.col("_l").cast("int"), *pieces)).alias("key"), *keep).where("key is not null")
 
 
-def later_near_lines(distinct: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, most: int = MOST) -> DataFrame:
-    """Ids of the distinct lines that have an earlier one within the threshold.
+def repeated(distinct: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, most: int = MOST) -> DataFrame:
+    """Rows (id, first, near) of the distinct lines that occur again (``first``: place of the first) or have an earlier one within the threshold.
 
     Lines meet on one of threshold + 1 segments; where more than ``most`` share one, each meets the earliest. Lines of such keys meet once more
     on all but threshold of ``FINE`` segments: first the earliest of a crowded key again, then those still without an earlier line meet all.
     """
     doc = F.expr("cast(place div 4294967296 as bigint)")
-    lines = distinct.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, threshold + 1))
+    with_length = lambda rows: rows.withColumn("n", F.length("line"))
+    lines = with_length(distinct).where(F.col("n") >= max(min_chars, threshold + 1))
     put = lines.select("id", doc.alias("doc"), F.explode(F.array(*index_keys(threshold))).alias("key"))
     ask = lines.select(F.col("id").alias("other"), F.explode(F.array(*probe_keys(threshold))).alias("key")).where("key is not null")
-    met = stored(_met(put, ask, most), "line-pairs")
-    gone = stored(_later(met.where("id <> other"), distinct, threshold), "near-lines")
-
-    crowd = met.where("hot").select(F.col("other").alias("id")).distinct()
-    crowd = stored(lines.join(crowd, "id").withColumn("doc", doc), "crowded-lines")
+    # pairs and copies in one table, as one job shuffles the lines once
+    pairs = _compared(_met(put, ask, most), distinct, threshold)
+    seen = stored(pairs.unionByName(distinct.where("times > 1").select("id", "place"), allowMissingColumns=True), "line-pairs")
+    copies = seen.where("other is null").select("id", F.col("place").alias("first"))
+    gone = stored(_later(seen), "near-lines")
+
+    crowd = seen.where("hot").select(F.col("other").alias("id"), F.col("_line").alias("line"), F.col("_place").alias("place")).dropDuplicates(["id"])
+    crowd = stored(with_length(crowd).withColumn("doc", doc), "crowded-lines")
     for turn in (most, None):
         open_ = crowd.join(gone.withColumn("decided", F.lit(True)), "id", "left").withColumn("open", F.col("decided").isNull())
         put = _fine_keys(open_, threshold, False, "id", "doc", "open", "place")
@@ -155,28 +166,24 @@ def later_near_lines(distinct: DataFrame, threshold: int = THRESHOLD, min_chars:
             pairs = put.join(ask, "key").where((F.col("id") != F.col("other")) & later).select("id", "other").distinct()
         else:
             pairs = _met(put, ask.where("_open"), turn).where("id <> other").select("id", "other")
-        gone = stored(gone.unionByName(_later(pairs, crowd, threshold)).distinct(), "near-lines")
-    return gone
+        gone = stored(gone.unionByName(_later(_compared(pairs, crowd, threshold))).distinct(), "near-lines")
+    return copies.join(gone.withColumn("near", F.lit(True)), "id", "full").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, *keep: str) -> DataFrame:
-    """Every line with a word: doc_id, ``keep``, pos, and ``gone`` (an equal or near line stands earlier).
+    """Lines that go, as an equal or near line stands earlier: doc_id, ``keep``, pos.
 
     Of equal lines the one at the smallest (doc_id, pos) is first; rows of one doc_id are one document, a null doc_id is last.
     """
     lines = lines_of(docs, *keep)
-    distinct = distinct_lines(lines)
-    near = later_near_lines(distinct, threshold, min_chars).withColumn("near", F.lit(True))
+    found = stored(repeated(distinct_lines(lines), threshold, min_chars), "repeated-lines")
     every = lines.select("doc_id", *keep, "pos", "place", F.xxhash64("line").alias("id"))
-    first = distinct.select("id", F.col("place").alias("first")).join(near, "id", "left")
-    return every.join(first, "id", "left").select(
-        "doc_id", *keep, "pos", (F.coalesce("near", F.lit(False)) | F.coalesce(F.col("place") > F.col("first"), F.lit(False))).alias("gone"),
-    )
+    return every.join(found, "id").where(F.col("near") | (F.col("place") > F.col("first"))).select("doc_id", *keep, "pos")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: lines with a word, how many of them go, and their numbers (from 0) in order. All of null, empty and blank texts stay."""
-    found = repeated_lines(docs).where("gone").groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    found = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(empty_if_null(), "\n", -1), lambda x: x.rlike(WORD))).cast("long").alias("n_lines"),
     )
@@ -193,7 +200,7 @@ def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_char
     """
     named, back = aside(docs, "doc_id", "text")
     version = F.md5(empty_if_null().cast("binary"))
-    found = repeated_lines(named.withColumn("_version", version), threshold, min_chars, "_version").where("gone")
+    found = repeated_lines(named.withColumn("_version", version), threshold, min_chars, "_version")
     removed = found.groupBy(F.col("doc_id").alias("_id"), F.col("_version").alias("_of")).agg(F.collect_set("pos").alias("_removed"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (version == F.col("_of"))
     marked = named.join(removed, same, "left")

@@ -349,8 +349,8 @@ def test_crowded_lines(spark, most):
         lines.add(text)
     lines = sorted(lines | {x[1:-1] for x in list(lines)[:10]} | {"tiny", "tin"})
     rnd.shuffle(lines)
-    rows = spark.createDataFrame([(i, x, i << 32) for i, x in enumerate(lines)], "id long, line string, place long")
-    found = {r["id"] for r in linededup.later_near_lines(rows.withColumn("place", rows.place.cast("decimal(38,0)")), min_chars=3, most=most).collect()}
+    rows = spark.createDataFrame([(i, x, i << 32, 1) for i, x in enumerate(lines)], "id long, line string, place long, times long")
+    found = {r["id"] for r in linededup.repeated(rows.withColumn("place", rows.place.cast("decimal(38,0)")), min_chars=3, most=most).collect()}
     assert found == {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 2 and edits(x, y) <= 2 for y in lines[:i])}
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reuselake.functions.predicates import as_date, spark_type
 from reuselake.operators.graph import impact_closure
+from reuselake.operators.skew import shuffled
 
 # fixed values: vocabularies, the FQN pattern, legal lifecycle steps, fields of a metric's meaning
 LIFECYCLES = ("local", "shared", "certified", "deprecated", "retired")
@@ -245,7 +246,7 @@ def deprecation_notices(artifact: DataFrame, edge: DataFrame) -> DataFrame:
     """Everyone downstream of a deprecated artifact, with the owner to tell."""
     reach = impact_closure(edge, artifact.filter(F.col("lifecycle_state") == "deprecated").select("fqn"))
     owner = artifact.select(F.col("fqn").alias("node"), "owner_team")
-    return reach.join(owner, "node").select(
+    return reach.join(shuffled(owner), "node").select(
         F.col("root").alias("deprecated_fqn"), F.col("node").alias("consumer_fqn"),
         F.col("owner_team").alias("consumer_owner"), "depth",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reuselake.operators.skew import salted_join
+from reuselake.operators.skew import salted_join, shuffled
 from reuselake.session import stored
 
 
@@ -53,27 +53,45 @@ def impact_direct(edges: DataFrame) -> DataFrame:
     return out.unionByName(inn).groupBy("fqn").agg(F.sum("o").alias("upstream"), F.sum("i").alias("downstream"))
 
 
+#: A node with more dependents than this has them dealt over several tasks.
+HUB = 10_000
+
+
+def _dealt_hops(edges: DataFrame) -> DataFrame:
+    """Hops (node, next), those of a hub under several salts, with the number of salts of the node and of the next one (0: it has no hops)."""
+    hops = stored(edges.select(F.col("to_fqn").alias("node"), F.col("from_fqn").alias("next")).filter("node IS NOT NULL").distinct(), "hops")
+    parts = stored(hops.groupBy("node").agg(F.ceil(F.count("*") / HUB).alias("_parts")), "hop-parts")
+    after = shuffled(parts.withColumnsRenamed({"node": "next", "_parts": "_next_parts"}))
+    dealt = hops.join(shuffled(parts), "node").join(after, "next", "left")
+    return stored(dealt.select(
+        "node", "next", F.pmod(F.xxhash64("next"), F.col("_parts")).alias("_salt"), "_parts", F.coalesce("_next_parts", F.lit(0).cast("bigint")).alias("_next_parts"),
+    ), "dealt-hops")
+
+
 def impact_closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All artifacts that depend on each root, with the smallest number of steps.
 
     ``edges`` point from a dependent to what it depends on; ``roots`` has a column fqn. Each
     round joins only the newly reached rows and drops those seen before, so cycles end.
     """
-    hops = stored(edges.select(F.col("to_fqn").alias("node"), F.col("from_fqn").alias("next")).distinct())
-    frontier = roots.select(F.col("fqn").alias("root"), F.col("fqn").alias("node")).distinct()
+    hops = _dealt_hops(edges)
+    parts = hops.select("node", "_parts").distinct()
+    frontier = shuffled(roots.select(F.col("fqn").alias("root"), F.col("fqn").alias("node")).distinct()).join(parts, "node")
     reached = None
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        # a node with very many dependents sits on the hop side; few roots reach it per round
-        step = salted_join(hops, frontier, "node", "next").select("root", F.col("next").alias("node")).distinct()
+        asked = frontier.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
+        step = hops.drop("_parts").join(shuffled(asked.drop("_parts")), ["node", "_salt"])
+        step = step.select("root", F.col("next").alias("node"), F.col("_next_parts").alias("_parts")).distinct()
         if reached is not None:
-            step = step.join(reached, ["root", "node"], "left_anti")
+            step = step.join(shuffled(reached), ["root", "node"], "left_anti")
         step = stored(step.withColumn("depth", F.lit(depth)))
         if step.isEmpty():
             break
-        reached = step if reached is None else reached.unionByName(step)
-        frontier = step.select("root", "node")
+        found = step.select("root", "node", "depth")
+        reached = found if reached is None else reached.unionByName(found)
+        frontier = step.filter("_parts > 0").select("root", "node", "_parts")
     if reached is None:
         return roots.select(F.col("fqn").alias("root"), F.col("fqn").alias("node"), F.lit(0).alias("depth")).limit(0)
     return reached

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reuselake.operators.skew import salted_join
+from reuselake.operators.skew import salted_join, shuffled
 from reuselake.session import stored
 
 # fixed values: column weights and the ranking's constants
@@ -101,7 +101,7 @@ def hits(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     raw_idf = F.log((n - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     idf = df.select("word", F.when(raw_idf > 0, raw_idf).otherwise(IDF_FLOOR).alias("idf"))
     norm = K1 * (1 - B + B * F.col("length") / avg)
-    weighted = salted_join(found, idf, "word", "fqn").join(index["docs"], "fqn").select(
+    weighted = salted_join(found, idf, "word", "fqn").join(shuffled(index["docs"]), "fqn").select(
         "word", "fqn", (F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + norm)).alias("s")
     )
     scored = (
@@ -136,6 +136,8 @@ def substring_hits(queries: DataFrame, text: DataFrame) -> DataFrame:
         *fields, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.when(F.length(joined) > 0, grams(joined)).otherwise(F.array())))).alias("gram")
     )
     pattern = F.concat(F.lit("%"), F.replace(low, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    met = salted_join(spelled, asks, "gram", "fqn").withColumn("_p", pattern)
+    # only asked runs are shuffled; the runs of three letters are few, however many the queries are
+    asked = spelled.join(F.broadcast(asks.select("gram").distinct()), "gram", "left_semi")
+    met = salted_join(asked, asks, "gram", "fqn").withColumn("_p", pattern)
     test = reduce(lambda a, b: a | b, [F.expr(f"coalesce(lower({c}) LIKE _p, false)") for c in fields])
     return met.filter(test).select("query", "fqn", F.lit("substring").alias("matched_by"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reuselake.functions.predicates import as_date
-from reuselake.operators.skew import salted_join
+from reuselake.operators.skew import salted_join, shuffled
 
 # fixed values: consumer types, environment prefixes of physical names, action thresholds
 CONSUMER_TYPES = ("dashboard", "notebook", "pipeline", "service")
@@ -117,7 +117,7 @@ def adoption(buckets: DataFrame, artifact: DataFrame) -> DataFrame:
         F.sum("events").alias("events")
     )
     gov = artifact.select(F.col("fqn").alias("artifact_fqn"), "lifecycle_state", F.element_at("interface_types", 1).alias("interface"))
-    rows = uses.join(gov, "artifact_fqn", "left")
+    rows = uses.join(shuffled(gov), "artifact_fqn", "left")
     certified = F.coalesce(F.col("lifecycle_state") == "certified", F.lit(False))
 
     def of(interface: str):
@@ -215,7 +215,7 @@ def concepts_without_canonical(observed: DataFrame, canonical: DataFrame) -> Dat
 def observed_objects(events: DataFrame, binding: DataFrame) -> DataFrame:
     """Physical objects in use that no binding names."""
     used = events.groupBy("ref").agg(F.count("*").alias("hits"), F.max("event_ts").alias("last_seen"))
-    return used.join(ref_index(binding), "ref", "left_anti")
+    return used.join(shuffled(ref_index(binding)), "ref", "left_anti")
 
 
 def propagation_gap(artifact: DataFrame, edge: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reuselake.operators.telemetry import EDGE
+from reuselake.session import stored
 
 BUCKETS = 16
 LATE_DAYS = 2
@@ -61,7 +62,8 @@ class EdgeLedger:
         """One micro-batch. Running it again with the same rows changes nothing."""
         put = lambda df, part: df.write.mode("overwrite").parquet(f"{self.path}/{part}/batch_id={batch_id}")
         clock = self._read("clock", "newest bigint", batch_id).agg(F.max("newest")).first()[0]  # microseconds, so no zone matters
-        batch = batch.withColumn("day", F.col("event_ts").cast("date"))
+        # read by three writes below: attributed once
+        batch = stored(batch, "batch").withColumn("day", F.col("event_ts").cast("date"))
         watermark = F.lit(None if clock is None else clock - self.late_days * 86_400_000_000).cast("bigint")
         behind = F.coalesce(F.unix_micros("event_ts") < watermark, F.lit(False))
         put(batch.filter(behind | F.col("event_ts").isNull()).drop("day"), "late")

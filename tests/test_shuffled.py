@@ -61,3 +61,30 @@ def test_observed_objects_are_those_no_binding_names(spark, tmp_path):
     assert "BroadcastHashJoin" not in plan
     # as with NOT IN, an unknown name is no row where there is a list, and an empty list keeps all
     assert len(_observed(spark, tmp_path / "b", [(11, "n", "T", None)])[0]) == 5
+
+
+def test_a_batch_is_attributed_once(spark, tmp_path):
+    from reuselake.streaming.ledger import EdgeLedger
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def attributed(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    schema = "event_id long, event_ts timestamp, consumer_key string, artifact_fqn string, usage_type string"
+    rows = spark.sql("SELECT id AS event_id, timestamp'2024-01-01 10:00:00' AS event_ts, 'c' AS consumer_key, 'a' AS artifact_fqn, 'bypass' AS usage_type FROM range(20)")
+    ledger = EdgeLedger(spark, f"{tmp_path}/ledger")
+    ledger.add(rows.mapInPandas(attributed, schema), 0)
+    assert [r.events for r in ledger.edges().collect()] == [20]
+    assert seen.value == 20
+
+
+def test_text_rules_use_all_cores_for_one_small_file(spark, tmp_path):
+    from reuselake.functions.text import SLICES, featurize
+
+    spark.range(50).selectExpr("id", "concat('SELECT a FROM t', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    rows = featurize(spark.read.parquet(f"{tmp_path}/part.parquet"))
+    assert rows.rdd.getNumPartitions() == SLICES * spark.sparkContext.defaultParallelism
+    assert rows.count() == 50

@@ -404,10 +404,24 @@ def _best_of(pairs: DataFrame, q: DataFrame, c: DataFrame, k: int, skip_self: bo
     return _with_vectors(pairs, q, c).mapInPandas(score, "query_id bigint, candidate_id bigint, cosine double")
 
 
+#: So many query blocks travel together: a candidate block is sent to each such group once, not to each block.
+GROUP = 32
+
+
 def _with_vectors(pairs: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
-    side = lambda df, p: df.select(*(F.col(x).alias(f"{p}_{x}") for x in ("pivot", "part", "ids", "vecs")))
-    met = pairs.join(side(c, "c"), ["c_pivot", "c_part"]).join(side(q, "q"), ["q_pivot", "q_part"])
-    return met.select("q_ids", "q_vecs", "c_ids", "c_vecs")
+    """Block pairs with the ids and vectors of both. A candidate block is shuffled once for each group of query blocks that asks for it."""
+    key = ["q_pivot", "q_part"]
+    groups = max(1, -(-q.count() // GROUP))
+    group = F.pmod(F.xxhash64(*key), F.lit(groups)).alias("_group")
+    block = lambda *more: F.struct(F.col("q_pivot").alias("pivot"), F.col("q_part").alias("part"), *more)
+    blocks = q.withColumnsRenamed({"pivot": "q_pivot", "part": "q_part"}).groupBy(group).agg(F.collect_list(block("ids", "vecs")).alias("_blocks"))
+    asked = pairs.groupBy(group, "c_pivot", "c_part").agg(F.collect_set(block()).alias("_asked"))
+    side = c.select(F.col("pivot").alias("c_pivot"), F.col("part").alias("c_part"), F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs"))
+    met = salted_join(asked.join(side, ["c_pivot", "c_part"]), blocks, "_group", ["c_pivot", "c_part"], 4)
+    wanted = F.filter("_blocks", lambda x: F.array_contains("_asked", F.struct(x["pivot"].alias("pivot"), x["part"].alias("part"))))
+    return met.select("c_ids", "c_vecs", F.explode(wanted).alias("_q")).select(
+        F.col("_q.ids").alias("q_ids"), F.col("_q.vecs").alias("q_vecs"), "c_ids", "c_vecs",
+    )
 
 
 def _first_k(hits: DataFrame, k: int) -> DataFrame:

@@ -88,3 +88,21 @@ def test_text_rules_use_all_cores_for_one_small_file(spark, tmp_path):
     rows = featurize(spark.read.parquet(f"{tmp_path}/part.parquet"))
     assert rows.rdd.getNumPartitions() == SLICES * spark.sparkContext.defaultParallelism
     assert rows.count() == 50
+
+
+def test_query_blocks_that_travel_together_meet_what_they_ask_for(spark, monkeypatch):
+    from reuselake.operators import similarity as S
+
+    monkeypatch.setattr(S, "GROUP", 3)
+    block = "named_struct('ring', id div 4, 'cut', id % 4)"
+    q = spark.sql(f"SELECT cast(id % 3 AS int) AS pivot, {block} AS part, array(id) AS ids, array(array(cast(id AS double))) AS vecs FROM range(10)")
+    c = spark.sql(f"SELECT cast(id % 2 AS int) AS pivot, {block} AS part, array(100 + id) AS ids, array(array(cast(id AS double))) AS vecs FROM range(7)")
+    both = q.select(F.col("pivot").alias("q_pivot"), F.col("part").alias("q_part"), F.col("ids")[0].alias("i")).crossJoin(
+        c.select(F.col("pivot").alias("c_pivot"), F.col("part").alias("c_part"), F.col("ids")[0].alias("j")))
+    pairs = both.filter("(i + j) % 3 <> 1")
+    out = S._with_vectors(pairs.drop("i", "j"), q, c)
+    got = sorted((r.q_ids[0], r.c_ids[0], r.q_vecs[0][0], r.c_vecs[0][0]) for r in out.collect())
+    assert got == sorted((r.i, r.j, float(r.i), float(r.j - 100)) for r in pairs.collect())
+    # a candidate block is sent once to a group of query blocks, not to each of them
+    sent = pairs.withColumn("g", F.pmod(F.xxhash64("q_pivot", "q_part"), F.lit(4))).select("g", "c_pivot", "c_part").distinct().count()
+    assert sent < pairs.count()

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from reuselake.operators import similarity as S
 from reuselake.operators import telemetry as T
 from reuselake.operators.graph import impact_closure
 from reuselake.operators.search import substring_hits
@@ -106,3 +107,16 @@ def test_query_blocks_that_travel_together_meet_what_they_ask_for(spark, monkeyp
     # a candidate block is sent once to a group of query blocks, not to each of them
     sent = pairs.withColumn("g", F.pmod(F.xxhash64("q_pivot", "q_part"), F.lit(4))).select("g", "c_pivot", "c_part").distinct().count()
     assert sent < pairs.count()
+
+
+def test_buckets_of_near_duplicates_are_shuffled(spark, monkeypatch):
+    plans, real = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name="step": (plans.append(_plan(df)), real(df, name))[1])
+    n = S.BUCKET + 6  # one bucket too large, cut by two further hashes: ids of one parity agree in the first, none in the second
+    keys = spark.createDataFrame([(i, 1) for i in range(n)] + [(0, 2), (1, 2), (5, 3)], "_id bigint, key bigint")
+    further = spark.createDataFrame([(i, [i % 2, i, 0, 0]) for i in range(n)], "_id bigint, m array<bigint>")
+    out = S._bucket_pairs(keys, further, [], 2)
+    assert len(plans) == 2 and not any("Broadcast" in p for p in [*plans, _plan(out)])
+    want = {(i, j) for i in range(n) for j in range(i + 2, n, 2)} | {(0, 1)}
+    got = [tuple(r) for r in out.select("left_id", "right_id").collect()]
+    assert len(got) == len(want) and set(got) == want

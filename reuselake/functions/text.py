@@ -111,7 +111,10 @@ def _present(options: dict[str, Column]) -> Column:
 
 
 def concepts(text: Column) -> Column:
-    low = F.lower(text)
+    return _spoken(F.lower(text))
+
+
+def _spoken(low: Column) -> Column:
     return _present({t: low.contains(t) for t in CONCEPTS})
 
 
@@ -125,9 +128,10 @@ def _aggregates(text: Column, names) -> Column:
     return _present(found)
 
 
-def profile_sql(text: Column, strip_comments: bool = False) -> dict[str, Column]:
-    """Transformation profile of SQL text. Comments count, as in the raw text, unless stripped."""
-    low = F.lower(strip_sql(text) if strip_comments else text)
+def profile_sql(text: Column, strip_comments: bool = False, low: Column | None = None) -> dict[str, Column]:
+    """Transformation profile of SQL text. Comments count, as in the raw text, unless stripped. ``low`` is the text in lower case, where that is a column already."""
+    if low is None:
+        low = F.lower(strip_sql(text) if strip_comments else text)
     read = r"\b(from|join)\s+([a-zA-Z_][\w\.]*)"
     items = F.flatten(F.transform(_all(low, r"group\s+by\s+([\w\.,\s]+)"), lambda g: F.split(g, ",")))
     first_word = F.transform(items, lambda g: F.regexp_extract(g, r"^\s*(\S+)", 1))
@@ -138,13 +142,14 @@ def profile_sql(text: Column, strip_comments: bool = False) -> dict[str, Column]
         "aggregations": _aggregates(low, SQL_AGGREGATES),
         "group_by": _set(F.filter(first_word, lambda g: g != "")),
         "output_columns": _set(_all(select_list, r"\bas\s+([a-z_][a-z0-9_]*)")),
-        "concepts": concepts(strip_sql(text) if strip_comments else text),
+        "concepts": _spoken(low),
     }
 
 
-def profile_py(text: Column) -> dict[str, Column]:
-    """Transformation profile of PySpark source, read off its calls and parameters."""
-    code = strip_py(text)
+def profile_py(text: Column, code: Column | None = None) -> dict[str, Column]:
+    """Transformation profile of PySpark source, read off its calls and parameters. ``code`` is the stripped text, where that is a column already."""
+    if code is None:
+        code = strip_py(text)
     params = F.concat(_all(code, r"\bdef\s+\w+\s*\(([^)]*)\)"), _all(code, r"\blambda\s+([^:]*):"))
     names = F.transform(
         F.flatten(F.transform(params, lambda p: F.split(p, ","))),
@@ -228,10 +233,17 @@ def featurize(df: DataFrame, text: str = "text", hint: str | None = "language",
     df = dealt(df)
     t = F.col(text)
     lang = detect_lang(t, F.col(hint) if hint and hint in df.columns else None)
+    # what several rules read is a column of a step of its own: Spark evaluates a rule once for each mention within a step
+    bare, low, field = "_bare_text", "_low_text", "_profile_{}".format
+    python = F.col("language") == "python"
+    steps = df.withColumn("language", lang).withColumns({bare: F.when(python, strip_py(t)).otherwise(strip_sql(t)), low: F.lower(t)})
+    py, sql = profile_py(t, F.col(bare)), profile_sql(t, low=F.col(low))
+    fields = {f: F.when(python, py[f]).otherwise(sql[f]) for f in PROFILE if f != "concepts"} | {"concepts": _spoken(F.col(low))}
+    normal = _squeeze(F.when(python, F.col(bare)).otherwise(F.lower(bare)))
     return (
-        df.withColumn("language", lang)
-        .withColumn("tokens", tokens(normalize(t, F.col("language")), mode))
+        steps.withColumns({"tokens": tokens(normal, mode), **{field(f): c for f, c in fields.items()}})
         .withColumn("fingerprint", fingerprint(F.col("tokens")))
-        .withColumn("profile", profile(t, F.col("language")))
+        .withColumn("profile", F.struct("language", *[F.col(field(f)).alias(f) for f in PROFILE]))
         .withColumn("bag", feature_bag(F.col("profile")))
+        .drop(bare, low, *map(field, PROFILE))
     )

@@ -134,11 +134,11 @@ def _reaching(q: DataFrame, c: DataFrame, floor: int) -> DataFrame:
 
 
 def _nearest(q: DataFrame, c: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Candidates by cosine alone: a pair that shares nothing else ranks by its cosine within a language.
+    """Candidates by cosine alone (``vectors``: document, _v): a pair that shares nothing else ranks by its cosine within a language.
 
     Contents with one profile document share a vector, so documents are compared, and of a document's contents the first ``k`` count.
     """
-    documents = q.select("document").unionByName(c.select("document")).distinct().join(vectors.select("document", F.col("embedding").alias("_x")), "document")
+    documents = q.select("document").unionByName(c.select("document")).distinct().join(vectors.select("document", F.col("_v").alias("_x")), "document")
     numbered = stored(documents.withColumn("_n", F.monotonically_increasing_id()), "document-vectors")
     qv = q.select("document").distinct().join(numbered, "document")
     best = None
@@ -237,7 +237,7 @@ def compare(
     vec = None if vectors is None else stored(vectors.select("document", F.col("embedding").alias("_v")), "vectors")
     q = _distinct_contents(qrows, vec)
     c = _distinct_contents(crows, vec, extra=[F.min("_id").alias("first_logical"), F.count("*").alias("_rows")])
-    near = None if vectors is None else stored(_nearest(q, c, vectors, k), "nearest")
+    near = None if vectors is None else stored(_nearest(q, c, vec, k), "nearest")
     top = best_pairs(q, c, near, k, least)
     # of candidates with one content only the first k by id can be among the best k
     members = (

@@ -228,3 +228,30 @@ def test_vectors_take_part(spark, candidates):
     for r in out:
         if r.combined > 0:
             assert r.embedding == pytest.approx(cos(vec[text[r.id]], vec[other[r.logical_id]]), abs=2e-4)
+
+
+def test_vectors_are_computed_once(spark, monkeypatch):
+    """A vector table may be a long plan (a model, a join): compare reads it once and keeps it."""
+    class Seen(Exception):
+        pass
+
+    def nearest(q, c, vectors, k):
+        raise Seen(vectors._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(C, "_nearest", nearest)
+    snippets = spark.createDataFrame([(1, "SELECT SUM(a) AS x FROM t"), (2, "SELECT b FROM u GROUP BY b")], "id int, text string")
+    candidates = spark.createDataFrame([("d.a.v1", "SELECT SUM(a) AS x FROM t", "t")], "logical_id string, text string, title string")
+    vectors = spark.createDataFrame([("d", 1)], "document string, n int").groupBy("document").agg(F.array(F.sum("n").cast("double")).alias("embedding"))
+    with pytest.raises(Seen) as seen:
+        C.compare(snippets, candidates, k=1, vectors=vectors)
+    assert "Aggregate" not in str(seen.value) and "parquet" in str(seen.value)
+
+
+def test_shared_parts_of_the_rules_are_steps_of_their_own(spark):
+    df = spark.createDataFrame([(1, "# fx\ndef f(a):\n    return a.join(b, 'c')"), (2, "SELECT x FROM y -- tax\nGROUP BY x"), (3, None)], "id int, text string")
+    out = T.featurize(df)
+    assert out.columns == ["id", "text", "language", "tokens", "fingerprint", "profile", "bag"]
+    rows = {r.id: r for r in out.collect()}
+    assert rows[1].bag == ["concept:fx", "joins:1", "src:a"] and rows[2].bag == ["concept:tax", "grp:x", "src:y"] and rows[3].bag is None
+    plan = out.select("bag")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("'''") == 2  # docstrings are stripped in one place

@@ -120,3 +120,15 @@ def test_buckets_of_near_duplicates_are_shuffled(spark, monkeypatch):
     want = {(i, j) for i in range(n) for j in range(i + 2, n, 2)} | {(0, 1)}
     got = [tuple(r) for r in out.select("left_id", "right_id").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_a_join_does_not_run_the_text_rules_again(spark, monkeypatch):
+    plans, real = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name="step": (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), real(df, name))[1])
+    df = spark.createDataFrame([(1, "sql", "a", "X"), (2, "sql", "a", "x"), (3, "sql", None, "x"), (4, "sql", "a", None), (5, "sql", "a", "y")], "id int, language string, dialect string, text string")
+    out = S.exact_duplicates(df.repartition(2).withColumn("fingerprint", F.sha2(F.lower("text"), 256)))
+    assert "sha2" not in out._jdf.queryExecution().optimizedPlan().toString() and [n for n, _ in plans] == ["keys"]
+    assert sorted((r.id, r.first_id, r.members) for r in out.collect()) == [(1, 1, 2), (2, 1, 2)]
+    texts = df.select("id", F.split(F.lower("text"), "").alias("elements"))
+    assert [tuple(r)[:2] for r in S.near_duplicates_lsh(texts).collect() if r.left_id == 1] == [(1, 2), (1, 3)]
+    assert not any("Filter" in p for n, p in plans if n == "sets")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from reuselake.operators.skew import shuffled
 from reuselake.operators.telemetry import EDGE
 from reuselake.session import stored
 
@@ -72,7 +73,7 @@ class EdgeLedger:
         seen = self._read("ledger", f"{_EVENTS}, day date", batch_id)
         if clock is not None:  # an event in time has its day in these partitions
             seen = seen.filter(F.col("day") >= F.timestamp_micros(watermark).cast("date"))
-        new = named.join(seen.select("event_id"), "event_id", "left_anti").unionByName(fresh.filter("event_id is null"))
+        new = named.join(shuffled(seen.select("event_id")), "event_id", "left_anti").unionByName(fresh.filter("event_id is null"))
         new.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/ledger/batch_id={batch_id}")
         counted = self.spark.read.schema(f"{_EVENTS}, day date").parquet(f"{self.path}/ledger/batch_id={batch_id}")
         self._upsert(self._counts(counted), batch_id)
@@ -111,6 +112,6 @@ class EdgeLedger:
         late = self.late().filter("event_ts is not null").drop("batch_id").withColumn("day", F.col("event_ts").cast("date"))
         days = late.select("day").distinct()
         counted = self._read("ledger", f"{_EVENTS}, day date").join(days, "day", "left_semi").select("event_id")
-        named = late.filter("event_id is not null").dropDuplicates(["event_id"]).join(counted, "event_id", "left_anti")
+        named = late.filter("event_id is not null").dropDuplicates(["event_id"]).join(shuffled(counted), "event_id", "left_anti")
         more = self._counts(named.unionByName(late.filter("event_id is null")))
         return self._merged(self.edges().unionByName(more))

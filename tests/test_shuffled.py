@@ -132,3 +132,34 @@ def test_a_join_does_not_run_the_text_rules_again(spark, monkeypatch):
     texts = df.select("id", F.split(F.lower("text"), "").alias("elements"))
     assert [tuple(r)[:2] for r in S.near_duplicates_lsh(texts).collect() if r.left_id == 1] == [(1, 2), (1, 3)]
     assert not any("Filter" in p for n, p in plans if n == "sets")
+
+
+def test_a_search_index_sends_nothing_through_the_driver(spark, monkeypatch):
+    from reuselake.operators import search as X
+    from reuselake.operators.registry import resolve_concepts
+
+    plans, real = [], X.stored
+    monkeypatch.setattr(X, "stored", lambda df, name="step": (plans.append((name, _plan(df))), real(df, name))[1])
+    rows = [("d.a.v1", "Net revenue", "sum", ""), ("d.b.v1", None, None, None), (None, "gross", "x", "")]
+    artifact = spark.createDataFrame(rows, "fqn string, title string, description string, body string")
+    index = X.build_index(artifact)
+    assert {(r.fqn, r.length) for r in index["docs"].collect()} == {("d.a.v1", 6), ("d.b.v1", 3), (None, 0)}
+    asks = spark.createDataFrame([("net rev",), ("a_b c",), ("zzz",)], "query string")
+    found = artifact.withColumns({"lifecycle_state": F.lit("certified"), "reuse_intent": F.lit("shared_utility")})
+    out = resolve_concepts(asks, index, found, enterprise_only=False)
+    assert {(r.query, r.fqn) for r in out.collect()} == {("net rev", "d.a.v1"), ("a_b c", None), ("zzz", None)}
+    assert [n for n, p in plans if "BroadcastHashJoin" in p] == []
+
+
+def test_events_counted_before_are_shuffled(spark, tmp_path, monkeypatch):
+    from reuselake.streaming import ledger as L
+
+    frame = type(spark.range(1))
+    joins, real = [], frame.join
+    monkeypatch.setattr(frame, "join", lambda self, *a, **b: (joins.append(_plan(out := real(self, *a, **b))), out)[1])
+    rows = spark.sql("SELECT id AS event_id, timestamp'2024-01-01 10:00:00' AS event_ts, 'c' AS consumer_key, 'a' AS artifact_fqn, 'bypass' AS usage_type FROM range(20)")
+    ledger = L.EdgeLedger(spark, f"{tmp_path}/ledger")
+    for k in range(2):
+        ledger.add(rows.filter(f"event_id < {10 + 5 * k}"), k)
+    assert [r.events for r in ledger.edges().collect()] == [15]
+    assert len(joins) == 2 and not any("BroadcastHashJoin" in p for p in joins)

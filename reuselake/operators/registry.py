@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reuselake.operators.search import hits as search_hits
-from reuselake.operators.skew import salted_join
+from reuselake.operators.skew import salted_join, shuffled
 from reuselake.session import stored
 
 # fixed values: order of authority, and the texts of lookup results
@@ -154,7 +154,7 @@ def select_canonical(hits: DataFrame, artifact: DataFrame, enterprise_only: bool
 def resolve_concepts(concepts: DataFrame, index: dict[str, DataFrame], artifact: DataFrame, enterprise_only: bool = True) -> DataFrame:
     """Each concept (column query) with its canonical artifact, null where there is none."""
     found = select_canonical(search_hits(concepts, index), artifact, enterprise_only)
-    return concepts.select("query").distinct().join(found, "query", "left")
+    return concepts.select("query").distinct().join(shuffled(found), "query", "left")
 
 
 def identity_match(query: Column, fqn: Column, title: Column) -> Column:

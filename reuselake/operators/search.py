@@ -35,7 +35,7 @@ def build_index(artifact: DataFrame, weights: dict[str, float] = WEIGHTS) -> dic
         "text": text, "positions": positions,
         "postings": stored(positions.groupBy("token", "fqn").agg(F.sum("weight").alias("tf")), "postings"),
         "docs": stored(
-            text.select("fqn").join(positions.groupBy("fqn").agg(F.count("*").alias("length")), "fqn", "left").fillna(0, ["length"]),
+            text.select("fqn").join(shuffled(positions.groupBy("fqn").agg(F.count("*").alias("length"))), "fqn", "left").fillna(0, ["length"]),
             "doc-lengths",
         ),
     }
@@ -50,7 +50,7 @@ def _term_tokens(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     spelled = vocabulary.select(
         "token", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring("token", F.lit(1), i))).alias("term")
     )
-    return spelled.join(terms, "term")
+    return spelled.join(shuffled(terms), "term")
 
 
 def search(queries: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:
@@ -70,7 +70,7 @@ def hits(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     asked = queries.select("query").distinct()
     words = asked.select("query", F.explode(F.filter(F.split("query", r"\s+"), lambda w: w != "")).alias("word"))
     odd = words.filter(~F.col("word").rlike(BAREWORD)).select("query").distinct()
-    plain = words.join(odd, "query", "left_anti")
+    plain = words.join(shuffled(odd), "query", "left_anti")
     terms = stored(
         plain.groupBy("query", F.lower("word").alias("term")).agg(F.count("*").alias("times"))
         .withColumn("pieces", F.regexp_extract_all("term", F.lit(WORD), F.lit(0))), "terms",
@@ -110,7 +110,7 @@ def hits(queries: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
         .withColumn("matched_by", F.lit("ranked"))
     )
     scored = stored(scored, "ranked")
-    unanswered = asked.join(scored.select("query").distinct(), "query", "left_anti")
+    unanswered = asked.join(shuffled(scored.select("query").distinct()), "query", "left_anti")
     return scored.unionByName(substring_hits(unanswered, index["text"]), allowMissingColumns=True).select(
         "query", "fqn", "score", "matched_by"
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reuselake.operators import graph as G
 from reuselake.operators import registry as R
 from reuselake.operators import search as X
+from reuselake.operators.skew import shuffled
 from reuselake.plans.catalog import query
 from reuselake.plans.fixtures import Lake
 from reuselake.sources.manifests import registry_tables
@@ -23,7 +24,7 @@ def registry(lake: Lake) -> dict[str, DataFrame]:
     d = lake.dependency_edge.groupBy(F.col("from_fqn").alias("fqn")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("to_fqn").alias("fqn"), "relationship"))).alias("dependencies"))
     empty = F.array().cast("array<struct<fqn:string,relationship:string>>")
-    raw = lake.artifact.join(b, "fqn", "left").join(d, "fqn", "left").select(
+    raw = lake.artifact.join(shuffled(b), "fqn", "left").join(shuffled(d), "fqn", "left").select(
         "fqn", "ord", "title", "description", F.array("interface_type").alias("interface_types"),
         F.col("lifecycle").alias("lifecycle_state"), "reuse_intent", F.lit("producer").alias("entry_role"),
         F.col("owner").alias("owner_team"), F.array().cast("array<string>").alias("aliases"),

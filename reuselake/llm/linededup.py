@@ -38,33 +38,40 @@ def lines_of(docs: DataFrame, *keep: str) -> DataFrame:
     return parts.where(F.col("line").rlike(WORD)).withColumn("place", place.cast(_PLACE))
 
 
-def _segment(length: Column, i: int, threshold: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: int | Column, threshold: int) -> tuple[Column, Column]:
     """Begin (from 0) and length of segment ``i`` of a line of ``length`` characters; the last ones are the longer ones."""
     parts = threshold + 1
     base, short = F.floor(length / parts), parts - length % parts
     return i * base + F.greatest(F.lit(0), F.lit(i) - short), base + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
-def _key(length: Column, i: int, begin: Column, size: Column) -> Column:
+def _key(length: Column, i: int | Column, begin: Column, size: Column) -> Column:
     inside = (begin >= 0) & (begin + size <= F.col("n"))
     return F.when(inside, F.xxhash64(length.cast("int"), F.lit(i), F.substring("line", (begin + 1).cast("int"), size.cast("int"))))
 
 
-def index_keys(threshold: int = THRESHOLD) -> list[Column]:
-    n = F.col("n")
-    return [_key(n, i, *_segment(n, i, threshold)) for i in range(threshold + 1)]
+def indexed(lines: DataFrame, *keep: str | Column, threshold: int = THRESHOLD) -> DataFrame:
+    """Keys (``keep``, key) of lines (line, n): their own segments."""
+    rows = lines.select(*keep, "line", "n", F.explode(F.lit(list(range(threshold + 1)))).alias("_i"))
+    key = _key(F.col("n"), F.col("_i"), *_segment(F.col("n"), F.col("_i"), threshold))
+    return rows.withColumn("key", key).drop("line", "n", "_i")
 
 
-def probe_keys(threshold: int = THRESHOLD) -> list[Column]:
-    """Keys of lines of the same or a smaller length that could be within the threshold."""
-    out = []
-    for less in range(threshold + 1):
-        length = F.col("n") - less
-        for i in range(threshold + 1):
-            begin, size = _segment(length, i, threshold)
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                out.append(_key(length, i, begin + shift, size))
-    return out
+def probes(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Keys (other, key) of lines (id, line, n) of the same or a smaller length that could be within the threshold.
+
+    One short expression for all ways to ask: a projection that spells each of them out is too long a method for the JVM to compile.
+    """
+    ways = [
+        [less, i, shift] for less in range(threshold + 1) for i in range(threshold + 1)
+        for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)
+    ]
+    way = F.explode(F.from_json(F.lit(json.dumps(ways)), "array<array<int>>")).alias("_way")
+    less, i, shift = (F.col("_way")[k] for k in range(3))
+    length = F.col("n") - less
+    begin, size = _segment(length, i, threshold)
+    key = _key(length, i, begin + shift, size).alias("key")
+    return lines.select(F.col("id").alias("other"), "line", "n", way).select("other", key).where("key is not null")
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -147,8 +154,8 @@ def repeated(distinct: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     doc = F.expr("cast(place div 4294967296 as bigint)")
     with_length = lambda rows: rows.withColumn("n", F.length("line"))
     lines = with_length(distinct).where(F.col("n") >= max(min_chars, threshold + 1))
-    put = lines.select("id", doc.alias("doc"), F.explode(F.array(*index_keys(threshold))).alias("key"))
-    ask = lines.select(F.col("id").alias("other"), F.explode(F.array(*probe_keys(threshold))).alias("key")).where("key is not null")
+    put = indexed(lines, "id", doc.alias("doc"), threshold=threshold)
+    ask = probes(lines, threshold)
     # pairs and copies in one table, as one job shuffles the lines once
     pairs = _compared(_met(put, ask, most), distinct, threshold)
     seen = stored(pairs.unionByName(distinct.where("times > 1").select("id", "place"), allowMissingColumns=True), "line-pairs")

@@ -510,3 +510,27 @@ def test_rare_language_is_learnt(spark):
     assert model.langs == ["aa", "cs"] and learnt and set(learnt) <= set(model.words)
     told = {r["doc_id"]: r["_lang"]["lang_pred"] for r in langid.with_language(docs.where("doc_id >= 2900"), model).collect()}
     assert told == {k: "cs" if k >= 3000 else "aa" for k in range(2900, 3012)}
+
+
+def test_line_keys_are_right_and_compiled(spark):
+    from pyspark.sql import functions as F
+
+    from reuselake.llm import linededup as L
+
+    texts = ["a line of some twenty", "é" * 23 + "xyz", "abc", "x" * 50 + "y" * 41]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id int, line string").withColumn("n", F.length("line"))
+    put, ask = L.indexed(lines, "id"), L.probes(lines)
+    want_put, want_ask = set(), set()
+    cut = lambda n, i: (i * (n // 3) + max(0, i - (3 - n % 3)), n // 3 + (i >= 3 - n % 3))
+    for k, t in enumerate(texts):
+        want_put |= {(k, len(t), i, t[cut(len(t), i)[0]:][:cut(len(t), i)[1]]) for i in range(3)}
+        for less, i, shift in [(0, 0, 0), (0, 1, -1), (0, 1, 0), (0, 1, 1), (0, 2, 0), (1, 0, 0), (1, 1, 0), (1, 1, 1), (1, 2, 1), (2, 0, 0), (2, 1, 1), (2, 2, 2)]:
+            begin, size = cut(len(t) - less, i)
+            if 0 <= begin + shift and begin + shift + size <= len(t):
+                want_ask.add((k, len(t) - less, i, t[begin + shift:][:size]))
+    for got, want, who in ((put, want_put, "id"), (ask, want_ask, "other")):
+        keys = spark.createDataFrame(sorted(want), "k int, l int, i int, s string").select("k", F.xxhash64("l", "i", "s").alias("key"))
+        assert {tuple(r) for r in got.select(who, "key").collect()} == {tuple(r) for r in keys.collect()}
+        # the JVM compiles no method of over 8000 bytes
+        parts = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(got._jdf.queryExecution().executedPlan())
+        assert 0 < max(parts.apply(j)._3().maxMethodCodeSize() for j in range(parts.size())) < 8000

@@ -25,6 +25,18 @@ _EDGES = """
         SELECT a.fqn, b.fqn, 'transformation_dependency'
         FROM artifact a JOIN artifact b ON b.ord = cast(floor(a.ord / 3.0) AS bigint) WHERE a.ord > 2 AND a.lifecycle NOT IN ('local', 'retired')"""
 
+_REFUNDS = """
+        SELECT l_orderkey * 10 + l_linenumber AS refund_id, l_orderkey AS invoice_id, customer_id, contract_id, product_id,
+          max(cast(l_shipdate AS date)) AS refund_date,
+          max(CASE WHEN l_linestatus = 'F' THEN cast(l_shipdate AS date) END) AS approved_date,
+          CASE WHEN bool_and(coalesce(l_linestatus = 'F', false)) THEN 'APPROVED' ELSE 'PENDING' END AS refund_status,
+          cast(round(sum(cast(l_extendedprice AS decimal(18,2)) * cast(l_discount AS decimal(4,2))), 2) AS decimal(18,2)) AS refund_amount,
+          currency_code,
+          CASE WHEN bool_or(l_returnflag = 'R') THEN 'REFUND' ELSE 'CREDIT_NOTE' END AS refund_type, 'ERP' AS source_system
+        FROM lineitem JOIN fact_invoices ON invoice_id = l_orderkey
+        WHERE l_returnflag IN ('R','A')
+        GROUP BY l_orderkey, l_linenumber, customer_id, contract_id, product_id, currency_code"""
+
 VIEWS: dict[str, str | dict[str, str]] = {
     "fact_invoices": """
         SELECT o_orderkey AS invoice_id, o_custkey AS customer_id, o_orderkey % 500 AS contract_id,
@@ -37,17 +49,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
         FROM orders JOIN customer ON c_custkey = o_custkey""",
     # customer, contract, product and currency follow from the order, so they join the key; only
     # numbers, dates and booleans are aggregated, which keeps Spark on hash aggregation
-    "fact_refunds": """
-        SELECT l_orderkey * 10 + l_linenumber AS refund_id, l_orderkey AS invoice_id, customer_id, contract_id, product_id,
-          max(cast(l_shipdate AS date)) AS refund_date,
-          max(CASE WHEN l_linestatus = 'F' THEN cast(l_shipdate AS date) END) AS approved_date,
-          CASE WHEN bool_and(coalesce(l_linestatus = 'F', false)) THEN 'APPROVED' ELSE 'PENDING' END AS refund_status,
-          cast(round(sum(cast(l_extendedprice AS decimal(18,2)) * cast(l_discount AS decimal(4,2))), 2) AS decimal(18,2)) AS refund_amount,
-          currency_code,
-          CASE WHEN bool_or(l_returnflag = 'R') THEN 'REFUND' ELSE 'CREDIT_NOTE' END AS refund_type, 'ERP' AS source_system
-        FROM lineitem JOIN fact_invoices ON invoice_id = l_orderkey
-        WHERE l_returnflag IN ('R','A')
-        GROUP BY l_orderkey, l_linenumber, customer_id, contract_id, product_id, currency_code""",
+    "fact_refunds": {"spark": _REFUNDS.replace("FROM lineitem", "FROM (SELECT /* dealt */ * FROM lineitem) l"), "duckdb": _REFUNDS},
     "dim_exchange_rates": {
         "spark": """
         SELECT ccy AS from_currency, 'USD' AS to_currency, rate_date,
@@ -221,12 +223,22 @@ def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     return head + ",\n".join(parts) + "\n" + body
 
 
+#: Views whose big input is dealt by rows, as table, rows of a task and key. Left to itself Spark gives a task 64 MB of compressed rows, which its sorts and hash tables blow up.
+DEALT = {"fact_refunds": ("lineitem", 1_000_000, "l_orderkey")}
+
+
 class Lake:
     """The views of one data folder as DataFrames."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _dealt(self, table: str, rows: int, key: str) -> str:
+        """Hint by which tasks that work on ``table`` by ``key`` hold ``rows`` of its rows at most and grow in number; what one task may hold is left to Spark."""
+        parts = -(-self.base(table).count() // rows)
+        usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return f"/*+ REPARTITION({max(parts, usual)}, {key}) */" if parts > 1 else ""
+
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
@@ -236,8 +248,12 @@ class Lake:
         if name not in VIEWS:
             raise AttributeError(name)
         views = _closure([name], "spark")
-        body = " ".join(_text(v, "spark") for v in views)
+        text = {v: _text(v, "spark") for v in views}
+        for view, (table, rows, key) in DEALT.items():
+            if view in text:
+                text[view] = text[view].replace("/* dealt */", self._dealt(table, rows, key))
+        body = " ".join(text.values())
         parts = [
             f"{t} AS (SELECT * FROM parquet.`{self.path}/{t}.parquet`)" for t in BASE if t in _words(body)
-        ] + [f"{v} AS ({_text(v, 'spark')})" for v in views]
+        ] + [f"{v} AS ({text[v]})" for v in views]
         return self.spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}")

@@ -7,6 +7,7 @@ from reuselake.operators import telemetry as T
 from reuselake.operators.graph import impact_closure
 from reuselake.operators.search import substring_hits
 from reuselake.operators.skew import salted_join
+from reuselake.plans import fixtures
 from reuselake.plans.fixtures import Lake
 
 
@@ -163,3 +164,19 @@ def test_events_counted_before_are_shuffled(spark, tmp_path, monkeypatch):
         ledger.add(rows.filter(f"event_id < {10 + 5 * k}"), k)
     assert [r.events for r in ledger.edges().collect()] == [15]
     assert len(joins) == 2 and not any("BroadcastHashJoin" in p for p in joins)
+
+
+def test_refunds_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 0), (2, 1), (None, 2)], "c_custkey bigint, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = [(k, 1 + k % 2, "F", 10.0) for k in range(40)] + [(3, 2, "F", 10.0), (None, 1, "F", 1.0)]
+    orders = spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double")
+    orders.withColumn("o_orderdate", F.lit("2000-01-03").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(k % 40, k % 3, "F", "R", 5.0, 0.1) for k in range(200)] + [(None, 1, "F", "R", 5.0, 0.1)]
+    lines = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_linestatus string, l_returnflag string, l_extendedprice double, l_discount double")
+    lines.withColumn("l_shipdate", F.lit("2000-02-03").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = Lake(spark, str(tmp_path)).fact_refunds
+    monkeypatch.setitem(fixtures.DEALT, "fact_refunds", ("lineitem", 10, "l_orderkey"))
+    dealt = Lake(spark, str(tmp_path)).fact_refunds
+    assert "REPARTITION_BY_NUM" not in _plan(plain)
+    assert "l_orderkey" in _plan(dealt) and ", 21), REPARTITION_BY_NUM" in _plan(dealt)
+    assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty() and not dealt.isEmpty()

@@ -49,7 +49,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
         FROM orders JOIN customer ON c_custkey = o_custkey""",
     # customer, contract, product and currency follow from the order, so they join the key; only
     # numbers, dates and booleans are aggregated, which keeps Spark on hash aggregation
-    "fact_refunds": {"spark": _REFUNDS.replace("FROM lineitem", "FROM (SELECT /* dealt */ * FROM lineitem) l"), "duckdb": _REFUNDS},
+    "fact_refunds": {"spark": _REFUNDS.replace("FROM lineitem", "FROM (SELECT /* dealt by l_orderkey */ * FROM lineitem) l"), "duckdb": _REFUNDS},
     "dim_exchange_rates": {
         "spark": """
         SELECT ccy AS from_currency, 'USD' AS to_currency, rate_date,
@@ -130,11 +130,17 @@ VIEWS: dict[str, str | dict[str, str]] = {
         FROM part""",
     "code_snippet": """
         SELECT id, text FROM sql_snippet UNION ALL SELECT id, text FROM py_snippet""",
-    # a registered candidate is any artifact with at least one binding
-    "candidate": """
+    # a registered candidate is any artifact with at least one binding; all three are the whole registry, so Spark is told to shuffle them
+    "candidate": {
+        "spark": """
+        SELECT /*+ MERGE(s) */ s.id, s.language, s.dialect, s.text, a.fqn, a.title, a.lifecycle, a.owner, a.reuse_intent
+        FROM (SELECT /* dealt by id */ * FROM sql_snippet) s JOIN artifact a ON a.ord = s.id
+        WHERE EXISTS (SELECT /*+ MERGE(b) */ 1 FROM (SELECT /* dealt by fqn */ fqn FROM binding) b WHERE b.fqn = a.fqn)""",
+        "duckdb": """
         SELECT s.id, s.language, s.dialect, s.text, a.fqn, a.title, a.lifecycle, a.owner, a.reuse_intent
         FROM sql_snippet s JOIN artifact a ON a.ord = s.id
         WHERE a.fqn IN (SELECT fqn FROM binding)""",
+    },
     # two versions of every dataset; some columns exist in one of them only
     "contract": {
         "spark": """
@@ -223,8 +229,8 @@ def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     return head + ",\n".join(parts) + "\n" + body
 
 
-#: Views whose big input is dealt by rows, as table, rows of a task and key. Left to itself Spark gives a task 64 MB of compressed rows, which its sorts and hash tables blow up.
-DEALT = {"fact_refunds": ("lineitem", 1_000_000, "l_orderkey")}
+#: Views whose big inputs are dealt by rows, as table that they grow with and its rows of a task. Left to itself Spark gives a task 64 MB of compressed rows, which its sorts and hash tables blow up.
+DEALT = {"fact_refunds": ("lineitem", 1_000_000), "candidate": ("part", 100_000)}
 
 
 class Lake:
@@ -233,11 +239,11 @@ class Lake:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _dealt(self, table: str, rows: int, key: str) -> str:
-        """Hint by which tasks that work on ``table`` by ``key`` hold ``rows`` of its rows at most and grow in number; what one task may hold is left to Spark."""
+    def _dealt(self, text: str, table: str, rows: int) -> str:
+        """``text`` with hints by which a task holds what ``rows`` rows of ``table`` give, so that tasks grow in number; what one task may hold is left to Spark."""
         parts = -(-self.base(table).count() // rows)
         usual = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return f"/*+ REPARTITION({max(parts, usual)}, {key}) */" if parts > 1 else ""
+        return re.sub(r"/\* dealt by (\w+) \*/", rf"/*+ REPARTITION({max(parts, usual)}, \1) */" if parts > 1 else "", text)
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
@@ -249,9 +255,9 @@ class Lake:
             raise AttributeError(name)
         views = _closure([name], "spark")
         text = {v: _text(v, "spark") for v in views}
-        for view, (table, rows, key) in DEALT.items():
+        for view, (table, rows) in DEALT.items():
             if view in text:
-                text[view] = text[view].replace("/* dealt */", self._dealt(table, rows, key))
+                text[view] = self._dealt(text[view], table, rows)
         body = " ".join(text.values())
         parts = [
             f"{t} AS (SELECT * FROM parquet.`{self.path}/{t}.parquet`)" for t in BASE if t in _words(body)

@@ -175,8 +175,19 @@ def test_refunds_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     lines = spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_linestatus string, l_returnflag string, l_extendedprice double, l_discount double")
     lines.withColumn("l_shipdate", F.lit("2000-02-03").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
     plain = Lake(spark, str(tmp_path)).fact_refunds
-    monkeypatch.setitem(fixtures.DEALT, "fact_refunds", ("lineitem", 10, "l_orderkey"))
+    monkeypatch.setitem(fixtures.DEALT, "fact_refunds", ("lineitem", 10))
     dealt = Lake(spark, str(tmp_path)).fact_refunds
     assert "REPARTITION_BY_NUM" not in _plan(plain)
     assert "l_orderkey" in _plan(dealt) and ", 21), REPARTITION_BY_NUM" in _plan(dealt)
     assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty() and not dealt.isEmpty()
+
+
+def test_candidates_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    part = [(k, f"part {k}", f"Brand#{k % 3}", "BOLT", k % 7) for k in [*range(60), 5, 5]] + [(None, "p", "Brand#1", "BOLT", 1)]
+    spark.createDataFrame(part, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    plain = Lake(spark, str(tmp_path)).candidate
+    monkeypatch.setitem(fixtures.DEALT, "candidate", ("part", 5))
+    dealt = Lake(spark, str(tmp_path)).candidate
+    assert "REPARTITION_BY_NUM" not in _plan(plain) and ", 13), REPARTITION_BY_NUM" in _plan(dealt)
+    assert "Broadcast" not in _plan(plain) and "Broadcast" not in _plan(dealt)
+    assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty() and not dealt.isEmpty()

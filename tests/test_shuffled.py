@@ -1,5 +1,8 @@
 """Joins of tables that grow together: never a broadcast, and the same rows."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from reuselake.operators import similarity as S
@@ -191,3 +194,13 @@ def test_candidates_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     assert "REPARTITION_BY_NUM" not in _plan(plain) and ", 13), REPARTITION_BY_NUM" in _plan(dealt)
     assert "Broadcast" not in _plan(plain) and "Broadcast" not in _plan(dealt)
     assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty() and not dealt.isEmpty()
+
+
+def test_least_hashes_equal_brute_force():
+    rnd = np.random.default_rng(3)
+    sets = [rnd.integers(-(1 << 63), (1 << 63) - 1, n) for n in (1, 3, S.AT_ONCE + 5, 2, 700, 1)]
+    seeds = rnd.integers(1, 1 << 63, 5, dtype=np.uint64)
+    for x, got in zip(sets, S._least(sets, seeds), strict=True):
+        for seed, least in zip(seeds.tolist(), got.view(np.uint64).tolist(), strict=True):
+            v = [((e & (1 << 64) - 1) ^ seed) * 0x9E3779B97F4A7C15 % (1 << 64) for e in x.tolist()]
+            assert least == min((y ^ (y >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64) for y in v)

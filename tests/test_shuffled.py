@@ -204,3 +204,17 @@ def test_least_hashes_equal_brute_force():
         for seed, least in zip(seeds.tolist(), got.view(np.uint64).tolist(), strict=True):
             v = [((e & (1 << 64) - 1) ^ seed) * 0x9E3779B97F4A7C15 % (1 << 64) for e in x.tolist()]
             assert least == min((y ^ (y >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64) for y in v)
+
+
+def test_only_sets_with_a_partner_are_brought_together(spark, monkeypatch):
+    steps, real = {}, S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name="step": steps.setdefault(name, [_plan(df), real(df, name)])[1])
+    rows = [(i, [f"e{i}-{j}" for j in range(12)]) for i in range(40)]
+    rows += [(100, rows[3][1][:11]), (100, rows[3][1][:11]), (101, rows[4][1]), (None, rows[5][1]), (102, []), (103, None)]
+    df = spark.createDataFrame(rows, "id int, elements array<string>")
+    got = sorted(tuple(r) for r in S.near_duplicates_lsh(df).collect())
+    assert got == [(3, 100, 11, 12, 11), (4, 101, 12, 12, 12)]
+    assert sorted(r["_id"] for r in steps["paired-sets"][1].collect()) == [3, 100]
+    assert "_set" not in steps["signatures"][1].columns
+    moved = [line for line in steps["signatures"][0].splitlines() if "Exchange" in line or "SortAggregate" in line]
+    assert moved and not any("_set" in line for line in moved)

@@ -97,6 +97,17 @@ def maybe_seen(table: Broadcast):
     return test
 
 
+def maybe_enough(table: Broadcast, num: int, den: int):
+    """Column function: whether so many hashes of a set may be in the table that it can reach the Jaccard similarity ``num / den`` with a set of them."""
+
+    @F.pandas_udf("boolean")
+    def test(sets: pd.Series) -> pd.Series:
+        need = lambda x: max(1, -(-len(x) * num // den))
+        return pd.Series([x is not None and len(x) > 0 and int(_in_table(table.value, x).sum()) >= need(x) for x in sets], dtype=bool)
+
+    return test
+
+
 #: So many pairs of one row meet in one place; a row of more pairs is repeated, one of fewer travels once.
 MET = 64
 
@@ -197,20 +208,27 @@ def similar_rows(
     left: DataFrame, right: DataFrame, threshold: tuple[int, int], id: str = "id", elements: str = "elements", by=()
 ) -> DataFrame:
     """``similar_pairs`` for tables with many copies: each distinct set is joined once, and its
-    pairs are handed to all rows that hold it."""
+    pairs are handed to all rows that hold it.
+
+    ``right`` should be the smaller side: a left row leaves before anything of it is stored or shuffled if too few of its elements can occur there.
+    """
+    num, den = threshold
 
     def sets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         keyed = df.select(
             F.col(id).alias("_row"), *by, F.col(elements).alias("elements"),
             # travels with every element, so 16 bytes
-            F.unhex(F.md5(F.concat_ws("|", *by, F.array_join(F.array_sort(elements), "\x1f")))).alias("_set_id"),
+            F.unhex(F.md5(F.concat_ws("|", *by, F.array_join(F.sort_array(elements), "\x1f")))).alias("_set_id"),
         )
         keyed = stored(keyed, "sets")
         one = stored(keyed.groupBy("_set_id", *by).agg(F.any_value("elements").alias("elements")), "distinct-sets")
         return keyed.select("_row", "_set_id"), one
 
-    lrows, lsets = sets(left)
     rrows, rsets = sets(right)
+    enough = maybe_enough(seen_table(_hashed(rsets, "_set_id", "elements", []).select(F.explode("_set"))), num, den)
+    # a generator, so that the filter does not cut the texts a second time
+    once = left.select(id, *by, F.explode(F.array(elements)).alias(elements))
+    lrows, lsets = sets(once.filter(enough(F.array_distinct(F.transform(elements, lambda e: F.xxhash64(e))))))
     pairs = similar_pairs(lsets, rsets, threshold, id="_set_id", by=by)
     size = ["overlap", "left_size", "right_size"]
     wide = salted_join(

@@ -218,3 +218,26 @@ def test_only_sets_with_a_partner_are_brought_together(spark, monkeypatch):
     assert "_set" not in steps["signatures"][1].columns
     moved = [line for line in steps["signatures"][0].splitlines() if "Exchange" in line or "SortAggregate" in line]
     assert moved and not any("_set" in line for line in moved)
+
+
+def test_table_of_what_may_occur_forgets_nothing(spark):
+    there = spark.range(3000).select(F.xxhash64("id"))
+    table = S.seen_table(there)
+    assert spark.range(3000).filter(S.maybe_seen(table)(F.xxhash64("id"))).count() == 3000
+    assert spark.range(3000, 23000).filter(S.maybe_seen(table)(F.xxhash64("id"))).count() < 20
+    sets = spark.range(2900, 3100).select("id", F.array("id", F.col("id") + 100, F.lit(-1)).alias("e")).select("id", F.transform("e", lambda x: F.xxhash64(x)).alias("h"))
+    enough = S.maybe_enough(table, 1, 2)
+    assert sets.unionByName(spark.sql("SELECT -5L AS id, CAST(NULL AS ARRAY<BIGINT>) AS h")).filter(enough("h")).count() == 0
+    assert sets.filter(S.maybe_enough(table, 1, 3)("h")).count() == 100
+
+
+def test_rows_that_can_have_no_partner_are_not_stored(spark, monkeypatch):
+    tables, real = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name="step": (out := real(df, name), tables.append((name, out)))[0])
+    left = [(i, [f"own{i}-{j}" for j in range(30)] + ["a"]) for i in range(50)]
+    left += [(90, ["a", "b", "x", "y", "b"]), (91, ["b", "a", "x", "y", "b"]), (92, ["c"]), (93, []), (94, None), (None, ["c"])]
+    right = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["c"]), (3, []), (4, ["c"])], "id int, elements array<string>")
+    got = S.similar_rows(spark.createDataFrame(left, "id int, elements array<string>"), right, (1, 10))
+    want = {(90, 1, 2, 5, 3), (91, 1, 2, 5, 3)} | {(i, 1, 1, 1, 3) for i in (92, None)} | {(i, j, 1, 1, 1) for i in (92, None) for j in (2, 4)}
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert sorted(str(r["_row"]) for r in [t for n, t in tables if n == "sets"][1].collect()) == ["90", "91", "92", "None"]

@@ -196,16 +196,6 @@ def test_candidates_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     assert plain.exceptAll(dealt).isEmpty() and dealt.exceptAll(plain).isEmpty() and not dealt.isEmpty()
 
 
-def test_least_hashes_equal_brute_force():
-    rnd = np.random.default_rng(3)
-    sets = [rnd.integers(-(1 << 63), (1 << 63) - 1, n) for n in (1, 3, S.AT_ONCE + 5, 2, 700, 1)]
-    seeds = rnd.integers(1, 1 << 63, 5, dtype=np.uint64)
-    for x, got in zip(sets, S._least(sets, seeds), strict=True):
-        for seed, least in zip(seeds.tolist(), got.view(np.uint64).tolist(), strict=True):
-            v = [((e & (1 << 64) - 1) ^ seed) * 0x9E3779B97F4A7C15 % (1 << 64) for e in x.tolist()]
-            assert least == min((y ^ (y >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64) for y in v)
-
-
 def test_only_sets_with_a_partner_are_brought_together(spark, monkeypatch):
     steps, real = {}, S.stored
     monkeypatch.setattr(S, "stored", lambda df, name="step": steps.setdefault(name, [_plan(df), real(df, name)])[1])
@@ -220,6 +210,16 @@ def test_only_sets_with_a_partner_are_brought_together(spark, monkeypatch):
     assert moved and not any("_set" in line for line in moved)
 
 
+def test_least_hashes_equal_brute_force():
+    rnd = np.random.default_rng(3)
+    sets = [rnd.integers(-(1 << 63), (1 << 63) - 1, n) for n in (1, 3, S.AT_ONCE + 5, 2, 700, 1)]
+    seeds = rnd.integers(1, 1 << 63, 5, dtype=np.uint64)
+    for x, got in zip(sets, S._least(sets, seeds), strict=True):
+        for seed, least in zip(seeds.tolist(), got.view(np.uint64).tolist(), strict=True):
+            v = [((e & (1 << 64) - 1) ^ seed) * 0x9E3779B97F4A7C15 % (1 << 64) for e in x.tolist()]
+            assert least == min((y ^ (y >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64) for y in v)
+
+
 def test_table_of_what_may_occur_forgets_nothing(spark):
     there = spark.range(3000).select(F.xxhash64("id"))
     table = S.seen_table(there)
@@ -231,6 +231,17 @@ def test_table_of_what_may_occur_forgets_nothing(spark):
     assert sets.filter(S.maybe_enough(table, 1, 3)("h")).count() == 100
 
 
+def test_exact_pairs_of_one_table(spark):
+    rnd = random.Random(4)
+    sets = [sorted({f"e{min(rnd.randrange(90), rnd.randrange(90))}" for _ in range(rnd.randrange(1, 14))}) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id int, elements array<string>")
+    for num, den in ((4, 5), (1, 2), (1, 20)):
+        share = lambda x, y: (len(set(x) & set(y)), len(set(x) | set(y)))
+        want = {(i, j, share(x, y)[0]) for i, x in enumerate(sets) for j, y in enumerate(sets) if (s := share(x, y))[0] and s[0] * den >= s[1] * num}
+        assert {tuple(r)[:3] for r in S.similar_pairs(df, df, (num, den)).collect()} == want
+        assert {tuple(r)[:3] for r in S.similar_pairs(df, df, (num, den), ordered=True).collect()} == {x for x in want if x[0] < x[1]}
+
+
 def test_rows_that_can_have_no_partner_are_not_stored(spark, monkeypatch):
     tables, real = [], S.stored
     monkeypatch.setattr(S, "stored", lambda df, name="step": (out := real(df, name), tables.append((name, out)))[0])

@@ -414,43 +414,49 @@ BLOCK = 1024
 PIVOTS = 256
 
 
-def _unit(vec: str) -> F.Column:
-    """The vector as doubles of length 1; a zero vector stays zero."""
-    x = F.transform(vec, lambda v: v.cast("double"))
-    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(x, lambda v: F.when(norm == 0, 0.0).otherwise(v / norm))
-
-
 def _matrix(rows) -> np.ndarray:
+    """Vectors as the rows of a matrix; each is an array, or the bytes of one."""
+    if isinstance(rows[0], bytes):
+        return np.frombuffer(b"".join(rows), "float64").reshape(len(rows), -1)
     return np.vstack([np.asarray(r, dtype="float64") for r in rows])
 
 
+def _units(rows) -> np.ndarray:
+    """The vectors with length 1; a zero vector stays zero."""
+    x = _matrix(rows)
+    square = np.zeros(len(x))
+    for column in x.T:  # one after the other, so that the order of a sum never depends on the batch
+        square += column * column
+    norm = np.sqrt(square)[:, None]
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm != 0)
+
+
 def vector_pivots(vectors: DataFrame, id: str = "vec_id", vec: str = "embedding", pivots: int = PIVOTS) -> np.ndarray:
     """Unit vectors of the smallest id hashes, one for each ``BLOCK`` rows but ``pivots`` at most, so a bounded number reaches the driver.
 
     Which ones they are changes the work, not the result.
     """
     pivots = min(pivots, max(1, vectors.count() // BLOCK))
-    some = vectors.filter(F.col(vec).isNotNull()).select(F.xxhash64(id).alias("_h"), F.col(id).alias("_id"), _unit(vec).alias("v"))
+    some = vectors.filter(F.col(vec).isNotNull()).select(F.xxhash64(id).alias("_h"), F.col(id).alias("_id"), F.col(vec).cast("array<double>").alias("v"))
     got = some.orderBy("_h", "_id").limit(pivots).select("v").collect()
-    return _matrix([r["v"] for r in got]) if got else np.zeros((0, 0))
+    return _units([r["v"] for r in got]) if got else np.zeros((0, 0))
 
 
 def vector_groups(vectors: DataFrame, pivots: np.ndarray, id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Blocks of vectors around the pivot that is nearest to them, one row per block of about ``BLOCK`` vectors.
 
-    Columns: pivot, part, ids, vecs (unit vectors), low and high (range of the distances from the pivot). A group that is larger than a
+    Columns: pivot, part, ids, vecs (unit vectors, each as the bytes of its doubles), low and high (range of the distances from the pivot). A group that is larger than a
     block is cut into rings by distance, so hot regions give more blocks, not larger ones.
     """
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = _matrix(pdf["v"])
+        for pdf in filter(len, batches):
+            x = _units(list(pdf["v"]))
             far = np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * x @ pivots.T))
             at = far.argmin(1)
-            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "pivot": at.astype("int32"), "far": far[np.arange(len(x)), at]})
+            yield pd.DataFrame({"id": pdf["id"], "v": [r.tobytes() for r in x], "pivot": at.astype("int32"), "far": far[np.arange(len(x)), at]})
 
-    rows = vectors.filter(F.col(vec).isNotNull()).select(F.col(id).cast("bigint").alias("id"), _unit(vec).alias("v"))
-    placed = stored(rows.mapInPandas(nearest, "id bigint, v array<double>, pivot int, far double"), "placed-vectors")
+    rows = vectors.filter(F.col(vec).isNotNull()).select(F.col(id).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    placed = stored(rows.mapInPandas(nearest, "id bigint, v binary, pivot int, far double"), "placed-vectors")
     # rings: distances in steps, running counts of the steps decide where a block ends, and a step that overflows is cut by a hash
     steps = placed.groupBy("pivot", F.floor(F.col("far") * 4096).alias("step")).agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("pivot").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
@@ -492,26 +498,131 @@ SPREAD = 64
 _MARGIN = 1e-6
 
 
-def _similarities(row, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    qi, ci = np.asarray(row.q_ids), np.asarray(row.c_ids)
-    sim = np.round(_matrix(row.q_vecs) @ _matrix(row.c_vecs).T, 4)
+#: More products of a block pair than this are computed as one matrix.
+FEW = 1 << 16
+
+
+def _reaching(q: tuple, c: tuple, bar: np.ndarray, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q, rows of c and rounded cosines of all pairs whose rounded cosine is ``bar`` of the query or more.
+
+    A block is (ids, vectors, the same in single precision). Single precision finds what can reach the bar, by the bound of its error; only that is
+    computed in double precision.
+    """
+    (qi, qv, q32), (ci, cv, c32) = q, c
+    least = bar - 5.1e-5 - (qv.shape[1] + 4) * 1.2e-7
+    i, j = np.divmod(np.flatnonzero((q32 @ c32.T >= least[:, None].astype("float32")).reshape(-1)), len(ci))
+    sim = np.round((qv @ cv.T)[i, j] if len(i) > FEW else np.einsum("ij,ij->i", qv[i], cv[j]), 4)
+    keep = sim >= bar[i]
     if skip_self:
-        sim = np.where(qi[:, None] == ci[None, :], -np.inf, sim)
-    return qi, ci, sim
+        keep &= qi[i] != ci[j]
+    return i[keep], j[keep], sim[keep]
+
+
+def _block(ids, vecs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v = _matrix(vecs)
+    return np.asarray(ids), v, v.astype("float32")
+
+
+class _Best:
+    """The best ``k`` candidates so far of each query of a block, by cosine and then the smaller id."""
+
+    def __init__(self, block: tuple, k: int, skip_self: bool):
+        self.block, self.k, self.skip_self = block, k, skip_self
+        self.sim = np.full((len(block[0]), k), -np.inf)
+        self.ids = np.full((len(block[0]), k), np.iinfo(np.int64).max)
+
+    def meet(self, c: tuple) -> None:
+        bar = self.sim[:, -1]
+        if np.isneginf(bar).any() and len(c[0]) > self.k:  # no bar yet: the k-th of this block
+            sim = np.round(self.block[1] @ c[1].T, 4)
+            no = np.isnan(sim) | (self.skip_self & (self.block[0][:, None] == c[0]))
+            bar = np.fmax(bar, np.partition(np.where(no, -np.inf, sim), -self.k, axis=1)[:, -self.k])
+        i, j, sim = _reaching(self.block, c, bar, self.skip_self)
+        new = (sim > self.sim[i, -1]) | (c[0][j] < self.ids[i, -1])
+        i, j, sim = i[new], j[new], sim[new]
+        if not len(i):
+            return
+        rows = np.unique(i)
+        i = np.concatenate([i, np.repeat(rows, self.k)])
+        ids, sim = np.concatenate([c[0][j], self.ids[rows].reshape(-1)]), np.concatenate([sim, self.sim[rows].reshape(-1)])
+        order = np.lexsort((ids, -sim, i))
+        first = np.flatnonzero(np.diff(i[order], prepend=-1))
+        take = order[(first[:, None] + np.arange(self.k)).reshape(-1)]  # each row has its k old places, so k at least
+        self.ids[rows], self.sim[rows] = ids[take].reshape(-1, self.k), sim[take].reshape(-1, self.k)
+
+    def rows(self) -> pd.DataFrame:
+        keep = np.isfinite(self.sim)
+        return pd.DataFrame({"query_id": np.repeat(self.block[0], keep.sum(axis=1)), "candidate_id": self.ids[keep], "cosine": self.sim[keep]})
+
+
+_HITS = "query_id bigint, candidate_id bigint, cosine double"
 
 
 def _best_of(pairs: DataFrame, q: DataFrame, c: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """The best ``k`` candidates of each query within each of the block pairs."""
+    """The best ``k`` candidates of each query within each of a few block pairs."""
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                qi, ci, sim = _similarities(row, skip_self)
-                order = np.lexsort((np.broadcast_to(ci, sim.shape), -sim), axis=1)[:, :k]
-                best = np.take_along_axis(sim, order, axis=1)
-                keep = np.isfinite(best)
-                yield pd.DataFrame({"query_id": np.repeat(qi, keep.sum(axis=1)), "candidate_id": ci[order][keep], "cosine": best[keep]})
+                best = _Best(_block(row.q_ids, row.q_vecs), k, skip_self)
+                best.meet(_block(row.c_ids, row.c_vecs))
+                yield best.rows()
+
+    return _with_vectors(pairs, q, c).mapInPandas(score, _HITS)
+
+
+def _best_of_tiles(pairs: DataFrame, q: DataFrame, c: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """The best ``k`` candidates of each query within each tile of block pairs."""
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = {}
+        for new, key, block, wanted in _tile_rows(batches):
+            if new:
+                yield from (b.rows() for b in best.values())
+                best = {}
+            if wanted is None:
+                best[key] = _Best(block, k, skip_self)
+            else:
+                for other in wanted:
+                    best[other].meet(block)
+        yield from (b.rows() for b in best.values())
+
+    return _tiles(pairs, q, c).mapInPandas(score, _HITS)
+
+
+#: A tile has so many query blocks and so many candidate blocks, or fewer where there is little of them.
+TILE = 64
 
-    return _with_vectors(pairs, q, c).mapInPandas(score, "query_id bigint, candidate_id bigint, cosine double")
+
+def _tiles(pairs: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    """Block pairs with the ids and vectors of both, dealt by tiles: the query blocks of a tile first, then its candidate blocks with the query blocks they ask for.
+
+    Each block is sent once to every tile that asks for it, and each task holds the query blocks of one tile and one candidate block.
+    """
+    spread = int(np.ceil(np.sqrt(4 * q.sparkSession.sparkContext.defaultParallelism)))
+    cuts = lambda df: max(-(-(n := df.count()) // TILE), min(n, spread), 1)
+    rows, columns = cuts(q), cuts(c)
+    at = lambda side, n: F.pmod(F.xxhash64(f"{side}_pivot", f"{side}_part"), F.lit(n))
+    key = lambda side: F.concat_ws(":", f"{side}_pivot", f"{side}_part.ring", f"{side}_part.cut")
+    tile = (at("q", rows) * columns + at("c", columns)).alias("tile")
+    asked = {
+        "q": pairs.select(tile, "q_pivot", "q_part").distinct().withColumn("wanted", F.lit(None).cast("array<string>")),
+        "c": pairs.groupBy(tile, "c_pivot", "c_part").agg(F.collect_set(key("q")).alias("wanted")),
+    }
+    sent = [
+        asked[s].join(shuffled(df.select(F.col("pivot").alias(f"{s}_pivot"), F.col("part").alias(f"{s}_part"), "ids", "vecs")), [f"{s}_pivot", f"{s}_part"])
+        .select("tile", key(s).alias("key"), "ids", "vecs", "wanted")
+        for s, df in (("q", q), ("c", c))
+    ]
+    kind = F.col("wanted").isNotNull()
+    return sent[0].unionByName(sent[1]).repartition(rows * columns, "tile").sortWithinPartitions("tile", kind, "key")
+
+
+def _tile_rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(first of its tile, key, block, query blocks that are asked for) of each row."""
+    at = None
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            yield row.tile != at, row.key, _block(row.ids, row.vecs), row.wanted
+            at = row.tile
 
 
 #: So many query blocks travel together: a candidate block is sent to each such group once, not to each block.
@@ -562,7 +673,7 @@ def _two_phases(queries: DataFrame, candidates: DataFrame, k: int, id: str, vec:
     reach = reach.groupBy(F.col("pivot").alias("q_pivot"), F.col("part").alias("q_part")).agg(F.max(bound).alias("_reach"))
     rest = pairs.join(first, key, "left_anti").join(reach, ["q_pivot", "q_part"]).filter(F.col("least") <= F.col("_reach") + _MARGIN).select(*key)
     rest = stored(rest, "other-pairs")
-    every = hits.drop("rank").unionByName(_best_of(rest, q, c, k, skip_self))
+    every = hits.drop("rank").unionByName(_best_of_tiles(rest, q, c, k, skip_self))
     return _first_k(every, k), pairs, first.unionByName(rest)
 
 
@@ -619,13 +730,25 @@ def _close_pairs(queries: DataFrame, candidates: DataFrame, threshold: float, id
     q = c if one else stored(vector_groups(queries, pivots, id, vec), "vector-blocks")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                qi, ci, sim = _similarities(row, False)
-                inside = (sim >= threshold) & (qi[:, None] != ci[None, :] if one else qi[:, None] < ci[None, :])
-                i, j = np.nonzero(inside)
+        near, found, held = {}, [], 0
+        for new, key, block, wanted in _tile_rows(batches):
+            if new:
+                near = {}
+            if wanted is None:
+                near[key] = block
+                continue
+            for other in wanted:
+                qi, ci = near[other][0], block[0]
+                i, j, sim = _reaching(near[other], block, np.full(len(qi), threshold), False)
                 a, b = qi[i], ci[j]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": sim[i, j]})
+                keep = a != b if one else a < b
+                found.append((np.minimum(a, b)[keep], np.maximum(a, b)[keep], sim[keep]))
+                held += int(keep.sum())
+                if held > FEW:
+                    yield pd.DataFrame(dict(zip(("a", "b", "score"), map(np.concatenate, zip(*found)))))
+                    found, held = [], 0
+        if found:
+            yield pd.DataFrame(dict(zip(("a", "b", "score"), map(np.concatenate, zip(*found)))))
 
     pairs = block_pairs(q, c, pivots)
     if one:
@@ -633,7 +756,7 @@ def _close_pairs(queries: DataFrame, candidates: DataFrame, threshold: float, id
     pairs = stored(pairs, "block-pairs")
     reach = float(np.sqrt(max(0.0, 2 - 2 * (threshold - 0.0001)))) + _MARGIN if threshold > 0.0001 else float("inf")  # a zero vector's cosine is 0
     used = pairs.filter(F.col("least") <= reach)
-    found = _with_vectors(used, q, c).mapInPandas(score, "a bigint, b bigint, score double")
+    found = _tiles(used, q, c).mapInPandas(score, "a bigint, b bigint, score double")
     return (found.distinct() if one else found), pairs, used
 
 

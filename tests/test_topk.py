@@ -87,3 +87,36 @@ def test_bands_follow_the_threshold():
         bands, rows = S.bands_for(t)
         assert bands * rows <= 192 and ((1 - t**rows) ** bands <= S.MISSED or rows == 1)
         assert (1 - t) ** S.split_rounds(t) <= S.MISSED
+
+
+def test_tiles_keep_ties_and_repeated_ids(spark, monkeypatch):
+    """Equal vectors, a repeated id, many tiles: the ranks are those of numpy, and only the first blocks meet pair by pair."""
+    monkeypatch.setattr(S, "BLOCK", 16)
+    monkeypatch.setattr(S, "TILE", 2)
+    monkeypatch.setattr(S, "FEW", 40)
+    rng = np.random.default_rng(8)
+    v = np.concatenate([np.repeat(rng.normal(size=(1, 12)), 70, 0), rng.normal(size=(90, 12)), np.zeros((3, 12))])
+    ids = [*range(len(v) - 1), 100]
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in zip(ids, v)], "vec_id long, embedding array<double>")
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    cos = np.round((v / np.where(norm == 0, 1, norm)) @ (v / np.where(norm == 0, 1, norm)).T, 4)
+    got = {}
+    for r in S.embedding_topk(df, df, 6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.candidate_id, r.cosine))
+    for i in range(len(v)):
+        if ids[i] != 100:
+            best = sorted((-cos[i, j], ids[j]) for j in range(len(v)) if ids[j] != ids[i])[:6]
+            assert sorted(got[ids[i]]) == [(n, j, pytest.approx(-s, abs=1e-9)) for n, (s, j) in enumerate(best, 1)]
+    pairs = {(r.a, r.b) for r in S.embedding_pairs(df, df, 0.5).collect()}
+    assert pairs == {(min(x, y), max(x, y)) for i, x in enumerate(ids) for j, y in enumerate(ids) if x != y and cos[i, j] >= 0.5}
+
+
+def test_a_block_is_sent_once_to_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)], "vec_id long, embedding array<double>")
+    c = S.stored(S.vector_groups(df, S.vector_pivots(df)))
+    pairs = S.stored(S.block_pairs(c, c, S.vector_pivots(df)).select("q_pivot", "q_part", "c_pivot", "c_part"))
+    sent = S._tiles(pairs, c, c).select("tile", "key", F.size("wanted").alias("n")).collect()
+    assert sum(r.n for r in sent if r.n is not None and r.n > 0) == pairs.count() > 2 * len(sent)
+    assert len({(r.tile, r.key, r.n is None or r.n < 0) for r in sent}) == len(sent)
